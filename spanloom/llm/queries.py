@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op2_repetition, op3_decontaminate, op4_toxicity, op5_url_filter, op6_html, op8_mix, op9_jaccard, op10_tokens
+from . import op1_language, op2_repetition, op3_decontaminate, op4_toxicity, op5_url_filter, op6_html, op7_brown, op8_mix, op9_jaccard, op10_tokens
 from .common import is_remainder, table
 
 #: The URL rules that the query applies, as (verdict, host, path).
@@ -52,6 +52,11 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7_brown.score(table(spark, sf_dir, "documents"), is_remainder("doc_id", 7, 2))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_repetition_rules, op3_benchmark_overlap, op4_toxicity_scores, op5_url_verdicts, op6_main_text, op8_source_mix, op9_jaccard_components, op10_token_counts)
+    found = (op1_language_id, op2_repetition_rules, op3_benchmark_overlap, op4_toxicity_scores, op5_url_verdicts, op6_main_text, op7_class_scores, op8_source_mix, op9_jaccard_components, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
