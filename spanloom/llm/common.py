@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,3 +84,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
 
 def ids_of(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def filter_rows(docs: DataFrame, verdicts: Callable[[], Callable[[list[str | None]], np.ndarray]], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text passes.  ``verdicts`` makes a task's own function from texts to booleans."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = verdicts()
+        for batch, texts in pieces(batches, text):
+            yield batch.filter(pa.array(np.asarray(passes(texts), bool)))
+
+    return docs.select(*names).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, pieces
+from .common import filter_rows, ids_of, pieces
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -153,6 +153,18 @@ def measure(texts: list[str | None], min_repeat: int) -> dict[str, np.ndarray |
     return {"n_words": np.diff(starts), "word_chars": np.array([len(t) - sum(map(t.count, SPACES)) if t else 0 for t in texts], dtype=np.int64), "n_symbols": np.array([sum(map(t.count, SYMBOLS)) if t else 0 for t in texts], dtype=np.int64), "n_dup_lines": np.array(lines, dtype=np.int64), "n_repeat_words": per_row(repeated_windows(ranks, words)), "covered_words": per_row(covered), "longest_repeat": top, "spans": spans}
 
 
+def verdicts(m: dict, max_fraction: float, max_longest: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the base rule fails, and whether a text is kept."""
+    n = m["n_words"]
+    failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
+    return failed, ~failed & (m["covered_words"] <= max_fraction * n) & (m["longest_repeat"] <= max_longest)
+
+
+def keep(docs: DataFrame, text: str = "text", min_repeat: int = 8, max_fraction: float = 0.4, max_longest: int = 200, min_words: int = 50) -> DataFrame:
+    """The rows that pass, with all their columns."""
+    return filter_rows(docs, lambda: lambda texts: verdicts(measure(texts, min_repeat), max_fraction, max_longest, min_words)[1], text)
+
+
 def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = 8, max_fraction: float = 0.4, max_longest: int = 200, min_words: int = 50) -> DataFrame:
     """Per row: the base figures, covered words, the longest repeat, the united spans and the verdicts."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
@@ -160,12 +172,10 @@ def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
             m = measure(texts, min_repeat)
-            n = m["n_words"]
-            failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
-            passed = (m["covered_words"] <= max_fraction * n) & (m["longest_repeat"] <= max_longest)
+            failed, kept = verdicts(m, max_fraction, max_longest, min_words)
             figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
             spans = pa.array([[{"start": s, "words": w} for s, w in x] for x in m["spans"]], kind)
-            yield pa.RecordBatch.from_arrays([ids_of(batch), *(pa.array(m[f], pa.int64()) for f in figures), pa.array(failed), pa.array(~failed & passed), spans], names=["doc_id", *figures, "base_failed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([ids_of(batch), *(pa.array(m[f], pa.int64()) for f in figures), pa.array(failed), pa.array(kept), spans], names=["doc_id", *figures, "base_failed", "kept", "spans"])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean, spans array<struct<start:long,words:long>>")

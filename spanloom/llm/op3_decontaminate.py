@@ -17,14 +17,14 @@ one by one; an empty table or benchmark gives zero hits.  Other columns are igno
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, pieces
+from .common import filter_rows, ids_of, pieces
 
 #: A-Z to a-z; digits, letters and bytes of other scripts stay; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -155,3 +155,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, part_words: int = 4_000_000) -> DataFrame:
+    """The rows in which no window of any item occurs, with all their columns."""
+    out = docs
+    for items in parts_of(benchmark, item, item_text, part_words, size):
+        held = docs.sparkSession.sparkContext.broadcast((items, count_words(docs, text, {w for _, words in items for w in words})))
+
+        def verdicts(held=held) -> Callable[[list[str | None]], np.ndarray]:
+            part = Part(*held.value, size)
+            get = part.number.get
+
+            def clean(x: str | None) -> bool:
+                words = words_of(x)
+                return not len(part.find(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))[0])
+
+            return lambda texts: np.array([clean(x) for x in texts], bool)
+
+        out = filter_rows(out, verdicts, text)
+    return out

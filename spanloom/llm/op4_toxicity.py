@@ -12,7 +12,7 @@ empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, materialize, pieces
+from .common import filter_rows, ids_of, materialize, pieces
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 #: Hash multipliers of the four kinds of features: a word, a pair, a pair over one word, a pair over two.
@@ -163,3 +163,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], key: str = "doc
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", bits: int = 24, threshold: float = 0.7) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def verdicts() -> Callable[[list[str | None]], np.ndarray]:
+        scorer = Scorer(held.value, bits)
+        return lambda texts: scorer.score(texts) < threshold
+
+    return filter_rows(docs, verdicts, text)

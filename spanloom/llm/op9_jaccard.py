@@ -308,3 +308,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     release(full)
     out = sets.select("doc_id", "n", "class").join(classes, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = 2_000_000, **how: int) -> DataFrame:
+    """The row with the least id of each component, with all its columns.
+
+    Rows with a null id stay.  Rows that share an id are kept or dropped together; equal ones among them stay once.
+    """
+    found = materialize(link(docs, key, text, broadcast_ids=broadcast_ids, **how).select("doc_id", "component_id"), "jaccard-found")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    odd = materialize(ids.where("least < doc_id and most < doc_id or n > 1").select(F.col("doc_id").alias("_id"), ((F.col("most") >= F.col("doc_id")) & (F.col("n") > 1)).alias("_again")), "jaccard-dropped")
+    near = F.broadcast(odd) if odd.count() <= broadcast_ids else odd
+    marked = docs.join(near, docs[key] == near["_id"], "left")
+    single = marked.where("_id is null").select(*docs.columns)
+    again = odd.where("_again")
+    if not again.take(1):
+        return single
+    return single.unionByName(marked.where("_again").select(*docs.columns).dropDuplicates([key, text]))
