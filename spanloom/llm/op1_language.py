@@ -38,14 +38,14 @@ def normalise(text: str) -> bytes:
 
 def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1200, sample_chars: int = 1500, dict_bytes: int = 64_000) -> dict[str, bytes]:
     """Raw dictionary contents by language, from a bounded sample that is picked by hash of the key."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, sample_rows / n))) for k, n in sorted(counts.items())], F.lit(0.0))
-    order = F.xxhash64(F.lit("language sample"), F.col(key).cast("string"))
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_rows / n))) for k, n in sorted(counts.items())], F.lit(0.0))
+    order = F.xxhash64(F.lit("language sample"), F.col("key"))
     picked = rows.withColumn("_order", order).where(F.pmod(F.col("_order"), F.lit(1_000_000)) < share * 1_000_000)
-    sample = picked.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"), "_order").collect()
+    sample = picked.select("lang", F.substring("text", 1, sample_chars).alias("text"), "_order").collect()
     held: dict[str, list[bytes]] = {}
     for row in sorted(sample, key=lambda r: (r["_order"], r["text"])):
         held.setdefault(row["lang"], []).append(normalise(row["text"]))
