@@ -40,9 +40,9 @@ def permutation_p(rows: DataFrame, key: str, value: str, label: str, replicates:
     A replicate orders rows by a hash of (seed, replicate, key) and calls the first n positive, so replicates are exploded
     once and grouped, whatever the number of rows.
     """
-    totals = rows.agg(F.sum(label).alias("_np"), F.avg(F.when(F.col(label) == 1, F.col(value))).alias("observed"))
+    n_pos, observed = rows.agg(F.sum(label), F.avg(F.when(F.col(label) == 1, F.col(value)))).first()
     wide = rows.select(key, value).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     w = W.partitionBy("_rep").orderBy(F.xxhash64(F.lit(seed), "_rep", key), key)
-    ranked = wide.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(totals))  # totals is one row
-    means = ranked.where(F.col("_rn") <= F.col("_np")).groupBy("_rep", "observed").agg(F.avg(value).alias("_m"))
+    ranked = wide.withColumn("_rn", F.row_number().over(w)).withColumn("observed", F.lit(observed))
+    means = ranked.where(F.col("_rn") <= F.lit(n_pos or 0)).groupBy("_rep", "observed").agg(F.avg(value).alias("_m"))
     return means.groupBy("observed").agg(((F.sum((F.col("_m") >= F.col("observed")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
