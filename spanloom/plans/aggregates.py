@@ -96,10 +96,10 @@ def _(spark, d):
 _DEC = "x as (select o_orderkey, o_orderpriority as fam, o_totalprice as score, o_orderkey % 4 = 0 as decoy from orders)"
 
 
-@query("AGG-13", f"with {_DEC}, w as (select *, sum(decoy::int) over (partition by fam order by score desc) as nd, sum((not decoy)::int) over (partition by fam order by score desc) as nr from x) select o_orderkey, round(nd / 2 / nr, 8) as fdr from w where not decoy")
+@query("AGG-13", f"with {_DEC}, w as (select *, sum(decoy::int) over (partition by fam order by score desc) as nd, sum((not decoy)::int) over (partition by fam order by score desc) as nr from x) select o_orderkey, nd / 2 / nr as fdr from w where not decoy")
 def _(spark, d):
     x = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("fam"), F.col("o_totalprice").alias("score"))
-    return A.fdr_at_own_score(x, "fam", "score", F.col("o_orderkey") % 4 == 0, 2).select("o_orderkey", F.round("fdr", 8).alias("fdr"))
+    return A.fdr_at_own_score(x, "fam", "score", F.col("o_orderkey") % 4 == 0, 2).select("o_orderkey", "fdr")
 
 
 @query("AGG-14", f"with {_DEC} select fam, sum((score >= 400000 and not decoy)::int)::bigint as real_080, sum((score >= 450000 and not decoy)::int)::bigint as real_090, case when sum(decoy::int) >= 50 then sum((score >= 400000 and decoy)::int)::bigint end as decoy_080 from x group by fam")
