@@ -8,14 +8,18 @@ index, and every document computes its exact distance to all pivots with which i
   that is what settles large groups of copies without their pairs, and no group is ever brought together.
 * By the triangle inequality a document outside a region can only be linked with one inside if it lies within 2r of one
   of its pivots.  A region with such a *boundary* document is open: its documents take part in the next level.
-* The next level joins all documents outside regions and those of open regions.  In shingle space they are at distance 1
-  from nearly everything, where more pivots tell nothing apart, so here every document is its own pivot, and those within
-  r are found by an index on the shingles that a link makes necessary: the first n - ceil(sn) + 1 of n in one global
-  order, which puts shingles that pivots share last.  Pairs of the same region are skipped.
+* The next levels join all documents outside regions and those of open regions.  In shingle space they are at distance 1
+  from nearly everything, where more pivots tell nothing apart, so they meet by an index on the shingles that a link makes
+  necessary: the first n - ceil(sn) + 1 of n in one global order, which puts shingles that pivots share last.  Level 2 is
+  the pivot join again inside each shingle's list, its most central documents being the pivots: each document of the list
+  is compared with those.  What that links becomes larger regions.  Level 3 compares what is left exactly: short lists
+  give their pairs of different regions, longer ones put their documents into the cell of their head, the least class,
+  and a cell's sets meet as a whole in an inverted index that gives links only.  Cells are cut into chunks of bounded
+  size, every two of which meet.  Pairs of one region are never made.
 
 Candidates pass an exact upper bound (sizes, then the sum of minima of shingle counts by hash range), and what is left is
-verified on the whole sets.  Components of the links are found by star contraction.  Shingles and exact-set classes are
-64-bit hashes.  Documents with equal sets are one class and are compared once.
+verified on the whole sets, which meet in blocks of bounded size.  Components of the links are found by star contraction.
+Shingles and exact-set classes are 64-bit hashes.  Documents with equal sets are one class and are compared once.
 
 Cases: a null or empty text, or one without words, has an empty set and is its own component.  A text of fewer words than
 ``width`` is one shingle.  Repeated rows fall into one class.  An empty table gives an empty result; other columns are
@@ -24,7 +28,7 @@ ignored.  Rows with a null id take part like others and are never the smallest i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,8 @@ from .components import components
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 WORDS_HELD = 400_000
-#: Hash ranges of the sketch that bounds overlaps.
-RANGES = 128
+#: Least number of hash ranges in a sketch.
+RANGES = 16
 
 
 class Known(dict):
@@ -120,6 +124,23 @@ class Pivots:
         return own, count[own]
 
 
+def sketch_of(found: np.ndarray) -> bytes:
+    """Shingle counts by hash range, four to eight a range on average, so long sets are told apart as well as short ones."""
+    bits = max(RANGES.bit_length() - 1, (len(found) // 4).bit_length() - 1)
+    return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """An upper bound on the overlap of two sets from their sketches; a count of 255 stands for any number."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    if x.max() == 255 or y.max() == 255:
+        return min(na, nb)
+    if len(x) != len(y):
+        few = min(len(x), len(y))
+        x, y = x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)
+    return int(np.minimum(x, y).sum())
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Shingles of a set of n among which any set at least this similar must have one."""
     return n - -(-percent * n // 100) + 1
@@ -158,7 +179,180 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, pivots: int = 1000, pivot_shingles: int = 1_000_000, block_tokens: int = 1_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
+def pack(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of class, n, label, tokens to one row per batch and block of the hash space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+            block = (token % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            edge = np.searchsorted(block[order], np.arange(blocks + 1))
+            name, size, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out: list[list] = [[] for _ in range(6)]
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                part = order[edge[b] : edge[b + 1]]
+                used, at = np.unique(row[part], return_inverse=True)
+                for x, y in zip(out, (b, token[part].tobytes(), at.astype(np.int32).tobytes(), name[used].astype(np.int64).tobytes(), size[used].astype(np.int32).tobytes(), label[used].astype(np.int64).tobytes()), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "token", "at", "class", "n", "label"])
+
+    return run
+
+
+def pairs(percent: int, stars: bool, centres: int = 2, small: int = 64) -> Callable[[pa.Table], pa.Table]:
+    """What the shingle lists of a block have to compare, as rows a, b, region.
+
+    With ``stars``, a list's documents meet only its ``centres`` most central ones, those that share most with others;
+    labels of -1 are no component.  Without, lists of one component give nothing; of the others, those of up to ``small``
+    documents give the pairs of different components, as long as their sizes allow a link, and a longer list puts its
+    documents (b) into the cell of its head (a), which is compared as a whole, without making its pairs.
+    """
+
+    def run(whole: pa.Table) -> pa.Table:
+        read = lambda name, kind: [np.frombuffer(x, kind) for x in whole.column(name).to_pylist()]
+        token, at, own = np.concatenate(read("token", np.uint64)), read("at", np.int32), read("class", np.int64)
+        offset = np.cumsum([0, *(len(x) for x in own)])
+        at = np.concatenate([x.astype(np.int64) + o for x, o in zip(at, offset, strict=False)])
+        own, n, label = np.concatenate(own), np.concatenate(read("n", np.int32)).astype(np.int64), np.concatenate(read("label", np.int64))
+        name, first_of, at_class = np.unique(own, return_index=True, return_inverse=True)  # copies seen by several tasks
+        n, label, at = n[first_of], label[first_of], at_class[at]
+        order = np.lexsort((n[at], token))
+        token, at = token[order], at[order]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (at[1:] != at[:-1])]
+        token, at = token[fresh], at[fresh]
+        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        many = np.diff(np.r_[begin, len(token)])
+        row = np.repeat(np.arange(len(begin)), many)
+        found, members = [np.zeros(0, np.int64)], np.zeros(0, np.int64)
+
+        def add(x: np.ndarray, y: np.ndarray, fits: np.ndarray) -> None:
+            ok = fits & (x != y) & ((label[x] != label[y]) | (label[x] == -1))
+            found.append(np.unique(x[ok] * len(name) + y[ok]))
+
+        weight = np.bincount(at, many[row] - 1, minlength=len(name)).astype(np.int64)
+        place = np.empty(len(name), np.int64)
+        place[np.lexsort((name, -weight))] = np.arange(len(name))
+        by = np.lexsort((place[at], row))  # every list's documents, the most central first
+        if stars:
+            for c in range(centres):
+                has = np.flatnonzero(many > c)
+                centre = np.zeros(len(begin), np.int64)
+                centre[has] = at[by[begin[has] + c]]
+                x, y = centre[row], at
+                add(x, y, (many[row] > c) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])))
+        else:
+            low, high = np.minimum.reduceat(label[at], begin), np.maximum.reduceat(label[at], begin)
+            mixed = low < high
+            long = (mixed & (many > small))[row]
+            # the least class heads a list, so lists of much the same documents have the same head in all blocks
+            head = np.minimum.reduceat(at, begin)
+            members = np.unique(head[row][long] * len(name) + at[long])
+            last = np.repeat(begin + many, many)
+            live, step = np.flatnonzero((mixed & (many <= small))[row] & (np.arange(len(token)) + 1 < last)), 1
+            while len(live):  # a document with the step-th larger one of its list, as long as the sizes allow
+                x, y = at[live], at[live + step]
+                fits = 100 * n[x] >= percent * n[y]
+                add(np.minimum(x, y), np.maximum(x, y), fits)
+                step += 1
+                live = live[fits]
+                live = live[live + step < last[live]]
+        every = np.unique(np.concatenate(found))
+        both = np.concatenate((every, members))
+        size = max(1, len(name))
+        return pa.table({"a": name[both // size], "b": name[both % size], "region": pa.array(np.arange(len(both)) >= len(every))})
+
+    return run
+
+
+def region_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between different components inside regions, from an inverted index of a region's sets; no pair is ever made."""
+
+    def run(whole: pa.Table) -> pa.Table:
+        out: tuple[list[int], list[int]] = ([], [])
+        key = whole.column("key").to_numpy()
+        names, labels = whole.column("class").to_numpy(), whole.column("label").to_numpy()
+        sets = whole.column("tokens")
+        for k in np.unique(key).tolist():
+            rows = np.flatnonzero(key == k)
+            rows = rows[np.unique(names[rows], return_index=True)[1]]
+            own = [sets[int(i)].values.to_numpy() for i in rows]
+            size = np.array([len(x) for x in own], np.int64)
+            token = np.concatenate(own)
+            order = np.argsort(token, kind="stable")
+            holder = np.repeat(np.arange(len(own)), size)[order]
+            _, first, inverse, many = np.unique(token[order], return_index=True, return_inverse=True, return_counts=True)
+            number = np.empty(len(token), np.int64)
+            number[order] = inverse
+            start = np.r_[0, np.cumsum(size)]
+            label, name = labels[rows], names[rows]
+            for x in range(len(own) - 1):
+                which = number[start[x] : start[x + 1]]
+                which = which[many[which] > 1]
+                times = many[which]
+                inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                shared = np.bincount(holder[np.repeat(first[which], times) + inside], minlength=len(own))[x + 1 :]
+                hit = x + 1 + np.flatnonzero((100 * shared >= percent * (size[x] + size[x + 1 :] - shared)) & (label[x + 1 :] != label[x]))
+                out[0].extend([int(name[x])] * len(hit))
+                out[1].extend(name[hit].tolist())
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def bound(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose sketches allow enough overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sa, sb, na, nb = (ids_of(batch, c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
+            most = np.array([most_shared(*x) for x in zip(sa, sb, na, nb, strict=True)])
+            yield batch.select(["a", "b", "n_a", "n_b", "doc_a", "doc_b"]).filter(pa.array(100 * most >= percent * (np.array(na) + np.array(nb) - most)))
+
+    return run
+
+
+def whole(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sets of texts again, for classes whose text this is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch, texts in pieces(batches):
+            found = shingler.sets(texts)
+            keep = [i for i, (s, c) in enumerate(zip(found, ids_of(batch, "class").to_pylist(), strict=True)) if len(s) and class_of(s) == c]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids_of(batch, "class").take(at), ids_of(batch, "blocks").take(at), ids_of(batch, "label").take(at), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["class", "blocks", "label", "tokens"])
+
+    return run
+
+
+def verify(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links among a block's pairs; pairs that links of the block already connect add nothing and are skipped."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {c: t.values.to_numpy().view(np.uint64) for c, t in zip(left.column("class").to_pylist(), left.column("tokens"), strict=True)}
+        number = {c: i for i, c in enumerate(found)}
+        known, out = Union(len(found)), ([], [])
+        for x, y in sorted(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True)):
+            i, j = number[x], number[y]
+            if known.find(i) != known.find(j):
+                n = len(found[x]) + len(found[y])
+                both = np.sort(np.concatenate((found[x], found[y])), kind="stable")
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * shared >= percent * (n - shared):
+                    known.join(i, j)
+                    out[0].append(x)
+                    out[1].append(y)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, pivots: int = 1000, pivot_shingles: int = 1_000_000, block_tokens: int = 1_000_000, broadcast_ids: int = 2_000_000, group_limit: int = 2_000, short_list: int = 64) -> DataFrame:
     """doc_id, n_shingles, class (of equal sets), component_id (least doc_id that links reach)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -170,7 +364,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # level 1: class, regions, necessary shingles and sketch of every document, in one pass
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, index, seen = Shingler(width), Pivots(held.value), set()
-        common = index.token[index.many > 1]
         for batch, texts in pieces(batches):
             out: list[list] = [[] for _ in range(7)]
             for found in shingler.sets(texts):
@@ -191,11 +384,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                     keep = prefix_size(n, percent)
                     first_ones = np.delete(found, late)[:keep] if len(late) else found[:keep]
                     tokens = np.concatenate([first_ones, found[late][: keep - len(first_ones)]]).view(np.int64) if len(first_ones) < keep else first_ones.view(np.int64)
-                    sketch = np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+                    sketch = sketch_of(found)
                 for x, y in zip(out, (own, n, near, window, tokens, sketch), strict=False):
                     x.append(y)
             yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], list_of(pa.int32())), pa.array(out[3], list_of(pa.int32())), pa.array(out[4], list_of(pa.int64())), pa.array(out[5], pa.binary())], names=["doc_id", "class", "n", "near", "window", "tokens", "sketch"])
-        del common
 
     sets = materialize(rows.mapInArrow(first, "doc_id long, class long, n long, near array<int>, window array<int>, tokens array<long>, sketch binary"), "jaccard-sets")
     firsts = sets.where("tokens is not null")
@@ -213,99 +405,65 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     links_near = firsts.where("size(near) > 0").select(F.col("class").alias("a"), F.explode("near").alias("p"))
     links_near = links_near.select("a", F.element_at(F.array(*[F.lit(c) for c in centre]), F.col("p") + 1).alias("b")) if centre else spark.createDataFrame([], "a long, b long")
 
-    # level 2: shingles to blocks of the hash space, pairs inside a block
+    # levels 2 and 3: shingles to blocks of the hash space, pairs inside a block
     total = level.agg(F.sum(F.size("tokens"))).first()[0] or 0
     blocks = max(24, -(-total // block_tokens))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-            block = (token % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            edge = np.searchsorted(block[order], np.arange(blocks + 1))
-            table = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            out: list[list] = [[] for _ in range(6)]
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                part = order[edge[b] : edge[b + 1]]
-                used, at = np.unique(row[part], return_inverse=True)
-                for x, y in zip(out, (b, token[part].tobytes(), at.astype(np.int32).tobytes(), table[0][used].astype(np.int64).tobytes(), table[1][used].astype(np.int32).tobytes(), table[2][used].astype(np.int32).tobytes()), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "token", "at", "class", "n", "region"])
-
-    def pairs(whole: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in whole.column(name).to_pylist()]
-        token, at, own = np.concatenate(read("token", np.uint64)), read("at", np.int32), read("class", np.int64)
-        offset = np.cumsum([0, *(len(x) for x in own)])
-        at = np.concatenate([x.astype(np.int64) + o for x, o in zip(at, offset, strict=False)])
-        own, n, where = np.concatenate(own), np.concatenate(read("n", np.int32)).astype(np.int64), np.concatenate(read("region", np.int32))
-        name, first_of, at_class = np.unique(own, return_index=True, return_inverse=True)  # copies seen by several tasks
-        n, where, at = n[first_of], where[first_of], at_class[at]
-        order = np.lexsort((n[at], token))
-        token, at = token[order], at[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (at[1:] != at[:-1])]
-        token, at = token[fresh], at[fresh]
-        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        end = np.repeat(np.r_[begin[1:], len(token)], np.diff(np.r_[begin, len(token)]))
-        size = n[at]
-        found = [np.zeros(0, np.int64)]
-        live, step, held_pairs = np.flatnonzero(np.arange(len(token)) + 1 < end), 1, 0
-        while len(live):  # a document with the step-th larger one of its shingle, as long as the sizes allow
-            x, y = at[live], at[live + step]
-            fits = 100 * size[live] >= percent * size[live + step]
-            ok = fits & (x != y) & ~((where[x] >= 0) & (where[x] == where[y]))
-            low, high = np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok])
-            found.append(low * len(name) + high)
-            held_pairs += len(low)
-            if held_pairs > 4_000_000:
-                found, held_pairs = [np.unique(np.concatenate(found))], 0
-            step += 1
-            live = live[fits]
-            live = live[live + step < end[live]]
-        every = np.unique(np.concatenate(found))
-        return pa.table({"a": name[every // max(1, len(name))], "b": name[every % max(1, len(name))]})
-
-    packed = level.select("class", F.col("n").cast("int").alias("n"), "region", "tokens").mapInArrow(pack, "block int, token binary, at binary, class binary, n binary, region binary")
-    candidates = packed.groupBy("block").applyInArrow(pairs, "a long, b long").distinct()
-
-    # exact upper bound on the overlap, then whole sets
     sketch = firsts.groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     side = lambda s: sketch.select(F.col("class").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"), F.col("doc_id").alias(f"doc_{s}"))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sa, sb = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(f"sketch_{s}")).to_pylist()), np.uint8).reshape(-1, RANGES) for s in "ab")
-            na, nb = (batch.column(batch.schema.get_field_index(f"n_{s}")).to_numpy() for s in "ab")
-            most = np.where((sa.max(1) == 255) | (sb.max(1) == 255), np.minimum(na, nb), np.minimum(sa, sb).sum(1, dtype=np.int64))
-            keep = pa.array(100 * most >= percent * (na + nb - most))
-            yield batch.select(["a", "b", "n_a", "n_b", "doc_a", "doc_b"]).filter(keep)
-
-    likely = materialize(candidates.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long, n_a long, n_b long, doc_a long, doc_b long"), "jaccard-candidates")
-    wanted = likely.select(F.col("a").alias("class"), F.col("doc_a").alias("doc_id")).union(likely.select("b", "doc_b")).distinct()
-    small = wanted.count() <= broadcast_ids
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch, texts in pieces(batches):
-            found = shingler.sets(texts)
-            keep = [i for i, (s, c) in enumerate(zip(found, ids_of(batch, "class").to_pylist(), strict=True)) if len(s) and class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([ids_of(batch, "class").take(pa.array(keep, pa.int64())), pa.array([found[i].view(np.int64) for i in keep], list_of(pa.int64()))], names=["class", "tokens"])
+    def whole_sets(needed: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+        """block, class, label, tokens for ``needed``: class, doc_id, block."""
+        wanted = needed.groupBy("class", "doc_id").agg(F.collect_set(F.col("block").cast("long")).alias("blocks"))
+        wanted = wanted.join(labels, "class") if labels is not None else wanted.withColumn("label", F.lit(0).cast("long"))
+        wanted = materialize(wanted, "jaccard-wanted")
+        # one row per candidate document: broadcast only while few
+        small = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
+        texts = rows.join(small, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text", "blocks", "label")
+        full = texts.mapInArrow(whole(width), "class long, blocks array<long>, label long, tokens array<long>")
+        return full.select(F.explode("blocks").alias("block"), "class", "label", "tokens")
+
+    def join_level(labelled: DataFrame, stars: bool) -> DataFrame:
+        """Verified links of one level: ``labelled`` has class, n, label, tokens; equal labels are one component."""
+        packed = labelled.select("class", F.col("n").cast("int").alias("n"), "label", "tokens").mapInArrow(pack(blocks), "block int, token binary, at binary, class binary, n binary, label binary")
+        found = materialize(packed.groupBy("block").applyInArrow(pairs(percent, stars, small=short_list), "a long, b long, region boolean").distinct(), "jaccard-found")
+        made = found.where("not region").select("a", "b")
+        likely = materialize(made.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound(percent), "a long, b long, n_a long, n_b long, doc_a long, doc_b long"), "jaccard-candidates")
+        # a document's pairs meet in the block of its least partner, large ones being cut by hash; partners are copied there
+        home = likely.groupBy("b").agg(F.min("a").alias("_p"))
+        sizes = home.groupBy("_p").agg(F.count(F.lit(1)).alias("_m"))
+        volume = likely.agg(F.sum("n_b")).first()[0] or 0
+        parts = max(24, -(-volume // 20_000_000))
+        part = F.pmod(F.xxhash64("_p", F.pmod(F.xxhash64("b"), F.ceil(F.col("_m") / group_limit))), F.lit(parts)).cast("long")
+        placed = materialize(likely.join(home.join(sizes, "_p").select("b", part.alias("block")), "b").select("a", "b", "doc_a", "doc_b", "block"), "jaccard-pairs")
+        needed = placed.select(F.col("a").alias("class"), F.col("doc_a").alias("doc_id"), "block").union(placed.select("b", "doc_b", "block")).distinct()
+        met = whole_sets(needed).groupBy("block").cogroup(placed.select("block", "a", "b").groupBy("block"))
+        out = met.applyInArrow(verify(percent), "a long, b long")
+        if not stars:
+            # regions: cut by hash into chunks of bounded size, every two chunks meeting once
+            members = found.where("region").select(F.col("a").alias("centre"), F.col("b").alias("class"))
+            chunks = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / group_limit).alias("_c"))
+            cut = members.join(chunks, "centre").withColumn("_i", F.pmod(F.xxhash64("class"), F.col("_c")))
+            others = F.when(F.col("_c") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1), lambda j: j != F.col("_i")))
+            keyed = cut.select("centre", "class", "_i", F.explode(others).alias("_j")).select("class", F.xxhash64("centre", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("block"))
+            needed = keyed.join(sketch.select("class", "doc_id"), "class").select("class", "doc_id", "block")
+            sets_of = whole_sets(needed, labelled.groupBy("class").agg(F.min("label").alias("label")))
+            regions = max(24, -(-(total or 0) // 500_000))
+            grouped = sets_of.select(F.pmod("block", F.lit(regions)).alias("part"), F.col("block").alias("key"), "class", "label", "tokens").groupBy("part")
+            out = out.union(grouped.applyInArrow(region_links(percent), "a long, b long"))
+        out = materialize(out, "jaccard-links")
+        release(likely)
+        release(found)
+        return out
 
-    texts = rows.join(F.broadcast(wanted) if small else wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
-    full = materialize(texts.mapInArrow(whole, "class long, tokens array<long>"), "jaccard-full")
-    tokens = lambda s: full.groupBy("class").agg(F.first("tokens").alias(f"t_{s}")).withColumnRenamed("class", s)
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    verified = likely.join(tokens("a"), "a").join(tokens("b"), "b").where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    first_links = join_level(level.withColumn("label", F.col("region").cast("long")), True)
+    known = materialize(components(links_near.union(first_links)), "jaccard-labels")
+    labelled = level.join(known, level["class"] == known["node"], "left").withColumn("label", F.coalesce("root", "class"))
+    verified = first_links.union(join_level(labelled, False))
     roots = components(links_near.union(verified))
     heads = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"))
     placed = heads.join(roots, heads["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "head")
     least = placed.groupBy("root").agg(F.min("head").alias("component"))
     classes = materialize(placed.join(least, "root").select(F.col("class").alias("_class"), "component"), "jaccard-classes")
-    release(likely)
-    release(full)
     out = sets.select("doc_id", "n", "class").join(classes, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -317,11 +475,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast
     """
     found = materialize(link(docs, key, text, broadcast_ids=broadcast_ids, **how).select("doc_id", "component_id"), "jaccard-found")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"), F.count(F.lit(1)).alias("n"))
-    odd = materialize(ids.where("least < doc_id and most < doc_id or n > 1").select(F.col("doc_id").alias("_id"), ((F.col("most") >= F.col("doc_id")) & (F.col("n") > 1)).alias("_again")), "jaccard-dropped")
+    odd = materialize(ids.where("least < doc_id and most < doc_id or n > 1").select(F.col("doc_id").alias("_spanloom_id"), ((F.col("most") >= F.col("doc_id")) & (F.col("n") > 1)).alias("_spanloom_again")), "jaccard-dropped")
     near = F.broadcast(odd) if odd.count() <= broadcast_ids else odd
-    marked = docs.join(near, docs[key] == near["_id"], "left")
-    single = marked.where("_id is null").select(*docs.columns)
-    again = odd.where("_again")
+    marked = docs.join(near, docs[key] == near["_spanloom_id"], "left")
+    single = marked.where("_spanloom_id is null").select(*docs.columns)
+    again = odd.where("_spanloom_again")
     if not again.take(1):
         return single
-    return single.unionByName(marked.where("_again").select(*docs.columns).dropDuplicates([key, text]))
+    return single.unionByName(marked.where("_spanloom_again").select(*docs.columns).dropDuplicates([key, text]))

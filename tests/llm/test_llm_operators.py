@@ -339,8 +339,8 @@ def slow_components(rows):
     return sorted(((key, len(sets[i]), least[find(i)]) for i, (key, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize(("pivots", "limit"), [(0, 2_000), (6, 2_000), (40, 2)])
-def test_components_by_brute_force(spark, pivots, limit):
+@pytest.mark.parametrize(("pivots", "limit", "short"), [(0, 2_000, 12), (6, 2_000, 2), (0, 3, 2), (40, 2, 12)])
+def test_components_by_brute_force(spark, pivots, limit, short):
     rng = random.Random(9)
     rows, key = [], 0
     for _ in range(12):
@@ -353,7 +353,7 @@ def test_components_by_brute_force(spark, pivots, limit):
             key += 1
     rows += [(key, None), (key + 1, ""), (key + 2, "One"), (key + 3, "one"), (key + 3, "one"), (key + 4, "a a a a a a"), (key + 5, "a a a a a a a a")]
     docs = frame(spark, [(i, t, None, None) for i, t in rows])
-    got = op9_jaccard.link(docs, pivots=pivots, group_limit=limit)
+    got = op9_jaccard.link(docs, pivots=pivots, group_limit=limit, short_list=short)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == slow_components(rows)
 
 
