@@ -41,7 +41,7 @@ from .components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 #: Least number of hash ranges in a sketch.
 RANGES = 16
 
@@ -432,7 +432,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         home = likely.groupBy("b").agg(F.min("a").alias("_p"))
         sizes = home.groupBy("_p").agg(F.count(F.lit(1)).alias("_m"))
         volume = likely.agg(F.sum("n_b")).first()[0] or 0
-        parts = max(24, -(-volume // 20_000_000))
+        parts = max(48, -(-volume // 4_000_000))
         part = F.pmod(F.xxhash64("_p", F.pmod(F.xxhash64("b"), F.ceil(F.col("_m") / group_limit))), F.lit(parts)).cast("long")
         placed = materialize(likely.join(home.join(sizes, "_p").select("b", part.alias("block")), "b").select("a", "b", "doc_a", "doc_b", "block"), "jaccard-pairs")
         needed = placed.select(F.col("a").alias("class"), F.col("doc_a").alias("doc_id"), "block").union(placed.select("b", "doc_b", "block")).distinct()
@@ -447,7 +447,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             keyed = cut.select("centre", "class", "_i", F.explode(others).alias("_j")).select("class", F.xxhash64("centre", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("block"))
             needed = keyed.join(sketch.select("class", "doc_id"), "class").select("class", "doc_id", "block")
             sets_of = whole_sets(needed, labelled.groupBy("class").agg(F.min("label").alias("label")))
-            regions = max(24, -(-(total or 0) // 500_000))
+            regions = max(96, -(-total // 100_000))
             grouped = sets_of.select(F.pmod("block", F.lit(regions)).alias("part"), F.col("block").alias("key"), "class", "label", "tokens").groupBy("part")
             out = out.union(grouped.applyInArrow(region_links(percent), "a long, b long"))
         out = materialize(out, "jaccard-links")
