@@ -135,7 +135,7 @@ def _(spark, d):
 
 @query("JON-21")
 def _(spark, d):
-    return S.kmer_pairs(_short(spark, d), "clade", "id", "seq", 11, 200, 0.3)
+    return S.kmer_pairs(_short(spark, d), "clade", "id", "seq", 11, 0.3)
 
 
 @query("SIM-11", "select doc_id, case when n_chars >= 1500 then 'supported' else 'underpowered' end as verdict from documents")

@@ -129,3 +129,28 @@ def test_stream_census(spark):
     want = sorted(map(tuple, stream_census(events).collect()))
     assert sum(r[2] for r in want) == events.count()
     assert spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001").isStreaming
+
+
+@pytest.mark.parametrize("bound", [1 << 21, 3000])
+def test_pairs_and_clusters_of_common_kmers_are_whole(spark, bound):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    template, other = word(150), word(150)
+    near = lambda s: "".join(rng.choice("ACGT") if rng.random() < 0.01 else c for c in s)
+    seqs = [near(template) for _ in range(260)] + [template[:75] + word(75) for _ in range(20)] + [near(other) for _ in range(5)] + ["ACG", "ACG", "", None]
+    rows = [("g" if i % 40 else "h", i, s) for i, s in enumerate(seqs)]
+    sets = [{s} if s is None or len(s) < 11 else {s[o : o + 11] for o in range(len(s) - 10)} for s in seqs]
+    want = {}
+    for g, a, _ in rows:
+        for h, b, _ in rows[a + 1 :]:
+            if g == h and (v := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.3:
+                want[a, b] = v
+    df = spark.createDataFrame(rows, "grp string, id long, seq string").repartition(3)
+    got = similarity.kmer_pairs(df, "grp", "id", "seq", 11, 0.3, bound=bound).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+    root = list(range(len(seqs)))
+    for a, b in sorted(want):
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    found = {r["id"]: r["cluster"] for r in similarity.cluster(df, "grp", "id", "seq", 0.3, bound=bound).collect()}
+    assert found == {i: root[i] for i, s in enumerate(seqs) if s is not None}
