@@ -77,7 +77,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.blocks import helices
 
-    t = table(spark, d, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("locus"), (F.col("l_partkey") % 60).alias("i"), (F.col("l_partkey") % 60 + 8 + F.col("l_suppkey") % 40).alias("j"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("locus"), (F.col("l_partkey") % 60).alias("i"), (F.col("l_partkey") % 60 + 8 + F.col("l_suppkey") % 40).alias("j"))
     return helices(t, "locus")
 
 

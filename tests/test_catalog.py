@@ -48,3 +48,16 @@ def test_query(spark, duck, name):
     at = [columns.index(c) for c in names]
     want = sorted((tuple(plain(row[i]) for i in at) for row in cursor.fetchall()), key=repr)
     assert got == want
+
+
+def test_no_id_range_is_left_out(spark, tmp_path):
+    words = "The quick brown fox jumps over the lazy dog while seven wizards quietly mix strong potions"
+    spark.createDataFrame([(i, words, "en", "s") for i in (53, 77)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("SIM-08", "SIM-09", "SIM-10", "SIM-15"):
+        assert {r["q"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == {53, 77}, name
+    lines = [(900, n, 50, 10 * n, "1995-02-01") for n in range(1, 4)] + [(1000 + n, 1, 50, 5, "1995-02-01") for n in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "1995-01-01") for k in (900, 1000, 1001, 1002, 1003)], "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["locus"] for r in catalog.queries()["WIN-11"](spark, str(tmp_path)).collect()} == {"900", "1000", "1001", "1002", "1003"}
+    assert catalog.queries()["A1-blocks"](spark, str(tmp_path)).count() == 1
+    assert catalog.queries()["A1-block-members"](spark, str(tmp_path)).count() == 5
