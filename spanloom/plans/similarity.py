@@ -15,23 +15,19 @@ from ..sources.adapters import SEQS, sequences, table
 from .registry import query
 
 
-def _short(spark, d, n=240):
-    return sequences(spark, d).where(F.length("seq") >= 60).withColumn("seq", F.substring("seq", 1, n))
-
-
 def _each(rows, f, kind, seq="seq"):
-    """Adds ``x = f(seq)`` by a scalar pandas UDF; Arrow batches, no per-row round trips."""
+    """Adds ``x = f(seq)``, null for a null, by a scalar pandas UDF; Arrow batches, no per-row round trips."""
 
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(f)
+        return pd.Series([f(x) if isinstance(x, str) else None for x in s], dtype="Int64" if kind == "long" else "Float64")
 
     return rows.withColumn("x", run(F.col(seq)))
 
 
 @query("SCA-06")
 def _(spark, d):
-    return _each(_short(spark, d), S.stop_free, "long").select("id", F.col("x").alias("stop_free"))
+    return _each(sequences(spark, d), S.stop_free, "long").select("id", F.col("x").alias("stop_free"))
 
 
 @query("SCA-07")
@@ -43,12 +39,12 @@ def _(spark, d):
         sd = float(np.std(runs))
         return (own - float(np.mean(runs))) / sd if sd else 0.0
 
-    return _each(_short(spark, d, 120).where("id % 4 = 0 or length(seq) >= 60"), z, "double").select("id", F.round("x", 6).alias("orf_z"))
+    return _each(sequences(spark, d), z, "double").select("id", F.round("x", 6).alias("orf_z"))
 
 
 @query("SCA-08")
 def _(spark, d):
-    return _each(_short(spark, d, 200), S.longest_inverted_repeat, "long").select("id", F.col("x").alias("ir_arm"), (F.col("x") / F.length("seq")).alias("ir_frac"))
+    return _each(sequences(spark, d).withColumn("short", F.when(F.length("seq") <= 600, F.col("seq"))), S.longest_inverted_repeat, "long", "short").select("id", F.col("x").alias("ir_arm"), F.when(F.length("seq") > 0, F.col("x") / F.length("seq")).alias("ir_frac"))
 
 
 @query("SCA-25")
@@ -59,20 +55,20 @@ def _(spark, d):
         half = width // 2
         return float(np.concatenate([one_hot[-half:], one_hot, one_hot[:half]])[:width, 1:3].sum())
 
-    return _each(_short(spark, d), centre, "double").select("id", F.col("x").alias("first_window"))
+    return _each(sequences(spark, d), centre, "double").select("id", F.col("x").alias("first_window"))
 
 
 @query("SIM-01")
 def _(spark, d):
-    return S.open_frames(_short(spark, d, 600), "id", "seq", 60)
+    return S.open_frames(sequences(spark, d), "id", "seq", 60)
 
 
 @query("SIM-02")
 def _(spark, d):
     from ..functions.intervals import ARRAY, merged
 
-    frames = S.open_frames(_short(spark, d, 600), "id", "seq", 60).select("id", "s", "e")
-    anchors = _short(spark, d, 600).select("id", F.lit(20).cast("long").alias("s"), F.lit(50).cast("long").alias("e"))
+    frames = S.open_frames(sequences(spark, d), "id", "seq", 60).select("id", "s", "e")
+    anchors = sequences(spark, d).select("id", F.lit(20).cast("long").alias("s"), F.lit(50).cast("long").alias("e"))
     return frames.unionByName(anchors).groupBy("id").agg(merged(F.collect_list(F.struct("s", "e"))).cast(ARRAY).alias("mask")).select("id", F.size("mask").alias("pieces"), F.element_at("mask", 1)["s"].alias("first_s"))
 
 
@@ -89,7 +85,7 @@ def _(spark, d):
 
 
 def _clusters(spark, d, least):
-    return S.cluster(_short(spark, d), "clade", "id", "seq", least)
+    return S.cluster(sequences(spark, d), "clade", "id", "seq", least)
 
 
 @query("SIM-05")
@@ -101,7 +97,7 @@ def _(spark, d):
 def _(spark, d):
     from ..functions.sequence import reverse_complement
 
-    rows = _short(spark, d)
+    rows = sequences(spark, d)
     return S.cluster(rows.withColumn("seq", F.least("seq", reverse_complement(F.col("seq")))), "clade", "id", "seq", 0.5)
 
 
@@ -116,26 +112,26 @@ def _(spark, d):
 
 @query("SIM-08")
 def _(spark, d):
-    r = _short(spark, d, 160)
+    r = sequences(spark, d)
     return S.seed_hits(r, r, "clade", least=14)
 
 
 @query("SIM-09")
 def _(spark, d):
-    r = _short(spark, d, 120)
+    r = sequences(spark, d)
     return S.seed_hits(r, r, "clade", word=7, least=10, both_strands=False)
 
 
 @query("SIM-10")
 def _(spark, d):
-    r = _short(spark, d, 160)
+    r = sequences(spark, d)
     known = r.select(F.lit("known").alias("clade"), "id", "seq")
     return S.seed_hits(known, known, "clade", least=14)
 
 
 @query("JON-21")
 def _(spark, d):
-    return S.kmer_pairs(_short(spark, d), "clade", "id", "seq", 11, 0.3)
+    return S.kmer_pairs(sequences(spark, d), "clade", "id", "seq", 11, 0.3)
 
 
 @query("SIM-11", "select doc_id, case when n_chars >= 1500 then 'supported' else 'underpowered' end as verdict from documents")
@@ -154,15 +150,18 @@ def _(spark, d):
         for frame in batches:
             out = []
             for seq in frame["seq"]:
+                if not isinstance(seq, str) or not seq:
+                    out.append(None)
+                    continue
                 x = np.eye(4)[np.minimum(np.searchsorted(np.frombuffer(b"ACGT", np.uint8), np.frombuffer(seq.encode(), np.uint8)), 3)]
                 for n, w in enumerate(weights):
                     padded = np.pad(x, ((2, 2), (0, 0)))
                     x = sum(padded[k : k + len(x)] @ w[k] for k in range(5))
                     x = np.maximum(x, 0) if n < 2 else 1 / (1 + np.exp(-x))
                 out.append(float(x.mean()))
-            yield pd.DataFrame({"id": frame["id"], "score": np.round(out, 6)})
+            yield pd.DataFrame({"id": frame["id"], "score": pd.array([None if x is None else round(x, 6) for x in out], "Float64")})
 
-    return _short(spark, d).select("id", "seq").mapInPandas(scores, "id long, score double")
+    return sequences(spark, d).select("id", "seq").mapInPandas(scores, "id long, score double")
 
 
 @query("SIM-13", "select conv_id, count(*)::bigint as n_regions, max(length(text))::bigint as longest from conversations group by 1")
@@ -182,7 +181,7 @@ def _(spark, d):
 
 @query("SIM-15")
 def _(spark, d):
-    r = _short(spark, d, 200)
+    r = sequences(spark, d)
     hits = S.seed_hits(r, r, "clade", least=14)
     full = best_of(hits, ["q"], F.desc("matches"), "s", "qs", "strand")
     return full.join(r.select(F.col("id").alias("s"), "seq"), "s").select("q", "s", F.expr("substring(seq, cast(qs as int), 30)").alias("allele"))
@@ -192,7 +191,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.sampling import sample_groups
 
-    rows = _short(spark, d).withColumn("pref", F.length("seq"))
+    rows = sequences(spark, d).withColumn("pref", F.length("seq"))
     return sample_groups(rows, "clade", "id", "seq", "pref", 3, 2, "diverse")
 
 
@@ -210,7 +209,7 @@ def _(spark, d):
     from ..functions.sequence import jaccard, kmers
     from ..operators.sampling import hash_sample
 
-    distinct = _short(spark, d).groupBy("clade", "seq").agg(F.min("id").alias("id"))
+    distinct = sequences(spark, d).groupBy("clade", "seq").agg(F.min("id").alias("id"))
     kept = hash_sample(distinct, ["clade"], "id", 30, 1).select("clade", "id", kmers(F.col("seq")).alias("k"))
     other = kept.select(F.col("clade").alias("c2"), F.col("id").alias("id2"), F.col("k").alias("k2"))
     met = kept.join(other, (F.col("clade") == F.col("c2")) & (F.col("id") < F.col("id2")))

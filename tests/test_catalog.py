@@ -61,3 +61,39 @@ def test_no_id_range_is_left_out(spark, tmp_path):
     assert {r["locus"] for r in catalog.queries()["WIN-11"](spark, str(tmp_path)).collect()} == {"900", "1000", "1001", "1002", "1003"}
     assert catalog.queries()["A1-blocks"](spark, str(tmp_path)).count() == 1
     assert catalog.queries()["A1-block-members"](spark, str(tmp_path)).count() == 5
+
+
+def test_texts_are_taken_whole(spark, tmp_path):
+    from spanloom.operators.similarity import longest_inverted_repeat, stop_free
+    from spanloom.sources.adapters import BASES, LETTERS
+
+    words = "the quick brown fox jumps over a lazy dog "
+    texts = {0: words * 30, 1: words * 30 + "and seven wizards mix potions", 2: words * 40, 3: "short one", 4: "", 5: None, 6: words * 30 + "adg" + "aaa" * 30 + "daa"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seqs = {i: t.replace(" ", "").translate(str.maketrans(LETTERS, BASES)) for i, t in texts.items() if t is not None}
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["stop_free"] for r in run("SCA-06")} == {i: stop_free(s) for i, s in seqs.items()} | {5: None}
+    assert {r["id"]: r["ir_arm"] for r in run("SCA-08")} == {i: longest_inverted_repeat(s) if len(s) <= 600 else None for i, s in seqs.items()} | {5: None}
+    assert {r["id"] for r in run("SIM-12") if r["score"] is not None} == {0, 1, 2, 3, 6}
+    assert max(r["e"] for r in run("SIM-01") if r["id"] == 6) > 600
+    assert max(r["qe"] for r in run("SIM-08")) > 600
+    found = {r["id"]: r["cluster"] for r in run("SIM-05")}
+    assert len(found) == 6 and (found[0], found[1], found[2]) == (0, 1, 0)
+    assert "2" in {r["id"] for r in run("SIM-16")}
+
+
+def test_stop_free_is_the_longest_open_run():
+    import random
+
+    from spanloom.operators.similarity import stop_free
+
+    rng = random.Random(2)
+    for n in range(200):
+        seq, best = "".join(rng.choice("ACGTTAAN") for _ in range(n)), 0
+        for text in (seq, seq.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]):
+            for f in range(3):
+                run = 0
+                for i in range(f, n - 2, 3):
+                    run = 0 if text[i : i + 3] in ("TAA", "TAG", "TGA") else run + 3
+                    best = max(best, run)
+        assert stop_free(seq) == best
