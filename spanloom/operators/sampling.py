@@ -56,20 +56,25 @@ def _sha(text: str) -> str:
     return hashlib.sha1(text.encode()).hexdigest()
 
 
-def _kmer_sets(seqs: Sequence[str], k: int) -> list[frozenset[str]]:
-    return [frozenset(s[i : i + k] for i in range(len(s) - k + 1)) if len(s) >= k else frozenset([s]) for s in seqs]
+def _kmer_sets(seqs: Sequence[str], k: int) -> list[int]:
+    """Sets as bits, so that a set of a large group takes little memory; equal sequences share one."""
+    bits: dict[str, int] = {}
+    known: dict[str, int] = {}
+    for s in seqs:
+        if s not in known:
+            known[s] = sum(1 << bits.setdefault(t, len(bits)) for t in ({s[i : i + k] for i in range(len(s) - k + 1)} if len(s) >= k else {s}))
+    return [known[s] for s in seqs]
 
 
-def _similarity(sets: Sequence[frozenset[str]], one: frozenset[str]) -> np.ndarray:
+def _similarity(sets: Sequence[int], one: int) -> np.ndarray:
     out = np.zeros(len(sets))
     for i, other in enumerate(sets):
         if one and other:
-            shared = len(one & other)
-            out[i] = shared / (len(one) + len(other) - shared)
+            out[i] = (one & other).bit_count() / (one | other).bit_count()
     return out
 
 
-def farthest(sets: Sequence[frozenset[str]], pref: Sequence[float], tie: Sequence[str], n: int) -> list[int]:
+def farthest(sets: Sequence[int], pref: Sequence[float], tie: Sequence[str], n: int) -> list[int]:
     """Places picked greedily: first the best (pref, tie), then always the one farthest from all picked before."""
     if not sets or n <= 0:
         return []
@@ -118,7 +123,7 @@ def stratified(ids: Sequence[str], seqs: Sequence[str | None], pref: Sequence[fl
 def sample_groups(rows: DataFrame, group: str, key: str, seq: str, pref: str, cap: int, seed: int, mode: str = "stratified") -> DataFrame:
     """group, id of the sample of each group.  Modes: stratified, diverse (farthest point), hash, first.
 
-    Greedy modes need a group in one task; groups are first cut by hash to ``64 * cap`` rows, which bounds that task.
+    Greedy modes take all rows of a group, in one task, so a task grows with the largest group.
     """
     if mode == "hash":
         return hash_sample(rows, [group], key, cap, seed).select(group, F.col(key).alias("id"))
@@ -136,6 +141,5 @@ def sample_groups(rows: DataFrame, group: str, key: str, seq: str, pref: str, ca
             chosen = sorted(ids[order[p]] for p in farthest(sets, [prefs[i] for i in order], [_sha(f"{seed}:{ids[i]}") for i in order], cap))
         return pd.DataFrame({"grp": [frame["grp"].iloc[0]] * len(chosen), "id": chosen})
 
-    bounded = hash_sample(rows, [group], key, 64 * cap, seed)
-    chosen = bounded.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("string").alias("id"), F.col(seq).alias("seq"), F.col(pref).cast("double").alias("pref"))
+    chosen = rows.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("string").alias("id"), F.col(seq).alias("seq"), F.col(pref).cast("double").alias("pref"))
     return chosen.groupBy("grp").applyInPandas(run, "grp string, id string").withColumnRenamed("grp", group)

@@ -154,3 +154,17 @@ def test_pairs_and_clusters_of_common_kmers_are_whole(spark, bound):
         root = [min(x, y) if r in (x, y) else r for r in root]
     found = {r["id"]: r["cluster"] for r in similarity.cluster(df, "grp", "id", "seq", 0.3, bound=bound).collect()}
     assert found == {i: root[i] for i, s in enumerate(seqs) if s is not None}
+
+
+@pytest.mark.parametrize("mode", ["stratified", "diverse"])
+def test_greedy_samples_see_the_whole_group(spark, mode):
+    rng = random.Random(9)
+    base = "".join(rng.choice("ACGT") for _ in range(60))
+    rows = [("g", f"{i:04}", base[: 20 + i % 30] + "A" + base[20 + i % 30 :], 1) for i in range(400)] + [("g", "far", "T" * 60, 1), ("g", "best", base, 9)]
+    got = {r["id"] for r in sampling.sample_groups(spark.createDataFrame(rows, "clade string, id string, seq string, pref int"), "clade", "id", "seq", "pref", 2, 1, mode).collect()}
+    assert got == {"far", "best"}
+    ids, seqs, prefs = [r[1] for r in rows], [r[2] for r in rows], [float(r[3]) for r in rows]
+    if mode == "stratified":
+        want = sampling.stratified(ids, seqs, prefs, 5, 1)
+        got = [r["id"] for r in sampling.sample_groups(spark.createDataFrame(rows, "clade string, id string, seq string, pref int"), "clade", "id", "seq", "pref", 5, 1).collect()]
+        assert sorted(got) == want
