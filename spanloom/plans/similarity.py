@@ -32,7 +32,7 @@ def _(spark, d):
 
 @query("SCA-07")
 def _(spark, d):
-    def z(seq: str, shuffles: int = 20) -> float:
+    def z(seq: str, shuffles: int = 60) -> float:
         rng = np.random.default_rng(len(seq))
         cells, own = np.frombuffer(seq.encode(), np.uint8), S.stop_free(seq)
         runs = [S.stop_free(rng.permutation(cells).tobytes().decode()) for _ in range(shuffles)]
@@ -198,7 +198,7 @@ def _(spark, d):
 @query("AGG-18")
 def _(spark, d):
     rungs = None
-    for least in (0.95, 0.5):
+    for least in (1.0, 0.95, 0.9, 0.7):
         c = _clusters(spark, d, least).groupBy("clade").agg(F.countDistinct("cluster").alias("clusters")).withColumn("rung", F.lit(least))
         rungs = c if rungs is None else rungs.unionByName(c)
     return rungs.withColumn("feasible", F.col("clusters") >= 20)
@@ -210,7 +210,7 @@ def _(spark, d):
     from ..operators.sampling import hash_sample
 
     distinct = sequences(spark, d).groupBy("clade", "seq").agg(F.min("id").alias("id"))
-    kept = hash_sample(distinct, ["clade"], "id", 30, 1).select("clade", "id", kmers(F.col("seq")).alias("k"))
+    kept = hash_sample(distinct, ["clade"], "id", 300, 1).select("clade", "id", kmers(F.col("seq")).alias("k"))
     other = kept.select(F.col("clade").alias("c2"), F.col("id").alias("id2"), F.col("k").alias("k2"))
     met = kept.join(other, (F.col("clade") == F.col("c2")) & (F.col("id") < F.col("id2")))
     return met.groupBy("clade").agg(F.round(F.median(jaccard(F.col("k"), F.col("k2"))), 6).alias("median_identity"))

@@ -22,7 +22,7 @@ def _(spark, d):
 
 @query("STA-02")
 def _(spark, d):
-    return T.permutation_p(scored(spark, d), "doc_id", "len", "quality", 200, 11)
+    return T.permutation_p(scored(spark, d), "doc_id", "len", "quality", 20000, 11)
 
 
 @query("STA-03", f"with {SC}, r as (select lang, {_MR.format(g='lang', v='len')} as a, {_MR.format(g='lang', v='words')} as b from sc) select lang, case when count(distinct a) > 1 and count(distinct b) > 1 then round(corr(a, b), 6) end as rho from r group by lang")

@@ -97,3 +97,9 @@ def test_stop_free_is_the_longest_open_run():
                     run = 0 if text[i : i + 3] in ("TAA", "TAG", "TGA") else run + 3
                     best = max(best, run)
         assert stop_free(seq) == best
+
+
+def test_rungs_and_shuffles_are_the_surveys(spark):
+    assert {r["rung"] for r in catalog.queries()["AGG-18"](spark, DATA).collect()} == {1.0, 0.95, 0.9, 0.7}
+    (row,) = catalog.queries()["STA-02"](spark, DATA).collect()
+    assert row["p"] * 20001 == pytest.approx(round(row["p"] * 20001)) and row["p"] * 201 != pytest.approx(round(row["p"] * 201))
