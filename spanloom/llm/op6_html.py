@@ -2,9 +2,9 @@
 
 A page is read into elements and text blocks.  Containers are scored by the text they hold, less what they hold of
 links and of parts that are boilerplate by tag or by class; each page votes for the generalised tag-class path of its best
-container (digits in classes and ids become ``#``).  Spark counts the votes per host and keeps a host's ``paths_kept``
-most voted paths.  Each page is then read again: the text of all elements on its host's best path that the page has is
-taken; a page without any of them uses its own best container.
+container (digits in classes and ids become ``#``).  Spark counts the votes per host and joins them to the paths that each
+page has text on.  Each page is then read again: the text of all elements on its most voted path is taken; a page without
+any voted path uses its own best container.
 
 Blocks are decoded (character references), white space inside a block becomes one space, blocks are joined by a space.
 
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ids_of, materialize, pieces
@@ -169,6 +168,16 @@ class Page:
             inside[node] = inside[self.parent[node]] or node in roots
         return " ".join(text for node, text, _ in self.blocks if inside[node] and not self.boiler[node])
 
+    def offered(self) -> list[str]:
+        """The paths of containers that hold text."""
+        live: set[int] = set()
+        for node, _, _ in self.blocks:
+            if not self.boiler[node]:
+                while node not in live:
+                    live.add(node)
+                    node = self.parent[node] if node else 0
+        return sorted({self.path(node) for node in live if (self.tag[node] in _CONTAINERS or node == 0) and not self.boiler[node]})
+
     def extract(self, paths: list[str]) -> str:
         """The text on the first of ``paths`` that the page has text on; else that of its own best container."""
         held: dict[str, set[int]] = {}
@@ -202,22 +211,33 @@ def votes(pages: DataFrame, html: str, url: str) -> DataFrame:
     return pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path string").where("path is not null")
 
 
-def winners(found: DataFrame, paths_kept: int) -> DataFrame:
-    """host, paths: the most voted paths of each host, best first."""
+def offers(pages: DataFrame) -> DataFrame:
+    """host, digest, path: the paths that each page has text on.  ``pages``: host, digest, html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "html"):
+            held = pa.array([Page(x).offered() if x else [] for x in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([ids_of(batch, "host"), ids_of(batch, "digest"), held], names=["host", "digest", "held"])
+
+    return pages.mapInArrow(run, "host string, digest binary, held array<string>").select("host", "digest", F.explode("held").alias("path"))
+
+
+def winners(found: DataFrame, offered: DataFrame) -> DataFrame:
+    """host, digest, path: the most voted of all paths that a page has; the smaller path among equals."""
     counted = found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), "path"))).where(F.col("rank") <= paths_kept)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    met = offered.join(counted, ["host", "path"])
+    return met.groupBy("host", "digest").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", paths_kept: int = 5) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: page_id, url, text."""
-    best = materialize(winners(votes(pages, html, url), paths_kept), "html-paths")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"), F.unhex(F.sha2(F.col(html).cast("binary"), 256)).alias("digest"))
+    best = materialize(winners(votes(pages, html, url), offers(rows.select("host", "digest", "html"))), "html-paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "html"):
-            paths = batch.column(batch.schema.get_field_index("paths")).to_pylist()
-            found = [Page(x).extract(p or []) if x else "" for x, p in zip(texts, paths, strict=True)]
+            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
+            found = [Page(x).extract([p] if p else []) if x else "" for x, p in zip(texts, paths, strict=True)]
             yield pa.RecordBatch.from_arrays([ids_of(batch, "page_id"), ids_of(batch, "url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    return rows.join(best, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string")
+    return rows.join(best, ["host", "digest"], "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")

@@ -242,6 +242,17 @@ def test_host_consensus_overrides_a_page(spark):
     assert op6_html.extract(df.limit(0)).count() == 0
 
 
+def test_every_template_of_a_host_has_its_consensus(spark):
+    body = "<nav>" + "home and more " * 8 + "</nav><div class='t{0}'><p>{1}</p></div><div class='misc{0}'><p>{2}</p></div>"
+    letters = "abcdefgh"
+    pages = [(10 * t + i, "http://h.org/x", body.format(letters[t], f"main text {i} that is long enough " * 3, "short")) for t in range(8) for i in range(9 - t)]
+    pages += [(900 + t, "http://h.org/y", body.format(letters[t], "tiny main", "a long aside text that wins by its length " * 5)) for t in range(7)]
+    pages.append((901, "http://h.org/y", pages[-1][2]))
+    got = op6_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages)
+    assert {r["text"] for r in got if r["page_id"] >= 900} == {"tiny main"}
+
+
 # 7 language model
 
 
