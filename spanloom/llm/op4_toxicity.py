@@ -3,10 +3,12 @@
 Features are hashed word uni- and bigrams and skip-grams over one and two words, present or not, in 2^``bits`` slots.
 Training is follow-the-regularised-leader with per-coordinate rates; its L1 term leaves few weights other than zero,
 which are broadcast in sparse form.  It runs over a bounded sample of labelled rows (``sample_rows`` per label at most,
-in expectation), picked and ordered by hash of the id, in one task; scoring covers every row.
+in expectation), picked and ordered by hash of the id.  Their features are hashed where the texts are; the one training
+task gets arrays of slots, and holds state only for slots that some row of the sample touches.  Scoring covers every row.
 
 Cases: a null or empty text has no features and gets the bias' score.  Repeated words count once.  Rows whose label is
-null are not learned from; repeated labels count each.  Without labelled rows every score is 0.5.  An empty table gives an
+null are not learned from; repeated labels count each, and rows of equal hash are ordered by id, then by features.  Without
+labelled rows every score is 0.5.  A text of any length is scored whole, in one piece of its own.  An empty table gives an
 empty result.  Other columns are ignored.
 """
 
@@ -68,41 +70,51 @@ class Hasher:
 
 
 class Ftrl:
-    """Per-coordinate FTRL-proximal; slot 2^bits is the bias, which is not regularised."""
+    """Per-coordinate FTRL-proximal over ``size`` coordinates and a last one, the bias, which is not regularised."""
 
-    def __init__(self, bits: int, alpha: float, beta: float, l1: float, l2: float):
+    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((1 << bits) + 1, np.float32), np.zeros((1 << bits) + 1, np.float32)
+        self.z, self.n = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         l1 = np.where(at == len(self.z) - 1, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def learn(self, slots: np.ndarray, label: int, weight: float) -> None:
-        at = np.append(slots, len(self.z) - 1)
+    def learn(self, at: np.ndarray, label: int, weight: float) -> None:
         w = self.weights(at)
         g = weight * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label)
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha * w
         self.n[at] += g * g
 
 
-def train(rows: Iterator[tuple[str | None, int]], bits: int = 24, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, passes: int = 7, positive_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights other than zero, the bias last."""
-    hasher, model = Hasher(bits), Ftrl(bits, alpha, beta, l1, l2)
-    examples = []
-    for text, label in rows:
-        kinds = hasher.features(*hasher.words([text]))
-        examples.append((np.unique(np.concatenate([s for _, s in kinds])).astype(np.int32), int(label)))
-    for _ in range(passes):
-        for slots, label in examples:
-            model.learn(slots.astype(np.int64), label, positive_weight if label else 1.0)
-    every = np.arange(len(model.z))
-    w = model.weights(every)
-    keep = np.flatnonzero(w)
+def slots_of(hasher: Hasher, text: str | None) -> np.ndarray:
+    """The distinct slots of a text's features, in order."""
+    return np.unique(np.concatenate([s for _, s in hasher.features(*hasher.words([text]))])).astype(np.int32)
+
+
+def train(examples: list[tuple[np.ndarray, int]], bits: int = 24, alpha: float = 4.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, passes: int = 7, positive_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and weights other than zero, the bias last.  ``examples``: distinct slots and label of each row."""
     if not examples:
-        keep = np.zeros(0, np.int64)
-    return keep, w[keep]
+        return np.zeros(0, np.int64), np.zeros(0)
+    touched = np.zeros(1 << bits, bool)
+    for slots, _ in examples:
+        touched[slots] = True
+    names = np.flatnonzero(touched)
+    del touched
+    model = Ftrl(len(names), alpha, beta, l1, l2)
+    own = [(np.append(np.searchsorted(names, slots), len(names)).astype(np.int32), int(label)) for slots, label in examples]
+    for _ in range(passes):
+        for at, label in own:
+            model.learn(at, label, positive_weight if label else 1.0)
+    kept, weights = [], []
+    for i in range(0, len(names) + 1, 1 << 18):
+        at = np.arange(i, min(len(names) + 1, i + (1 << 18)))
+        w = model.weights(at)
+        kept.append(at[w != 0])
+        weights.append(w[w != 0])
+    at = np.concatenate(kept)
+    return np.append(names, 1 << bits)[at], np.concatenate(weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 6_000, bits: int = 24, **how: float) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +128,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # the sample's bound keeps its ids under a megabyte; past that Spark chooses the join by the written table's size
     picked = texts.join(F.broadcast(sample) if sample.count() <= 4 * sample_rows else sample, "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def examples() -> Iterator[tuple[str | None, int]]:
-            for batch in batches:
-                yield from zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(bits)
+        for batch, held in pieces(batches):
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("_order", "doc_id", "label")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([slots_of(hasher, x).tobytes() for x in held], pa.binary())], names=["_order", "doc_id", "label", "slots"])
 
-        slots, weights = train(examples(), bits, **how)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(np.frombuffer(x, np.int32), y) for batch in batches for x, y in zip(batch.column("slots").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+        slots, weights = train(examples, bits, **how)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(weights, pa.float64())], names=["slot", "weight"])
 
-    model = picked.repartition(1).sortWithinPartitions("_order", "doc_id", "text").select("text", "label").mapInArrow(run, "slot long, weight double").toPandas()
+    features = picked.select("_order", "doc_id", "label", "text").mapInArrow(hashed, "_order long, doc_id long, label int, slots binary")
+    model = features.repartition(1).sortWithinPartitions("_order", "doc_id", "slots").select("slots", "label").mapInArrow(run, "slot long, weight double").toPandas()
     return model["slot"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
