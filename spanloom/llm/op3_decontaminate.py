@@ -1,177 +1,197 @@
 """Operator 3, benchmark decontamination by a prefix-filtered set join over item-sized windows.
 
-A benchmark item is cut into windows of ``size`` consecutive words; a shorter item is one window.  The words of a window
-are ordered by their rarity in the corpus, counted over all documents for the benchmark's own words.  As containment has
-to be complete, one *necessary* prefix word is enough: the window's rarest.  A document word that is some window's prefix
-word is a candidate; the word's place in the window fixes where the window would start (positional bound), and it has to
-lie inside the document (length bound).  What is left is verified word by word.
-
-The benchmark is handled in parts of at most ``part_words`` window words, each broadcast by itself, so what is broadcast
-is bounded whatever the benchmark's size; the parts are applied one after another to the same row, without a shuffle.
-
-Cases: null and empty texts have no words, hence no hit; null or empty items have no windows.  Items with equal text are
-each reported; repeated item ids once.  Overlapping occurrences count each word once.  Repeated document rows are judged
-one by one; an empty table or benchmark gives zero hits.  Other columns are ignored.
+A benchmark item is cut into windows of ``size`` consecutive words; a shorter item is one window.  A window's set are its
+shingles of ``width`` consecutive words (or all its words, if fewer), ordered by rarity in the corpus: one pass counts, over
+all documents, the shingles that the benchmark has.  As containment has to be complete, one *necessary* prefix shingle is
+enough, the window's rarest.  A second pass finds the places of prefix shingles in the documents, with the words around
+them, and these are joined with the windows by shingle.  The shingle's place in the window fixes where the window would
+begin (positional bound), it has to lie inside the document (length bound), and what is left is verified word by word.
+
+What is broadcast are two bitmaps of 2^``bits`` bits, one of all benchmark shingles and one of prefix shingles: their size
+does not depend on the benchmark's, and they only keep other shingles out of the joins.  Nothing of the benchmark or of the
+documents goes through the driver.  Equal texts share their result by digest, so copies are joined once per task.
+
+Cases: null and empty texts have no words, hence no hit; null or empty items have no windows, items without an id are left
+out.  Items with equal text are each reported; repeated item ids once.  Overlapping occurrences count each word once.  Ties
+of rarity go to the smaller hash, then to the earlier place.  Texts and items of any length are taken whole.  Repeated
+document rows are judged alike; an empty table or benchmark gives zero hits.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import filter_rows, ids_of, pieces
+from .common import ids_of, materialize, pieces, release
 
 #: A-Z to a-z; digits, letters and bytes of other scripts stay; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+WORDS_HELD = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-class Part:
-    """Windows of some items: their words as numbers from 1, and for each word the windows it is the prefix of."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], size: int):
-        self.items = [i for i, _ in items]
-        held: dict[tuple[bytes, ...], set[int]] = {}
-        for n, (_, words) in enumerate(items):
-            for i in range(max(1, len(words) - size + 1)):
-                if words:
-                    held.setdefault(tuple(words[i : i + size]), set()).add(n)
-        windows = sorted(held)
-        self.number = {w: n for n, w in enumerate(sorted({w for x in windows for w in x}), 1)}
-        self.length = np.array([len(w) for w in windows], np.int64)
-        self.words = np.zeros((len(windows), size), np.int32)
-        for n, w in enumerate(windows):
-            self.words[n, : len(w)] = [self.number[x] for x in w]
-        self.owners = [sorted(held[w]) for w in windows]
-        place = np.array([min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i)) for w in windows], np.int64)
-        prefix = self.words[np.arange(len(windows)), place] if windows else np.zeros(0, np.int32)
-        self.by = np.argsort(prefix, kind="stable")
-        self.place = place
-        self.first = np.searchsorted(prefix[self.by], np.arange(len(self.number) + 2))
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and window numbers of all occurrences in one text's word numbers (0: not a benchmark word)."""
-        many = self.first[words + 1] - self.first[words]
-        many[words == 0] = 0
-        at = np.flatnonzero(many)
-        if not len(at):
-            return at, at
-        times = many[at]
-        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        window = self.by[np.repeat(self.first[words[at]], times) + inside]
-        start = np.repeat(at, times) - self.place[window]
-        ok = (start >= 0) & (start + self.length[window] <= len(words))
-        start, window = start[ok], window[ok]
-        for i in range(self.words.shape[1]):
-            want = self.words[window, i]
-            same = (want == 0) | (words[np.minimum(start + i, len(words) - 1)] == want)
-            start, window = start[same], window[same]
-        return start, window
-
-
-def parts_of(benchmark: DataFrame, item: str, text: str, part_words: int, size: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items by id in parts of bounded size; rows are streamed to the driver, never held at once."""
-    own, held = [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
-        words = words_of(row["t"])
-        own.append((row["i"], words))
-        held += max(1, len(words)) * size
-        if held >= part_words:
-            yield own
-            own, held = [], 0
-    if own:
-        yield own
-
-
-def count_words(docs: DataFrame, text: str, wanted: set[bytes]) -> dict[bytes, int]:
-    """How often the wanted words occur in all documents."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+class Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WORDS_HELD:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One hash for every run of ``width`` words."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = (out ^ (out >> np.uint64(29))) * _ODD[1] + hashes[i : i + n] * _ODD[0]
+        out = (out ^ (out >> np.uint64(32))) * _ODD[2]
+    return out ^ (out >> np.uint64(29))
+
+
+def windows_of(benchmark: DataFrame, item: str, text: str, size: int, width: int) -> DataFrame:
+    """item, words, shingles: a row per distinct window of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: n for n, w in enumerate(sorted(held.value), 1)}
-        total = np.zeros(len(number) + 1, np.int64)
-        get = number.get
-        for _, texts in pieces(batches):
-            for x in texts:
+        known = Hashes()
+        for batch, texts in pieces(batches, limit=500_000):
+            for name, x in zip(ids_of(batch, "item").to_pylist(), texts, strict=True):
                 words = words_of(x)
-                total += np.bincount(np.fromiter((get(w, 0) for w in words), np.int32, len(words)), minlength=len(total))
-        seen = np.flatnonzero(total[1:])
-        names = sorted(number)
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in seen], pa.binary()), pa.array(total[1:][seen], pa.int64())], names=["word", "n"])
+                held = sorted({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}) if words else []
+                for i in range(0, len(held), 50_000):
+                    part = held[i : i + 50_000]
+                    hashed = [shingles(known.of(list(w)), min(width, len(w))).view(np.int64) for w in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([[v.decode() for v in w] for w in part], pa.list_(pa.string())), pa.array(hashed, pa.list_(pa.int64()))], names=["item", "words", "shingles"])
+
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null")
+    return rows.mapInArrow(run, "item string, words array<string>, shingles array<long>").distinct()
+
+
+def bitmap(found: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2^bits ranges of the hash space hold a shingle; at most 2^(bits - 5) numbers reach the driver."""
+    place = F.shiftrightunsigned(F.col("shingle"), 64 - bits)
+    rows = found.select(F.shiftright(place, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    return out
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in found.toLocalIterator()}
 
+def held_in(some: np.ndarray, found: np.ndarray, bits: int) -> np.ndarray:
+    place = found >> np.uint64(64 - bits)
+    return (some[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, part_words: int = 4_000_000) -> DataFrame:
-    """Per row: words, hit words, items with occurring windows, and the spans of hit words."""
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for items in parts_of(benchmark, item, item_text, part_words, size):
-        counts = count_words(docs, text, {w for _, words in items for w in words})
-        held = docs.sparkSession.sparkContext.broadcast((items, counts))
-
-        def apply(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            part = Part(*held.value, size)
-            get = part.number.get
-            for batch, texts in pieces(batches):
-                hits, found = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for i, x in enumerate(texts):
-                    words = words_of(x)
-                    start, window = part.find(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-                    if len(start):
-                        mask = np.unpackbits(np.frombuffer(hits[i], np.uint8))[: len(words)].copy() if hits[i] else np.zeros(len(words), np.uint8)
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + part.length[window], -1)
-                        mask |= (np.cumsum(edge[:-1]) > 0).astype(np.uint8)
-                        hits[i] = np.packbits(mask).tobytes()
-                        found[i] = sorted({*found[i], *(part.items[o] for w in set(window.tolist()) for o in part.owners[w])})
-                yield pa.RecordBatch.from_arrays([ids_of(batch), batch.column(1), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
-
-        chosen = chosen.mapInArrow(apply, "doc_id long, text string, hits binary, items array<string>")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
-        for batch, texts in pieces(batches):
-            n, hit, spans = [], [], []
-            for x, h in zip(texts, batch.column(2).to_pylist(), strict=True):
-                n.append(len(words_of(x)))
-                mask = np.unpackbits(np.frombuffer(h or b"", np.uint8))
-                edge = np.flatnonzero(np.diff(np.r_[0, mask, 0].astype(np.int8)))
-                hit.append(int(mask.sum()))
-                spans.append([{"start": int(s), "words": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), batch.column(3), pa.array(spans, kind)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    return chosen.mapInArrow(close, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,words:long>>")
+def count_shingles(docs: DataFrame, some: np.ndarray, bits: int, widths: list[int]) -> DataFrame:
+    """shingle, n: how often the shingles of the bitmap occur in all documents."""
+    held = docs.sparkSession.sparkContext.broadcast(some)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for _, texts in pieces(batches):
+            hashed = [known.of(words_of(x)) for x in texts]
+            found = np.concatenate([np.zeros(0, np.uint64), *(shingles(h, w) for h in hashed for w in widths)])
+            name, n = np.unique(found[held_in(held.value, found, bits)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, part_words: int = 4_000_000) -> DataFrame:
-    """The rows in which no window of any item occurs, with all their columns."""
-    out = docs
-    for items in parts_of(benchmark, item, item_text, part_words, size):
-        held = docs.sparkSession.sparkContext.broadcast((items, count_words(docs, text, {w for _, words in items for w in words})))
+def prefixes(docs: DataFrame, windows: DataFrame, some: np.ndarray, bits: int, widths: list[int]) -> DataFrame:
+    """item, words, shingle, place: each window's rarest shingle and where it stands in it."""
+    placed = windows.select("item", "words", F.posexplode("shingles").alias("place", "shingle"))
+    rare = placed.join(count_shingles(docs, some, bits, widths), "shingle", "left").select("item", "words", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place").alias("s"))
+    return rare.groupBy("item", "words").agg(F.min("s").alias("s")).select("item", "words", "s.shingle", "s.place")
 
-        def verdicts(held=held) -> Callable[[list[str | None]], np.ndarray]:
-            part = Part(*held.value, size)
-            get = part.number.get
 
-            def clean(x: str | None) -> bool:
-                words = words_of(x)
-                return not len(part.find(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))[0])
+def places(docs: DataFrame, some: np.ndarray, bits: int, widths: list[int], size: int) -> DataFrame:
+    """Per row: id, digest, words, and the places of prefix shingles with the words around them; of equal texts in a task one has places."""
+    held = docs.sparkSession.sparkContext.broadcast(some)
+    kind = pa.list_(pa.struct([("pos", pa.int64()), ("shingle", pa.int64()), ("at", pa.int32()), ("near", pa.list_(pa.string()))]))
 
-            return lambda texts: np.array([clean(x) for x in texts], bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = Hashes(), set()
+        for batch, texts in pieces(batches):
+            total, found = [], []
+            digests = ids_of(batch, "digest")
+            for digest, x in zip(digests.to_pylist(), texts, strict=True):
+                words, own = words_of(x), []
+                total.append(len(words))
+                if words and digest not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(digest)
+                    hashed = known.of(words)
+                    for w in widths:
+                        every = shingles(hashed, w)
+                        hit = np.flatnonzero(held_in(held.value, every, bits))
+                        for i, s in zip(hit.tolist(), every[hit].view(np.int64).tolist(), strict=True):
+                            first = max(0, i - size + 1)
+                            own.append({"pos": i, "shingle": s, "at": i - first, "near": [v.decode() for v in words[first : i + size]]})
+                found.append(own or None)
+            yield pa.RecordBatch.from_arrays([ids_of(batch), digests, pa.array(total, pa.int64()), pa.array(found, kind)], names=["doc_id", "digest", "n_words", "found"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, n_words long, found array<struct<pos:long,shingle:long,at:int,near:array<string>>>")
+
+
+def digest_of(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, size: int, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, n_words) and verified occurrences (digest, start, n, item), each once."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), digest_of(text).alias("digest"), F.col(text).alias("text"))
+    windows = materialize(windows_of(benchmark, item, item_text, size, width), "benchmark-windows")
+    widths = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(width))).distinct().collect())
+    every = bitmap(windows.select(F.explode("shingles").alias("shingle")), bits)
+    prefix = materialize(prefixes(rows, windows, every, bits, widths), "benchmark-prefixes")
+    release(windows)
+    found = materialize(places(rows, bitmap(prefix.select("shingle"), bits), bits, widths, size), "benchmark-places")
+    joined = found.where("found is not null").select("digest", F.explode("found").alias("f")).select("digest", "f.*").join(prefix, "shingle")
+    first, n = F.col("at") - F.col("place"), F.size("words")
+    inside = (first >= 0) & (first + n <= F.size("near"))
+    met = joined.where(inside).where(F.slice("near", first + 1, n) == F.col("words"))
+    hits = materialize(met.select("digest", (F.col("pos") - F.col("place")).alias("start"), n.alias("n"), "item").distinct(), "benchmark-hits")
+    return found.select("doc_id", "digest", "n_words"), hits
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, width: int = 3, bits: int = 26) -> DataFrame:
+    """Per row: words, hit words, items with occurring windows, and the spans of hit words."""
+    rows, hits = occurrences(docs, benchmark, key, text, item, item_text, size, width, bits)
+    places_hit = hits.select("digest", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct()
+    island = F.col("p") - F.row_number().over(W.partitionBy("digest").orderBy("p"))
+    runs = places_hit.withColumn("_i", island).groupBy("digest", "_i").agg(F.min("p").alias("start"), F.count(F.lit(1)).alias("words"))
+    spans = runs.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("n_hit"))
+    items = hits.groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    met = materialize(spans.join(items, "digest").withColumnRenamed("digest", "_digest"), "benchmark-documents")
+    out = rows.join(met, rows["digest"] == met["_digest"], "left")
+    none = F.array().cast("array<struct<start:long,words:long>>")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"))
 
-        out = filter_rows(out, verdicts, text)
-    return out
+
+def items_digest(items: list[str]) -> str:
+    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, width: int = 3, bits: int = 26) -> DataFrame:
+    """The rows in which no window of any item occurs, with all their columns."""
+    _, hits = occurrences(docs, benchmark, key, text, item, item_text, size, width, bits)
+    met = materialize(hits.select(F.col("digest").alias("_spanloom_digest")).distinct(), "benchmark-documents")
+    return docs.join(met, digest_of(text) == F.col("_spanloom_digest"), "left_anti").select(*docs.columns)

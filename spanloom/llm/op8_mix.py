@@ -9,7 +9,7 @@ size; the excess is reshared by weight until none is above, which is solved in c
 ratios of cap to weight.  One row per source is all that is ever brought together.
 
 Cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last in order.  Rows
-with equal keys are ordered by size, and equal rows stand for each other.  A source of size 0 gets target 0.  An empty
+with equal keys are ordered by size, and equal rows stand for each other.  A text of any length is one row of the sort.  A source of size 0 gets target 0.  An empty
 table gives an empty result.  Other columns are ignored.
 """
 
@@ -49,10 +49,22 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
     return rows.withColumn("target", F.when(F.col("_free"), shared).otherwise(F.col("_cap").cast("double"))).select("source", "source_size", "source_rows", "target")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", range_rows: int = 20_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken."""
+FIGURES = ("size", "source_size", "target", "taken")
+
+
+def mixed_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how: object) -> DataFrame:
+    """The mix with its texts: the rows that it takes words of, all columns, and ``FIGURES``, which replace columns so named.
+
+    A row stands for taken // size whole copies and the first taken % size words of one more.
+    """
+    own = [c for c in docs.columns if c not in FIGURES]
+    return mix(docs, key, text, source, carry=own, **how).where("taken > 0").select("_row.*", *FIGURES)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", range_rows: int = 4_000, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken; the columns ``carry`` of the row, if any, in a struct ``_row``."""
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = materialize(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), hashed.alias("_key")), "mix-sizes")
+    rows = materialize(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), hashed.alias("_key"), *([F.struct(*carry).alias("_row")] if carry else [])), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     # written, so that Spark knows its size and broadcasts it only if that is under its threshold
     aims = materialize(targets(sizes, weights, max_epochs).withColumn("_ranges", F.ceil(F.col("source_rows") / range_rows)), "mix-targets")
@@ -69,4 +81,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_start") + F.col("_upto") - F.col("size"))))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *(["_row"] if carry else []))

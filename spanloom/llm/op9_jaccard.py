@@ -1,39 +1,43 @@
 """Operator 9, exact Jaccard join of documents as sets of word n-grams, by pivots and triangle-inequality windows.
 
-Jaccard distance is a metric.  A bounded number of *pivots*, documents picked by hash, is broadcast as one sorted shingle
-index, and every document computes its exact distance to all pivots with which it shares a shingle.
-
-* A document within the radius r = 1 - similarity of a pivot lies in that pivot's Voronoi region and is linked to it;
-  regions that share a document are one.  Two documents of one region need no comparison, their component is known:
-  that is what settles large groups of copies without their pairs, and no group is ever brought together.
-* By the triangle inequality a document outside a region can only be linked with one inside if it lies within 2r of one
-  of its pivots.  A region with such a *boundary* document is open: its documents take part in the next level.
-* The next levels join all documents outside regions and those of open regions.  In shingle space they are at distance 1
-  from nearly everything, where more pivots tell nothing apart, so they meet by an index on the shingles that a link makes
-  necessary: the first n - ceil(sn) + 1 of n in one global order, which puts shingles that pivots share last.  Level 2 is
-  the pivot join again inside each shingle's list, its most central documents being the pivots: each document of the list
-  is compared with those.  What that links becomes larger regions.  Level 3 compares what is left exactly: short lists
-  give their pairs of different regions, longer ones put their documents into the cell of their head, the least class,
-  and a cell's sets meet as a whole in an inverted index that gives links only.  Cells are cut into chunks of bounded
-  size, every two of which meet.  Pairs of one region are never made.
-
-Candidates pass an exact upper bound (sizes, then the sum of minima of shingle counts by hash range), and what is left is
-verified on the whole sets, which meet in blocks of bounded size.  Components of the links are found by star contraction.
+Jaccard distance is a metric; two documents link within the radius r = 1 - similarity.
+
+* Reduction.  A document can only be linked if most of its shingles occur in another document too.  One pass deals all
+  shingles into blocks of the hash space; a block finds those that occur twice and sends them back, with the order of
+  magnitude of their count.  Only documents with enough of them stay *open*, and their reduced sets, which hold the shared
+  shingles from rare to frequent, are enough for every later distance.  Shingles that a bounded sample shows to be very
+  frequent take no part in the deal, so no block gets a hot one.
+* Level 1.  A bounded number of *pivots*, open documents more than 2r apart, is broadcast.  Every open document computes
+  its exact distance to all of them.  Within 2r of a pivot it lies in the Voronoi region of its nearest one, else in the
+  outer region; one within r of its pivot is linked to it.  By the triangle inequality a boundary document is replicated
+  into each region where it can have a partner: those of pivots within 2r of its nearest distance and within r of the
+  region's radius, the greatest distance of its own documents; and the outer one unless a pivot is within r.
+* Next levels.  A region is divided by the shingles that a link makes necessary, and each such list has pivots of its own,
+  its most central documents: the others are compared with those first, level by level with more of them, and what links
+  becomes one component.  Pairs inside one component are never made, which settles large groups of copies.
+* Last level.  What is left, pairs of different components inside a list, passes the length and positional bounds and is
+  compared exactly.
+
+Sets meet in parts of bounded size and are compared whole.  Components of the links are found by star contraction.
 Shingles and exact-set classes are 64-bit hashes.  Documents with equal sets are one class and are compared once.
 
 Cases: a null or empty text, or one without words, has an empty set and is its own component.  A text of fewer words than
-``width`` is one shingle.  Repeated rows fall into one class.  An empty table gives an empty result; other columns are
-ignored.  Rows with a null id take part like others and are never the smallest id of a component with one.
+``width`` is one shingle.  A very long text is one set like others; sets of over ``pivot_shingles`` / 100 shingles are not
+used as pivots, which affects no link.  Ties between centres of a list go to the smaller class.  Repeated rows fall into
+one class.  An empty table gives an empty result; other columns are ignored.  Rows with a null id take part like others
+and are never the smallest id of a component with one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ids_of, materialize, pieces, release
@@ -42,8 +46,12 @@ from .components import components
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 WORDS_HELD = 200_000
-#: Least number of hash ranges in a sketch.
-RANGES = 16
+#: Shingles travel as their block of the hash space and their low bits.
+LOW = np.uint64(48)
+#: Documents in a message, so that 16 bits number them; order of the shingles that the sample shows to be frequent.
+MESSAGE_ROWS, FREQUENT = 60_000, 63
+#: The region of documents that no pivot is near; what distances may be off by rounding.
+OUTER, SLACK = -1, 1e-9
 
 
 class Known(dict):
@@ -91,76 +99,6 @@ def _finish(x: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Pivots:
-    """Sorted shingles of all pivots with their owners; a table of leading bits settles most shingles at once."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int = 24):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        token = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(token, kind="stable")
-        token, self.owner = token[order], owner[order]
-        self.token, self.first = np.unique(token, return_index=True)
-        self.many = np.diff(np.r_[self.first, len(token)])
-        self.shift = np.uint64(64 - bits)
-        self.some = np.zeros(1 << bits, bool)
-        self.some[(self.token >> self.shift).astype(np.int64)] = True
-
-    def look(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``found`` of pivot shingles, and their places in the index."""
-        at = np.flatnonzero(self.some[(found >> self.shift).astype(np.int64)])
-        if not len(at):
-            return at, at
-        place = np.minimum(np.searchsorted(self.token, found[at]), len(self.token) - 1)
-        sure = self.token[place] == found[at]
-        return at[sure], place[sure]
-
-    def overlaps(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pivots that share shingles, and how many."""
-        many = self.many[place]
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        count = np.bincount(self.owner[np.repeat(self.first[place], many) + inside], minlength=len(self.sizes))
-        own = np.flatnonzero(count)
-        return own, count[own]
-
-
-def sketch_of(found: np.ndarray) -> bytes:
-    """Shingle counts by hash range, four to eight a range on average, so long sets are told apart as well as short ones."""
-    bits = max(RANGES.bit_length() - 1, (len(found) // 4).bit_length() - 1)
-    return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
-
-
-def most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
-    """An upper bound on the overlap of two sets from their sketches; a count of 255 stands for any number."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
-    if x.max() == 255 or y.max() == 255:
-        return min(na, nb)
-    if len(x) != len(y):
-        few = min(len(x), len(y))
-        x, y = x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)
-    return int(np.minimum(x, y).sum())
-
-
-def prefix_size(n: int, percent: int) -> int:
-    """Shingles of a set of n among which any set at least this similar must have one."""
-    return n - -(-percent * n // 100) + 1
-
-
-def pick_pivots(docs: DataFrame, shingler: Shingler, pivots: int, pivot_shingles: int, width: int) -> list[np.ndarray]:
-    """Up to ``pivots`` distinct sets of documents with the smallest hashes, of ``pivot_shingles`` shingles in all."""
-    rows = docs.where("text is not null").withColumn("_h", F.xxhash64(F.lit("pivot"), "doc_id"))
-    total = docs.count()
-    share = min(1.0, 2.0 * pivots / max(1, total))
-    sample = rows.where((F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30)) & (F.length("text") < 40_000)).orderBy("_h", "doc_id").select("text").limit(pivots)
-    held: dict[bytes, np.ndarray] = {}
-    left = pivot_shingles
-    for found in shingler.sets([r["text"] for r in sample.toLocalIterator()]):
-        if len(found) and len(found) <= left and found.tobytes() not in held:
-            held[found.tobytes()] = found
-            left -= len(found)
-    return list(held.values())
-
-
 class Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -179,171 +117,228 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def pack(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of class, n, label, tokens to one row per batch and block of the hash space."""
+def block_of(token: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks are ranges of the hash space, so sorted shingles are sorted by block."""
+    return ((token >> LOW) * np.uint64(blocks)) >> np.uint64(16)
+
+
+def name_of(token: np.ndarray, blocks: int) -> np.ndarray:
+    """What stands for a shingle from the deal on."""
+    return (block_of(token, blocks) << LOW) | (token & np.uint64((1 << 48) - 1))
+
+
+def pack(token: np.ndarray) -> bytes:
+    """The low bits, six bytes each."""
+    return token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(held, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def frequent_shingles(rows: DataFrame, share: float, width: int, least: int, most: int) -> np.ndarray:
+    """Shingles that at least ``least`` distinct sets of a sample hold, the ``most`` most frequent of them; sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-            block = (token % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            edge = np.searchsorted(block[order], np.arange(blocks + 1))
-            name, size, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out: list[list] = [[] for _ in range(6)]
+        shingler = Shingler(width)
+        for _, texts in pieces(batches):
+            found = shingler.sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["class", "tokens"])
+
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("shingle sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text")
+    sets = picked.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
+    counted = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["token"] for r in counted.orderBy(F.desc("n"), "token").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def send(width: int, blocks: int, frequent: Callable[[], np.ndarray], message_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to messages: a header with a message's documents and their frequent shingles, and a row per block with others.
+
+    Headers are dealt out by block numbers past the last.  Of equal sets in a task only one has its shingles sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen, known = Shingler(width), set(), frequent()
+        task, number, rows, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            every = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype(np.uint16)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            hot = known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every if len(known) else np.zeros(len(every), bool)
+            name = (task << 32) + number
+            out: list[list] = [[blocks + (31 * task + number) % (1 << 20)], [name], *([[x] for x in zip(*rows, strict=True)]), [pack(name_of(every[hot], blocks))], [owner[hot].tobytes()], [block_of(every[hot], blocks).astype(np.uint16).tobytes()]]
+            every, owner = every[~hot], owner[~hot]
+            edge = np.searchsorted(block_of(every, blocks), np.arange(blocks + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(edge)).tolist():
-                part = order[edge[b] : edge[b + 1]]
-                used, at = np.unique(row[part], return_inverse=True)
-                for x, y in zip(out, (b, token[part].tobytes(), at.astype(np.int32).tobytes(), name[used].astype(np.int64).tobytes(), size[used].astype(np.int32).tobytes(), label[used].astype(np.int64).tobytes()), strict=True):
+                part = slice(edge[b], edge[b + 1])
+                for x, y in zip(out, (b, name, None, None, None, pack(every[part]), owner[part].tobytes(), None), strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "token", "at", "class", "n", "label"])
+            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["block", "message", "doc_id", "class", "n", "token", "owner", "order"])
 
-    return run
+        for batch, texts in pieces(batches):
+            for doc, found in zip(ids_of(batch).to_pylist(), shingler.sets(texts), strict=True):
+                own = class_of(found)
+                fresh = own not in seen
+                if fresh:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(own)
+                rows.append((doc, own, len(found)))
+                sets.append(found if fresh else found[:0])
+                held += len(sets[-1])
+                if held >= message_tokens or len(rows) >= MESSAGE_ROWS:
+                    yield flush()
+                    number, rows, sets, held = number + 1, [], [], 0
+        if rows:
+            yield flush()
 
+    return run
 
-def pairs(percent: int, stars: bool, centres: int = 2, small: int = 64) -> Callable[[pa.Table], pa.Table]:
-    """What the shingle lists of a block have to compare, as rows a, b, region.
 
-    With ``stars``, a list's documents meet only its ``centres`` most central ones, those that share most with others;
-    labels of -1 are no component.  Without, lists of one component give nothing; of the others, those of up to ``small``
-    documents give the pairs of different components, as long as their sizes allow a link, and a longer list puts its
-    documents (b) into the cell of its head (a), which is compared as a whole, without making its pairs.
-    """
+def shared_in_block(blocks: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's shingles that occur twice or more, to the messages they came from; ``order`` is the size of their count."""
 
     def run(whole: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in whole.column(name).to_pylist()]
-        token, at, own = np.concatenate(read("token", np.uint64)), read("at", np.int32), read("class", np.int64)
-        offset = np.cumsum([0, *(len(x) for x in own)])
-        at = np.concatenate([x.astype(np.int64) + o for x, o in zip(at, offset, strict=False)])
-        own, n, label = np.concatenate(own), np.concatenate(read("n", np.int32)).astype(np.int64), np.concatenate(read("label", np.int64))
-        name, first_of, at_class = np.unique(own, return_index=True, return_inverse=True)  # copies seen by several tasks
-        n, label, at = n[first_of], label[first_of], at_class[at]
-        order = np.lexsort((n[at], token))
-        token, at = token[order], at[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (at[1:] != at[:-1])]
-        token, at = token[fresh], at[fresh]
-        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        many = np.diff(np.r_[begin, len(token)])
-        row = np.repeat(np.arange(len(begin)), many)
-        found, members = [np.zeros(0, np.int64)], np.zeros(0, np.int64)
-
-        def add(x: np.ndarray, y: np.ndarray, fits: np.ndarray) -> None:
-            ok = fits & (x != y) & ((label[x] != label[y]) | (label[x] == -1))
-            found.append(np.unique(x[ok] * len(name) + y[ok]))
-
-        weight = np.bincount(at, many[row] - 1, minlength=len(name)).astype(np.int64)
-        place = np.empty(len(name), np.int64)
-        place[np.lexsort((name, -weight))] = np.arange(len(name))
-        by = np.lexsort((place[at], row))  # every list's documents, the most central first
-        if stars:
-            for c in range(centres):
-                has = np.flatnonzero(many > c)
-                centre = np.zeros(len(begin), np.int64)
-                centre[has] = at[by[begin[has] + c]]
-                x, y = centre[row], at
-                add(x, y, (many[row] > c) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])))
-        else:
-            low, high = np.minimum.reduceat(label[at], begin), np.maximum.reduceat(label[at], begin)
-            mixed = low < high
-            long = (mixed & (many > small))[row]
-            # the least class heads a list, so lists of much the same documents have the same head in all blocks
-            head = np.minimum.reduceat(at, begin)
-            members = np.unique(head[row][long] * len(name) + at[long])
-            last = np.repeat(begin + many, many)
-            live, step = np.flatnonzero((mixed & (many <= small))[row] & (np.arange(len(token)) + 1 < last)), 1
-            while len(live):  # a document with the step-th larger one of its list, as long as the sizes allow
-                x, y = at[live], at[live + step]
-                fits = 100 * n[x] >= percent * n[y]
-                add(np.minimum(x, y), np.maximum(x, y), fits)
-                step += 1
-                live = live[fits]
-                live = live[live + step < last[live]]
-        every = np.unique(np.concatenate(found))
-        both = np.concatenate((every, members))
-        size = max(1, len(name))
-        return pa.table({"a": name[both // size], "b": name[both % size], "region": pa.array(np.arange(len(both)) >= len(every))})
+        block = whole.column("block")[0].as_py()
+        if block >= blocks:
+            return whole
+        token = np.concatenate([unpack(x) for x in whole.column("token").to_pylist()])
+        sizes = [len(x) // 2 for x in whole.column("owner").to_pylist()]
+        order = np.argsort(token, kind="stable")
+        first = np.flatnonzero(np.r_[True, token[order][1:] != token[order][:-1]])
+        many = np.diff(np.r_[first, len(token)])
+        rank = np.empty(len(token), np.uint8)
+        rank[order] = np.repeat(np.minimum(np.frexp(many)[1], FREQUENT - 1) * (many > 1), many)
+        out: list[list] = [[] for _ in range(4)]
+        start = 0
+        for message, size, owner in zip(whole.column("message").to_pylist(), sizes, whole.column("owner").to_pylist(), strict=True):
+            at = np.flatnonzero(rank[start : start + size])
+            if len(at):
+                for x, y in zip(out, (message, pack(token[start + at]), np.frombuffer(owner, np.uint16)[at].tobytes(), rank[start + at].tobytes()), strict=True):
+                    x.append(y)
+            start += size
+        none = pa.nulls(len(out[0]), pa.list_(pa.int64()))
+        return pa.table([pa.array([block] * len(out[0]), pa.int32()), pa.array(out[0], pa.int64()), none, none, none, *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "message", "doc_id", "class", "n", "token", "owner", "order"])
 
     return run
 
 
-def region_links(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links between different components inside regions, from an inverted index of a region's sets; no pair is ever made."""
+def reduced_sets(blocks: int, percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A message's documents: id, class, n and, where enough shingles are shared for any link, those, rare ones first."""
 
     def run(whole: pa.Table) -> pa.Table:
-        out: tuple[list[int], list[int]] = ([], [])
-        key = whole.column("key").to_numpy()
-        names, labels = whole.column("class").to_numpy(), whole.column("label").to_numpy()
-        sets = whole.column("tokens")
-        for k in np.unique(key).tolist():
-            rows = np.flatnonzero(key == k)
-            rows = rows[np.unique(names[rows], return_index=True)[1]]
-            own = [sets[int(i)].values.to_numpy() for i in rows]
-            size = np.array([len(x) for x in own], np.int64)
-            token = np.concatenate(own)
-            order = np.argsort(token, kind="stable")
-            holder = np.repeat(np.arange(len(own)), size)[order]
-            _, first, inverse, many = np.unique(token[order], return_index=True, return_inverse=True, return_counts=True)
-            number = np.empty(len(token), np.int64)
-            number[order] = inverse
-            start = np.r_[0, np.cumsum(size)]
-            label, name = labels[rows], names[rows]
-            for x in range(len(own) - 1):
-                which = number[start[x] : start[x + 1]]
-                which = which[many[which] > 1]
-                times = many[which]
-                inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                shared = np.bincount(holder[np.repeat(first[which], times) + inside], minlength=len(own))[x + 1 :]
-                hit = x + 1 + np.flatnonzero((100 * shared >= percent * (size[x] + size[x + 1 :] - shared)) & (label[x + 1 :] != label[x]))
-                out[0].extend([int(name[x])] * len(hit))
-                out[1].extend(name[hit].tolist())
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+        columns = {c: whole.column(c).to_pylist() for c in whole.column_names}
+        head = columns["doc_id"].index(next(x for x in columns["doc_id"] if x is not None))
+        ids, classes, n = (columns[c][head] for c in ("doc_id", "class", "n"))
+        token, owner, order = [], [], []
+        for i, block in enumerate(columns["block"]):
+            low = unpack(columns["token"][i])
+            owner.append(np.frombuffer(columns["owner"][i], np.uint16))
+            if i == head:
+                token.append((np.frombuffer(columns["order"][i], np.uint16).astype(np.uint64) << LOW) | low)
+                order.append(np.full(len(low), FREQUENT, np.uint8))
+            else:
+                token.append((np.uint64(block) << LOW) | low)
+                order.append(np.frombuffer(columns["order"][i], np.uint8))
+        token, owner, order = np.concatenate(token), np.concatenate(owner), np.concatenate(order)
+        size = np.array(n, np.int64)
+        shared = np.bincount(owner, minlength=len(size))
+        keep = (shared > 0) & (100 * shared >= percent * size)
+        token, owner, order = token[keep[owner]], owner[keep[owner]], order[keep[owner]]
+        token = token[np.lexsort((token, order, owner))].view(np.int64)
+        offset = np.r_[0, np.cumsum(np.where(keep, shared, 0))]
+        lists = [token[offset[i] : offset[i + 1]] if keep[i] else None for i in range(len(size))]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "class", "n", "tokens"])
 
     return run
 
 
-def bound(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs whose sketches allow enough overlap."""
+def pick_pivots(sets: DataFrame, percent: int, pivots: int, pivot_shingles: int) -> list[tuple[int, int, np.ndarray]]:
+    """Class, n and tokens of up to ``pivots`` open documents in order of a hash, each over 2r from those before it."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    if 3 * percent <= 200 or not pivots:  # windows would hold everything
+        return held
+    holders: dict[int, list[int]] = {}
+    left = pivot_shingles
+    for r in sets.where(F.col("n") <= pivot_shingles // 100).orderBy(F.xxhash64(F.lit("pivot"), "class"), "class").limit(pivots).toLocalIterator():
+        shared: dict[int, int] = {}
+        for t in r["tokens"]:
+            for p in holders.get(t, ()):
+                shared[p] = shared.get(p, 0) + 1
+        if len(r["tokens"]) > left or any(100 * s >= (2 * percent - 100) * (r["n"] + held[p][1] - s) for p, s in shared.items()):
+            continue
+        for t in r["tokens"]:
+            holders.setdefault(t, []).append(len(held))
+        left -= len(r["tokens"])
+        held.append((r["class"], r["n"], np.array(r["tokens"], np.int64)))
+    return held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sa, sb, na, nb = (ids_of(batch, c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
-            most = np.array([most_shared(*x) for x in zip(sa, sb, na, nb, strict=True)])
-            yield batch.select(["a", "b", "n_a", "n_b", "doc_a", "doc_b"]).filter(pa.array(100 * most >= percent * (np.array(na) + np.array(nb) - most)))
 
-    return run
+class Pivots:
+    """Sorted tokens of all pivots with their owners, and regions of documents."""
 
+    def __init__(self, held: list[tuple[int, int, np.ndarray]], percent: int):
+        self.r, self.percent = 1 - percent / 100, percent
+        self.names, self.sizes = [c for c, _, _ in held], np.array([n for _, n, _ in held], np.int64)
+        token = np.concatenate([*(t for _, _, t in held), np.zeros(0, np.int64)])
+        order = np.argsort(token, kind="stable")
+        self.owner = np.repeat(np.arange(len(held)), [len(t) for _, _, t in held])[order]
+        self.token, self.first, self.many = np.unique(token[order], return_index=True, return_counts=True)
+
+    def place(self, n: int, tokens: np.ndarray) -> tuple[int, bool, list[int], list[float]]:
+        """The own region, whether its pivot is within r, and pivots in reach with their distances."""
+        none = OUTER, False, [], []
+        if not len(self.token):
+            return none
+        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+        at = at[self.token[at] == tokens]
+        many = self.many[at]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        shared = np.bincount(self.owner[np.repeat(self.first[at], many) + inside], minlength=len(self.sizes))
+        pivot = np.flatnonzero(shared)
+        if not len(pivot):
+            return none
+        union = n + self.sizes[pivot] - shared[pivot]
+        distance = 1 - shared[pivot] / union
+        first = int(distance.argmin())
+        linked = bool(100 * shared[pivot[first]] >= self.percent * union[first])
+        inside_region = 100 * shared[pivot[first]] >= (2 * self.percent - 100) * union[first]
+        reach = (distance <= 3 * self.r + SLACK) & (distance <= distance[first] + 2 * self.r + SLACK)
+        return int(pivot[first]) if inside_region else OUTER, linked, pivot[reach].tolist(), distance[reach].tolist()
 
-def whole(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The sets of texts again, for classes whose text this is."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch, texts in pieces(batches):
-            found = shingler.sets(texts)
-            keep = [i for i, (s, c) in enumerate(zip(found, ids_of(batch, "class").to_pylist(), strict=True)) if len(s) and class_of(s) == c]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids_of(batch, "class").take(at), ids_of(batch, "blocks").take(at), ids_of(batch, "label").take(at), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["class", "blocks", "label", "tokens"])
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """Shared shingles that sets of these sizes need to link."""
+    return F.ceil(percent * (a + b) / F.lit(100 + percent))
 
-    return run
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Length bound, and positional bound of one shared shingle, for rows with n and pos."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = least_overlap(na, nb, percent)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (na - F.col(f"{a}.pos") >= need) & (nb - F.col(f"{b}.pos") >= need)
 
 
 def verify(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Links among a block's pairs; pairs that links of the block already connect add nothing and are skipped."""
+    """Links among a part's pairs; pairs that links of the part already connect add nothing and are skipped."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {c: t.values.to_numpy().view(np.uint64) for c, t in zip(left.column("class").to_pylist(), left.column("tokens"), strict=True)}
+        names = left.column("class").to_pylist()
+        found = {c: np.sort(t.values.to_numpy()) for c, t in zip(names, left.column("tokens"), strict=True)}
+        full = dict(zip(names, left.column("n").to_pylist(), strict=True))
         number = {c: i for i, c in enumerate(found)}
         known, out = Union(len(found)), ([], [])
         for x, y in sorted(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True)):
             i, j = number[x], number[y]
             if known.find(i) != known.find(j):
-                n = len(found[x]) + len(found[y])
                 both = np.sort(np.concatenate((found[x], found[y])), kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * shared >= percent * (n - shared):
+                if 100 * shared >= percent * (full[x] + full[y] - shared):
                     known.join(i, j)
                     out[0].append(x)
                     out[1].append(y)
@@ -352,128 +347,118 @@ def verify(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, pivots: int = 1000, pivot_shingles: int = 1_000_000, block_tokens: int = 1_000_000, broadcast_ids: int = 2_000_000, group_limit: int = 2_000, short_list: int = 64) -> DataFrame:
-    """doc_id, n_shingles, class (of equal sets), component_id (least doc_id that links reach)."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int, part_tokens: int) -> DataFrame:
+    """Links among ``pairs`` (a, b, n_a, n_b).  A document's pairs meet where its least partner's do, large groups being cut by hash on either side."""
+    home = pairs.groupBy("b").agg(F.min("a").alias("_p"))
+    met = pairs.join(home, "b")
+    cuts = lambda c: met.select("_p", c, f"n_{c}").distinct().groupBy("_p").agg(F.ceil(F.sum(f"n_{c}") / part_tokens).alias(f"_c{c}"))
+    piece = lambda c: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.col(f"_c{c}")))
+    volume = pairs.agg(F.sum("n_b")).first()[0] or 0
+    parts = max(48, -(-volume // part_tokens))
+    part = F.pmod(F.xxhash64("_p", piece("a"), piece("b")), F.lit(parts))
+    placed = materialize(met.join(cuts("a"), "_p").join(cuts("b"), "_p").select(part.alias("part"), "a", "b"), "jaccard-parts")
+    needed = placed.select(F.col("part").alias("here"), F.col("a").alias("class")).union(placed.select("part", "b")).distinct()
+    here = needed.join(sets, "class").select("here", "class", "n", "tokens").groupBy("here")
+    out = materialize(here.cogroup(placed.groupBy("part")).applyInArrow(verify(percent), "a long, b long"), "jaccard-links")
+    release(placed)
+    return out
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, pivots: int = 1000, pivot_shingles: int = 1_000_000, sample_rows: int = 2_000, frequent: int = 200_000, block_tokens: int = 1_000_000, part_tokens: int = 250_000, centres: Sequence[int] = (2, 8)) -> DataFrame:
+    """doc_id, n_shingles, class (of equal sets), component_id (least doc_id that links reach).
+
+    ``centres`` gives for each level between the regions and the last how many central documents of a list it has reached.
+    The sample of ``sample_rows`` documents only decides which shingles count as frequent, at most ``frequent`` of them.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chosen = pick_pivots(rows, Shingler(width), pivots, pivot_shingles, width)
-    held = spark.sparkContext.broadcast(chosen)
-    centre = [class_of(s) for s in chosen]
-    list_of = lambda kind: pa.list_(kind)
-
-    # level 1: class, regions, necessary shingles and sketch of every document, in one pass
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, index, seen = Shingler(width), Pivots(held.value), set()
-        for batch, texts in pieces(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for found in shingler.sets(texts):
-                n, own = len(found), class_of(found)
-                near, window, tokens, sketch = [], [], None, None
-                if n and own not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(own)
-                    at, place = index.look(found)
-                    late = np.zeros(0, np.int64)
-                    if len(at):
-                        pivot, shared = index.overlaps(place)
-                        union = n + index.sizes[pivot] - shared
-                        near = pivot[100 * shared >= percent * union].tolist()
-                        window = pivot[100 * shared >= (2 * percent - 100) * union].tolist()
-                        late = at[index.many[place] > 1]
-                    keep = prefix_size(n, percent)
-                    first_ones = np.delete(found, late)[:keep] if len(late) else found[:keep]
-                    tokens = np.concatenate([first_ones, found[late][: keep - len(first_ones)]]).view(np.int64) if len(first_ones) < keep else first_ones.view(np.int64)
-                    sketch = sketch_of(found)
-                for x, y in zip(out, (own, n, near, window, tokens, sketch), strict=False):
+    total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    # a block is bounded as long as the deal has under 2^16 of them, which hold 130 G shingles
+    blocks = min(1 << 16, max(24, -(-(size or 0) // (6 * block_tokens))))
+    known = spark.sparkContext.broadcast(frequent_shingles(rows, min(1.0, sample_rows / max(1, total)), width, 4, frequent))
+    kind = "block int, message long, doc_id array<long>, class array<long>, n array<long>, token binary, owner binary, order binary"
+    dealt = rows.mapInArrow(send(width, blocks, lambda: known.value, block_tokens), kind).groupBy("block").applyInArrow(shared_in_block(blocks), kind)
+    sets = materialize(dealt.groupBy("message").applyInArrow(reduced_sets(blocks, percent), "doc_id long, class long, n long, tokens array<long>"), "jaccard-sets")
+    opened = materialize(sets.where("tokens is not null").select("class", "n", "tokens").dropDuplicates(["class"]), "jaccard-open")
+
+    # level 1: regions of the pivots
+    chosen = spark.sparkContext.broadcast(pick_pivots(opened, percent, pivots, pivot_shingles))
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Pivots(chosen.value, percent)
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for n, tokens in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = tokens.values.to_numpy()
+                own, linked, pivots, distances = index.place(n, tokens)
+                alone = n - len(tokens)  # shingles that no other document has come first in the order
+                need = -(-percent * n // 100)
+                for x, y in zip(out, (alone, own, index.names[own] if linked else None, pivots, distances, tokens[: max(0, n - need + 1 - alone)]), strict=True):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([ids_of(batch), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], list_of(pa.int32())), pa.array(out[3], list_of(pa.int32())), pa.array(out[4], list_of(pa.int64())), pa.array(out[5], pa.binary())], names=["doc_id", "class", "n", "near", "window", "tokens", "sketch"])
-
-    sets = materialize(rows.mapInArrow(first, "doc_id long, class long, n long, near array<int>, window array<int>, tokens array<long>, sketch binary"), "jaccard-sets")
-    firsts = sets.where("tokens is not null")
-
-    # regions: pivots near one document are one region; the tables of pivot pairs are bounded by the pivots' number squared
-    joined = Union(len(chosen))
-    for r in firsts.where("size(near) > 1").select(F.explode(F.transform("near", lambda x: F.struct(F.element_at("near", 1).alias("a"), x.alias("b")))).alias("e")).select("e.*").distinct().collect():
-        joined.join(r["a"], r["b"])
-    region = [joined.find(i) for i in range(len(chosen))]
-    named = F.array(*[F.lit(x) for x in region]) if region else F.array().cast("array<int>")
-    own = F.when(F.size("near") > 0, F.element_at(named, F.element_at("near", 1) + 1)).otherwise(F.lit(-1)) if region else F.lit(-1)
-    inside = firsts.withColumn("region", own.cast("int"))
-    opened = sorted({region[r["w"]] for r in inside.select("region", F.explode("window").alias("w")).distinct().collect() if region[r["w"]] != r["region"]})
-    level = inside.where((F.col("region") < 0) | F.col("region").isin(opened)) if opened else inside.where("region < 0")
-    links_near = firsts.where("size(near) > 0").select(F.col("class").alias("a"), F.explode("near").alias("p"))
-    links_near = links_near.select("a", F.element_at(F.array(*[F.lit(c) for c in centre]), F.col("p") + 1).alias("b")) if centre else spark.createDataFrame([], "a long, b long")
-
-    # levels 2 and 3: shingles to blocks of the hash space, pairs inside a block
-    total = level.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    blocks = max(24, -(-total // block_tokens))
-    sketch = firsts.groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    side = lambda s: sketch.select(F.col("class").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"), F.col("doc_id").alias(f"doc_{s}"))
-
-    def whole_sets(needed: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-        """block, class, label, tokens for ``needed``: class, doc_id, block."""
-        wanted = needed.groupBy("class", "doc_id").agg(F.collect_set(F.col("block").cast("long")).alias("blocks"))
-        wanted = wanted.join(labels, "class") if labels is not None else wanted.withColumn("label", F.lit(0).cast("long"))
-        wanted = materialize(wanted, "jaccard-wanted")
-        # one row per candidate document: broadcast only while few
-        small = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-        texts = rows.join(small, rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text", "blocks", "label")
-        full = texts.mapInArrow(whole(width), "class long, blocks array<long>, label long, tokens array<long>")
-        return full.select(F.explode("blocks").alias("block"), "class", "label", "tokens")
-
-    def join_level(labelled: DataFrame, stars: bool) -> DataFrame:
-        """Verified links of one level: ``labelled`` has class, n, label, tokens; equal labels are one component."""
-        packed = labelled.select("class", F.col("n").cast("int").alias("n"), "label", "tokens").mapInArrow(pack(blocks), "block int, token binary, at binary, class binary, n binary, label binary")
-        found = materialize(packed.groupBy("block").applyInArrow(pairs(percent, stars, small=short_list), "a long, b long, region boolean").distinct(), "jaccard-found")
-        made = found.where("not region").select("a", "b")
-        likely = materialize(made.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound(percent), "a long, b long, n_a long, n_b long, doc_a long, doc_b long"), "jaccard-candidates")
-        # a document's pairs meet in the block of its least partner, large ones being cut by hash; partners are copied there
-        home = likely.groupBy("b").agg(F.min("a").alias("_p"))
-        sizes = home.groupBy("_p").agg(F.count(F.lit(1)).alias("_m"))
-        volume = likely.agg(F.sum("n_b")).first()[0] or 0
-        parts = max(48, -(-volume // 4_000_000))
-        part = F.pmod(F.xxhash64("_p", F.pmod(F.xxhash64("b"), F.ceil(F.col("_m") / group_limit))), F.lit(parts)).cast("long")
-        placed = materialize(likely.join(home.join(sizes, "_p").select("b", part.alias("block")), "b").select("a", "b", "doc_a", "doc_b", "block"), "jaccard-pairs")
-        needed = placed.select(F.col("a").alias("class"), F.col("doc_a").alias("doc_id"), "block").union(placed.select("b", "doc_b", "block")).distinct()
-        met = whole_sets(needed).groupBy("block").cogroup(placed.select("block", "a", "b").groupBy("block"))
-        out = met.applyInArrow(verify(percent), "a long, b long")
-        if not stars:
-            # regions: cut by hash into chunks of bounded size, every two chunks meeting once
-            members = found.where("region").select(F.col("a").alias("centre"), F.col("b").alias("class"))
-            chunks = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / group_limit).alias("_c"))
-            cut = members.join(chunks, "centre").withColumn("_i", F.pmod(F.xxhash64("class"), F.col("_c")))
-            others = F.when(F.col("_c") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1), lambda j: j != F.col("_i")))
-            keyed = cut.select("centre", "class", "_i", F.explode(others).alias("_j")).select("class", F.xxhash64("centre", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("block"))
-            needed = keyed.join(sketch.select("class", "doc_id"), "class").select("class", "doc_id", "block")
-            sets_of = whole_sets(needed, labelled.groupBy("class").agg(F.min("label").alias("label")))
-            regions = max(96, -(-total // 100_000))
-            grouped = sets_of.select(F.pmod("block", F.lit(regions)).alias("part"), F.col("block").alias("key"), "class", "label", "tokens").groupBy("part")
-            out = out.union(grouped.applyInArrow(region_links(percent), "a long, b long"))
-        out = materialize(out, "jaccard-links")
-        release(likely)
-        release(found)
-        return out
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["class", "n", "alone", "own", "pivot", "near", "distance", "tokens"])
+
+    placed = materialize(opened.mapInArrow(regions, "class long, n long, alone long, own int, pivot long, near array<int>, distance array<double>, tokens array<long>"), "jaccard-placed")
+    links = placed.where("pivot is not null").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
+    # a region's radius; one row per pivot
+    radius = {r[0]: r[1] for r in placed.where(F.col("own") >= 0).groupBy("own").agg(F.max(F.array_min("distance"))).collect()}
+    reach = F.array(*[F.lit(float(radius.get(p, 0.0)) + 1 - percent / 100 + SLACK) for p in range(len(chosen.value))]) if radius else F.array().cast("array<double>")
+    within = lambda e: (e["near"] == F.col("own")) | (e["distance"] <= F.get(reach, e["near"]))
+    windows = F.transform(F.filter(F.arrays_zip("near", "distance"), within), lambda e: e["near"])
+    outer = F.when(F.col("pivot").isNull(), F.array(F.lit(OUTER))).otherwise(F.array().cast("array<int>"))
+    level = materialize(placed.select("class", "n", "alone", "pivot", F.explode(F.concat(windows, outer)).alias("region"), "tokens"), "jaccard-regions")
+
+    def lists(labels: DataFrame | None) -> DataFrame:
+        """A row per region, necessary shingle and document; equal labels are one component."""
+        if labels is None:
+            labelled = level.withColumn("label", F.coalesce("pivot", "class"))
+        else:
+            labelled = level.join(labels, level["class"] == labels["node"], "left").withColumn("label", F.coalesce("root", "class"))
+        wide = labelled.select("class", "n", "alone", "label", "region", F.posexplode("tokens").alias("at", "token"))
+        return wide.select("region", "token", "class", "n", "label", (F.col("alone") / F.col("n")).alias("own"), (F.col("alone") + F.col("at")).alias("pos"))
+
+    side = lambda a, b: [F.least(f"{a}.class", f"{b}.class").alias("a"), F.greatest(f"{a}.class", f"{b}.class").alias("b"), F.when(F.col(f"{a}.class") < F.col(f"{b}.class"), F.col(f"{a}.n")).otherwise(F.col(f"{b}.n")).alias("n_a"), F.when(F.col(f"{a}.class") < F.col(f"{b}.class"), F.col(f"{b}.n")).otherwise(F.col(f"{a}.n")).alias("n_b")]
+    same = (F.col("x.region") == F.col("y.region")) & (F.col("x.token") == F.col("y.token"))
+    differ = (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent)
+    compared, labels, low = [], None, 0
+    for high in (*centres, None):
+        held = lists(labels)
+        if high is not None:  # the low-th to high-th most central documents of a list, those with fewest shingles of their own
+            rank = F.row_number().over(W.partitionBy("region", "token").orderBy("own", "class"))
+            some = held.withColumn("_rank", rank).where(F.col("_rank") <= high).where(F.col("_rank") > low)
+            low = high
+        else:  # those that differ from the list's most central one, with all
+            major = held.groupBy("region", "token").agg(F.min(F.struct("own", "class", "label"))["label"].alias("_label"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+            some = held.join(major.select("region", "token", "_label"), ["region", "token"]).where("label <> _label")
+        found = held.alias("x").join(some.alias("y"), same & differ).select(*side("x", "y")).distinct()
+        for c in compared:
+            found = found.join(c.select("a", "b"), ["a", "b"], "left_anti")
+        found = materialize(found, "jaccard-pairs")
+        compared.append(found)
+        fresh = bool(found.take(1))
+        if fresh:
+            links = links.union(compare(found, opened, percent, part_tokens))
+        if fresh or labels is None:
+            if labels is not None:
+                release(labels)
+            labels = materialize(components(links), "jaccard-labels")
 
-    first_links = join_level(level.withColumn("label", F.col("region").cast("long")), True)
-    known = materialize(components(links_near.union(first_links)), "jaccard-labels")
-    labelled = level.join(known, level["class"] == known["node"], "left").withColumn("label", F.coalesce("root", "class"))
-    verified = first_links.union(join_level(labelled, False))
-    roots = components(links_near.union(verified))
     heads = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"))
-    placed = heads.join(roots, heads["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "head")
-    least = placed.groupBy("root").agg(F.min("head").alias("component"))
-    classes = materialize(placed.join(least, "root").select(F.col("class").alias("_class"), "component"), "jaccard-classes")
+    named = heads.join(labels, heads["class"] == labels["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "head")
+    least = named.groupBy("root").agg(F.min("head").alias("component"))
+    classes = materialize(named.join(least, "root").select(F.col("class").alias("_class"), "component"), "jaccard-classes")
+    for t in (*compared, labels, level, placed, opened):
+        release(t)
     out = sets.select("doc_id", "n", "class").join(classes, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = 2_000_000, **how: int) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = 500_000, **how: object) -> DataFrame:
     """The row with the least id of each component, with all its columns.
 
     Rows with a null id stay.  Rows that share an id are kept or dropped together; equal ones among them stay once.
     """
-    found = materialize(link(docs, key, text, broadcast_ids=broadcast_ids, **how).select("doc_id", "component_id"), "jaccard-found")
+    found = materialize(link(docs, key, text, **how).select("doc_id", "component_id"), "jaccard-found")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most"), F.count(F.lit(1)).alias("n"))
     odd = materialize(ids.where("least < doc_id and most < doc_id or n > 1").select(F.col("doc_id").alias("_spanloom_id"), ((F.col("most") >= F.col("doc_id")) & (F.col("n") > 1)).alias("_spanloom_again")), "jaccard-dropped")
     near = F.broadcast(odd) if odd.count() <= broadcast_ids else odd
