@@ -1,6 +1,13 @@
 """The corpus pipeline: quality rules, toxicity, near-duplicates, decontamination and mixing, each over what is left.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back before the next one.
+
+Cases, by stage.  Quality rules: null and empty texts fail them.  Toxicity: learns from the labels whose documents are still
+there; without any nothing is rejected, as every score is then 0.5.  Near-duplicates: the least id of a group stays; rows
+with a null id stay, rows that share an id go together.  Decontamination: without benchmark items all stays.  Mixing: rows
+that no word is taken of are left out; a null source is a source of its own.  Empty tables give empty tables, repeated rows
+are judged alike, very long texts are taken whole, and columns beyond those of documents are carried along, whatever their
+names; only mixing adds its own figures, in the place of columns with the same names.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import op2_repetition, op3_decontaminate, op4_toxicity, op8_mix, op9_jaccard
-from spanloom.llm.common import is_remainder, materialize, table
+from spanloom.llm.common import is_remainder, made, materialize, release, release_since, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op8_mix.mix(docs)
+    """The mixed corpus: the rows that are taken, all their columns, and size, source_size, target and taken words."""
+    return op8_mix.mixed_corpus(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,7 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, mark = docs, made()
+        docs = materialize(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        release(before)
+        release_since(mark, docs)
     return docs
 
 
