@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sequence import jaccard, kmers, tie_key
+from .scratch import release, written
+
 
 def hash_rank(rows: DataFrame, groups: Sequence[str], key: str, seed: int | str) -> DataFrame:
     """Adds ``rank``: the row's place in its group by sha1("seed:id")."""
@@ -39,10 +39,16 @@ def first_n(rows: DataFrame, group: str, n: int, *order) -> DataFrame:  # noqa:
 
 
 def interleave(rows: DataFrame, kind: str, first: str, *order) -> DataFrame:  # noqa: ANN002
-    """Adds ``turn``: ranked lists of two kinds taken alternately, ``first`` leading, the longer one going on alone."""
-    own = F.row_number().over(W.partitionBy(kind).orderBy(*order))
-    ranked = rows.withColumn("_rn", own).withColumn("_late", F.when(F.col(kind) == first, 0).otherwise(1))
-    return ranked.withColumn("turn", F.row_number().over(W.orderBy("_rn", "_late"))).drop("_rn", "_late")
+    """Adds ``turn``: ranked lists of two kinds taken alternately, ``first`` leading, the longer one going on alone.
+
+    The turn follows from a row's rank in its list and the length of the shorter list, so no sort of all rows is needed.
+    """
+    sizes = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("_n")).groupBy().agg(F.when(F.count(F.lit(1)) > 1, F.min("_n")).otherwise(0).alias("_m"))
+    shorter = F.broadcast(sizes)  # one row
+    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(kind).orderBy(*order))).withColumn("_one", F.lit(1))
+    met = ranked.join(shorter.withColumn("_one", F.lit(1)), "_one")
+    both = 2 * F.col("_rn") - F.when(F.col(kind) == first, 1).otherwise(0)
+    return met.withColumn("turn", F.when(F.col("_rn") <= F.col("_m"), both).otherwise(F.col("_m") + F.col("_rn"))).drop("_rn", "_one", "_m")
 
 
 def median_length(rows: DataFrame, group: str, length: str, key: str) -> DataFrame:
@@ -52,94 +58,90 @@ def median_length(rows: DataFrame, group: str, length: str, key: str) -> DataFra
     return ranked.where(F.col("_rn") == F.floor(F.col("_n") / 2)).drop("_rn", "_n")
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha1(text.encode()).hexdigest()
+def profiles(rows: DataFrame, group: str, key: str, seq: str, pref: str, seed: int, k: int = 5) -> DataFrame:
+    """grp, id, pref, tie, text (a digest of the sequence) and bag, the hashes of its k-mers; both null without a sequence."""
+    bag = F.when(F.col(seq).isNotNull(), F.transform(kmers(F.col(seq), k), lambda x: F.xxhash64(x)))
+    named = F.col(key).cast("string")
+    return rows.select(F.col(group).cast("string").alias("grp"), named.alias("id"), F.coalesce(F.col(pref).cast("double"), F.lit(0.0)).alias("pref"), tie_key(seed, named).alias("tie"), F.sha1(seq).alias("text"), bag.alias("bag"))
 
 
-def _kmer_sets(seqs: Sequence[str], k: int) -> list[int]:
-    """Sets as bits, so that a set of a large group takes little memory; equal sequences share one."""
-    bits: dict[str, int] = {}
-    known: dict[str, int] = {}
-    for s in seqs:
-        if s not in known:
-            known[s] = sum(1 << bits.setdefault(t, len(bits)) for t in ({s[i : i + k] for i in range(len(s) - k + 1)} if len(s) >= k else {s}))
-    return [known[s] for s in seqs]
+def spread(placed: DataFrame, n: int) -> DataFrame:
+    """grp, round, seed, bag: up to ``n`` rows of each group that are far from each other, in the order of their choice.
 
-
-def _similarity(sets: Sequence[int], one: int) -> np.ndarray:
-    out = np.zeros(len(sets))
-    for i, other in enumerate(sets):
-        if one and other:
-            out[i] = (one & other).bit_count() / (one | other).bit_count()
+    A round is one aggregation, the row with the greatest gap to all seeds before it, then ``pref``, then ``tie``; and one
+    join that narrows the gaps.  A group of any size is spread over all tasks, and only ids and gaps are written.
+    """
+    gaps, out = None, None
+    for number in range(n):
+        state = placed.withColumn("gap", F.lit(1.0)) if gaps is None else placed.join(gaps, ["grp", "id"])
+        best = F.max_by(F.struct("id", "bag"), F.struct("gap", "pref", "tie")).alias("s")
+        top = written(state.groupBy("grp").agg(best).select("grp", F.lit(number).alias("round"), F.col("s.id").alias("seed"), F.col("s.bag").alias("bag")), "seeds")
+        out = top if out is None else out.unionByName(top)
+        if number + 1 < n:
+            last = top.select("grp", "seed", F.col("bag").alias("_bag"))
+            narrowed = state.join(last, "grp").where("id <> seed").select("grp", "id", F.least("gap", 1 - jaccard(F.col("bag"), F.col("_bag"))).alias("gap"))
+            following = written(narrowed, "gaps")
+            if gaps is not None:
+                release(gaps)
+            gaps = following
+            if not gaps.take(1):
+                break
     return out
 
 
-def farthest(sets: Sequence[int], pref: Sequence[float], tie: Sequence[str], n: int) -> list[int]:
-    """Places picked greedily: first the best (pref, tie), then always the one farthest from all picked before."""
-    if not sets or n <= 0:
-        return []
-    picked = [max(range(len(sets)), key=lambda i: (pref[i], tie[i]))]
-    gap = 1 - _similarity(sets, sets[picked[0]])
-    while len(picked) < min(n, len(sets)):
-        left = set(range(len(sets))).difference(picked)
-        best = max(left, key=lambda i: (gap[i], pref[i], tie[i]))
-        picked.append(best)
-        gap = np.minimum(gap, 1 - _similarity(sets, sets[best]))
-    return picked
-
-
-def stratified(ids: Sequence[str], seqs: Sequence[str | None], pref: Sequence[float], cap: int, seed: int, k: int = 5, typical: int = 40) -> list[str]:
-    """Exactly ``cap`` ids: far-apart seeds, groups about them in order of typicality, taken in turns, then by hash."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    if cap <= 0 or len(ids) <= cap:
-        return [ids[i] for i in order]
-    by_hash = lambda some, n: sorted(some, key=lambda i: (_sha(f"{seed}:{ids[i]}"), ids[i]))[:n]
-    placed = [i for i in order if seqs[i]]
-    if not placed:
-        return sorted(ids[i] for i in by_hash(order, cap))
-    sets = _kmer_sets([seqs[i] or "" for i in placed], k)
-    ties, prefs = [_sha(f"{seed}:{ids[i]}") for i in placed], [pref[i] for i in placed]
-    seeds = sorted(farthest(sets, prefs, ties, min(cap, len(placed))), key=lambda p: ids[placed[p]])
-    near = np.array([_similarity([sets[s] for s in seeds], one) for one in sets])
-    groups: dict[int, list[int]] = {s: [] for s in seeds}
-    for p in range(len(placed)):
-        best = max(range(len(seeds)), key=lambda q: (near[p, q], _sha(f"{ties[p]}|{ids[placed[seeds[q]]]}")))
-        groups[seeds[best]].append(p)
-    for s, own in groups.items():
-        probe = sorted(own, key=lambda p: (ties[p], ids[placed[p]]))[:typical]
-        weight = {p: float(_similarity([sets[q] for q in probe], sets[p]).sum()) for p in own}
-        groups[s] = sorted(own, key=lambda p: (prefs[p], weight[p], ties[p]), reverse=True)
-    taken: list[int] = []
-    depth = 0
-    while len(taken) < cap and any(len(g) > depth for g in groups.values()):
-        for s in seeds:
-            if len(groups[s]) > depth and len(taken) < cap:
-                taken.append(placed[groups[s][depth]])
-        depth += 1
-    taken += by_hash(set(order).difference(taken), cap - len(taken))
-    return sorted(ids[i] for i in taken)
-
-
-def sample_groups(rows: DataFrame, group: str, key: str, seq: str, pref: str, cap: int, seed: int, mode: str = "stratified") -> DataFrame:
-    """group, id of the sample of each group.  Modes: stratified, diverse (farthest point), hash, first.
-
-    Greedy modes take all rows of a group, in one task, so a task grows with the largest group.
+def by_typicality(placed: DataFrame, seeds: DataFrame, probes: int = 40) -> DataFrame:
+    """grp, id, seed, depth: rows under their most similar seed, from the most preferred and typical one on.
+
+    Equal similarities are told apart by a hash of row and seed together, so near-copies do not all fall to one seed.
+    Typical is who is similar to the ``probes`` rows of the group with the smallest hashes.
+    """
+    held = seeds.groupBy("grp").agg(F.collect_list(F.struct("seed", "bag")).alias("seeds"))
+    likeness = lambda s: F.struct(jaccard(F.col("bag"), s["bag"]).alias("j"), F.sha1(F.concat("tie", F.lit("|"), s["seed"])).alias("h"), s["seed"].alias("seed"))
+    near = placed.join(held, "grp").withColumn("seed", F.array_max(F.transform("seeds", likeness))["seed"]).drop("seeds")
+    few = near.withColumn("_rn", F.row_number().over(W.partitionBy("grp", "seed").orderBy("tie", "id"))).where(F.col("_rn") <= probes)
+    probe = few.groupBy("grp", "seed").agg(F.sort_array(F.collect_list(F.struct("_rn", "bag"))).alias("probe"))
+    weight = F.aggregate(F.transform("probe", lambda p: jaccard(F.col("bag"), p["bag"])), F.lit(0.0), lambda x, y: x + y)
+    weighed = near.join(probe, ["grp", "seed"]).select("grp", "id", "seed", "pref", "tie", weight.alias("weight"))
+    order = W.partitionBy("grp", "seed").orderBy(F.desc("pref"), F.desc("weight"), F.desc("tie"))
+    return weighed.select("grp", "id", "seed", F.row_number().over(order).alias("depth"))
+
+
+def sample_groups(rows: DataFrame, group: str, key: str, seq: str, pref: str, cap: int, seed: int, mode: str = "stratified", dedup: bool = False) -> DataFrame:
+    """group, id of the sample of each group: exactly ``cap`` rows, or all of a group that has no more.
+
+    Modes: ``stratified`` takes the rows under far-apart seeds in turns, the typical ones first; ``representatives`` the
+    first row under each of ``cap`` seeds; ``diverse`` the seeds themselves; ``hash`` and ``first`` go by hash and by key.
+    Rows without a sequence come last, by hash.  ``dedup`` lays out each distinct sequence once, copies then come last too.
     """
+    if cap <= 0:
+        return rows.select(group, F.col(key).alias("id"))
     if mode == "hash":
         return hash_sample(rows, [group], key, cap, seed).select(group, F.col(key).alias("id"))
     if mode == "first":
         return first_n(rows, group, cap, key).select(group, F.col(key).alias("id"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].astype(str).tolist()
-        seqs, prefs = frame["seq"].where(frame["seq"].notna(), None).tolist(), frame["pref"].fillna(0).tolist()
-        if mode == "stratified":
-            chosen = stratified(ids, seqs, prefs, cap, seed)
-        else:
-            order = sorted(range(len(ids)), key=lambda i: ids[i])
-            sets = _kmer_sets([seqs[i] or "" for i in order], 5)
-            chosen = sorted(ids[order[p]] for p in farthest(sets, [prefs[i] for i in order], [_sha(f"{seed}:{ids[i]}") for i in order], cap))
-        return pd.DataFrame({"grp": [frame["grp"].iloc[0]] * len(chosen), "id": chosen})
-
-    chosen = rows.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("string").alias("id"), F.col(seq).alias("seq"), F.col(pref).cast("double").alias("pref"))
-    return chosen.groupBy("grp").applyInPandas(run, "grp string, id string").withColumnRenamed("grp", group)
+    every = profiles(rows, group, key, seq, pref, seed)
+    sizes = every.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    small = every.join(sizes.where(F.col("_n") <= cap).select("grp"), "grp", "left_semi").select("grp", "id")
+    large = written(every.join(sizes.where(F.col("_n") > cap).select("grp"), "grp", "left_semi"), "profiles")
+    placed = large.where("bag is not null")
+    if dedup:
+        first = W.partitionBy("grp", "text").orderBy(F.desc("pref"), F.desc("tie"))
+        placed = placed.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    seeds = spread(placed, cap)
+    if mode == "diverse":
+        laid = seeds.select("grp", F.col("seed").alias("id"), F.lit(1).alias("depth"), F.lpad(F.col("round").cast("string"), 10, "0").alias("_turn"))
+    else:
+        laid = by_typicality(placed, seeds).select("grp", "id", "depth", F.col("seed").alias("_turn"))
+    if mode == "representatives":
+        laid = laid.where("depth = 1")
+    else:
+        rest = large.join(laid.select("grp", "id"), ["grp", "id"], "left_anti").select("grp", "id", F.lit(None).cast("int").alias("depth"), F.col("tie").alias("_turn"))
+        laid = laid.unionByName(rest)
+    turn = F.row_number().over(W.partitionBy("grp").orderBy(F.col("depth").asc_nulls_last(), "_turn", "id"))
+    chosen = laid.withColumn("_rn", turn).where(F.col("_rn") <= cap).select("grp", "id")
+    return small.unionByName(chosen).withColumnRenamed("grp", group)
+
+
+def pick_references(windows: DataFrame, group: str, key: str, seq: str, length: str, most: int, seed: int = 1) -> DataFrame:
+    """group, id of up to ``most`` references of each group: representatives, the longest windows being preferred."""
+    return sample_groups(windows, group, key, seq, length, most, seed, "representatives")

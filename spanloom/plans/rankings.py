@@ -116,13 +116,12 @@ def _(spark, d):
 
 @query("SMP-05")
 def _(spark, d):
-    return P.sample_groups(_rows(spark, d), "family", "id", "seq", "pref", 3, 1)
+    return P.sample_groups(_rows(spark, d), "family", "id", "seq", "pref", 3, 1, "representatives")
 
 
 @query("SMP-06")
 def _(spark, d):
-    long_ones = _rows(spark, d).where("pref >= 200")
-    return P.sample_groups(long_ones, "clade", "id", "seq", "pref", 3, 1)
+    return P.pick_references(_rows(spark, d), "clade", "id", "seq", "pref", 3)
 
 
 @query("SMP-07", f"with {SEQS}, r as (select *, row_number() over (partition by clade order by sha1('5:' || id::varchar), id) as rn from seqs) select clade, id, rn <= 12 as selected, case when rn <= 12 then 'kept' else 'capped' end as reason from r")
