@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.intervals import trim_member
@@ -43,8 +43,6 @@ def call_blocks(segments: DataFrame, windows: DataFrame, least_recurrence: float
     on_axis = segments.select("clade", "member", F.col("rs").alias("s"), F.col("re").alias("e"))
     depth = coverage(on_axis, "clade", "member", merged=True).join(clades, "clade")
     called = runs(depth, "clade", "need").where(F.col("e") - F.col("s") >= least_len)
-    from pyspark.sql import Window as W
-
     called = called.withColumn("block", F.row_number().over(W.partitionBy("clade").orderBy("s")))
     pieces = segments.select("clade", "member", F.col("rs").alias("s"), F.col("re").alias("e"), "ms", "me", "strand")
     met = overlapping(called, pieces, "clade", bin_size)
@@ -58,22 +56,28 @@ def call_blocks(segments: DataFrame, windows: DataFrame, least_recurrence: float
 
 
 def helices(pairs: DataFrame, group: str, gap: int = 4) -> DataFrame:
-    """group, i, j, helix: a pair joins the first helix whose last pair it continues within ``gap`` on both ends."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ends: list[tuple[int, int]] = []
-        rows = frame.drop_duplicates(["i", "j"]).sort_values(["i", "j"])
-        out = []
-        for i, j in zip(rows["i"].tolist(), rows["j"].tolist(), strict=True):
-            for h, (a, b) in enumerate(ends):
-                if 0 < i - a <= gap and 0 < b - j <= gap:
-                    ends[h] = (i, j)
-                    break
-            else:
-                h = len(ends)
-                ends.append((i, j))
-            out.append(h)
-        return pd.DataFrame({"g": [frame["g"].iloc[0]] * len(out), "i": rows["i"].tolist(), "j": rows["j"].tolist(), "helix": out})
-
-    chosen = pairs.select(F.col(group).cast("string").alias("g"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    return chosen.groupBy("g").applyInPandas(run, "g string, i long, j long, helix long").withColumnRenamed("g", group)
+    """group, i, j, helix: in order of (i, j) a pair joins the first helix whose last pair lies within ``gap`` of it on both sides.
+
+    No helix reaches over a step of more than ``gap`` in i, so each stretch between such steps is folded by itself, in the
+    JVM; helices are numbered from 0 along the group.
+    """
+    order = W.partitionBy(group).orderBy("i", "j")
+    step = F.when(F.col("i") - F.lag("i").over(order) <= gap, 0).otherwise(1)
+    pair = F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    stretches = pairs.select(group, "i", "j").withColumn("_s", step).withColumn("_s", F.sum("_s").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    held = stretches.groupBy(group, "_s").agg(F.sort_array(F.collect_list(pair)).alias("_p"))
+    kind = "struct<last:array<struct<i:bigint,j:bigint>>,named:array<struct<i:bigint,j:bigint,h:int>>>"
+
+    def fold(state, p):  # noqa: ANN001, ANN202
+        near = F.transform(state["last"], lambda q: (F.abs(p["i"] - q["i"]) <= gap) & (F.abs(p["j"] - q["j"]) <= gap))
+        found = F.array_position(near, True).cast("int")
+        at = F.when(found > 0, found).otherwise(F.size(state["last"]) + 1)
+        moved = F.when(found > 0, F.transform(state["last"], lambda q, x: F.when(x == found - 1, p).otherwise(q))).otherwise(F.concat(state["last"], F.array(p)))
+        named = F.concat(state["named"], F.array(F.struct(p["i"].alias("i"), p["j"].alias("j"), at.alias("h"))))
+        return F.struct(moved.alias("last"), named.alias("named")).cast(kind)
+
+    none = F.struct(F.array().alias("last"), F.array().alias("named")).cast(kind)
+    folded = held.withColumn("_f", F.aggregate("_p", none, fold)).select(group, "_s", "_f.named", F.size("_f.last").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = folded.withColumn("_before", before).select(group, "_before", F.explode("named").alias("_x"))
+    return out.select(F.col(group).cast("string").alias(group), "_x.i", "_x.j", (F.col("_before") + F.col("_x.h") - 1).cast("long").alias("helix"))
