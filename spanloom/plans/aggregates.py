@@ -34,22 +34,19 @@ def _(spark, d):
 
 @query("AGG-04", f"with {SEQS} select clade, sum((family = 'en')::int)::bigint as n_first, case when avg((family = 'en')::int) > 0.5 then 'dominant' else 'mixed' end as call from seqs group by clade")
 def _(spark, d):
-    first = (F.col("family") == "en").cast("long")
-    return sequences(spark, d).groupBy("clade").agg(F.sum(first).alias("n_first"), F.when(F.avg(first) > 0.5, "dominant").otherwise("mixed").alias("call"))
+    return A.dominance(sequences(spark, d), "clade", F.col("family") == "en")
 
 
 @query("AGG-05", f"with {TL}, n as (select contig, family, max((value > 90)::int) as near from tl group by contig, family) select family, round(avg(near), 6) as support, case when avg(near) >= 0.5 then 'supported' when avg(near) >= 0.1 then 'weak' else 'absent' end as band from n group by family")
 def _(spark, d):
-    n = timeline(spark, d).groupBy("contig", "family").agg(F.max((F.col("value") > 90).cast("int")).alias("near"))
-    a = F.avg("near")
-    return n.groupBy("family").agg(F.round(a, 6).alias("support"), F.when(a >= 0.5, "supported").when(a >= 0.1, "weak").otherwise("absent").alias("band"))
+    out = A.neighbour_support(timeline(spark, d), "contig", "family", F.col("value") > 90)
+    return out.withColumn("support", F.round("support", 6))
 
 
 @query("AGG-06", "with g as (select p_type, p_brand, count(*)::bigint as n, median(p_retailprice) as m from part group by p_type, p_brand), r as (select *, row_number() over (partition by p_type order by n desc, coalesce(nullif(m, 0.0), 1.0), p_brand) as rn from g) select p_type, p_brand, n from r where rn = 1")
 def _(spark, d):
     g = table(spark, d, "part").groupBy("p_type", "p_brand").agg(COUNT(F.lit(1)).alias("n"), F.median("p_retailprice").alias("m"))
-    w = W.partitionBy("p_type").orderBy(F.desc("n"), F.coalesce(F.nullif("m", F.lit(0.0)), F.lit(1.0)), "p_brand")
-    return g.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("p_type", "p_brand", "n")
+    return A.ladder_choice(g, "p_type", "p_brand", "n", "m")
 
 
 @query("AGG-07", "select coalesce(lang, 'TOTAL') as lang, coalesce(source, 'ALL') as source, count(*)::bigint as n, sum(n_chars)::bigint as chars from documents group by rollup (lang, source)")
@@ -90,7 +87,7 @@ def _(spark, d):
 
 @query("AGG-12", f"with {SC}, g as (select source, list_sort(list(len)) as v from sc group by source) select source, v[len(v) // 2 + 1] as upper_median, v[floor(0.9 * len(v))::int + 1] as p90, v[len(v)] as most from g")
 def _(spark, d):
-    return scored(spark, d).groupBy("source").agg(A.at_fraction(F.col("len"), 0.5, False).alias("upper_median"), A.at_fraction(F.col("len"), 0.9, False).alias("p90"), F.max("len").alias("most"))
+    return A.at_fractions(scored(spark, d), ["source"], "len", {"upper_median": 0.5, "p90": 0.9}, clamp=False)
 
 
 _DEC = "x as (select o_orderkey, o_orderpriority as fam, o_totalprice as score, o_orderkey % 4 = 0 as decoy from orders)"
@@ -111,8 +108,8 @@ def _(spark, d):
 
 @query("AGG-15", "with x as (select o_orderstatus as mode, list_sort(list(o_totalprice)) as v from orders where o_orderstatus <> 'O' group by o_orderstatus) select mode, v[len(v)] as most, v[least(len(v) - 1, floor(0.99 * len(v)))::int + 1] as p99, v[least(len(v) - 1, floor(0.9 * len(v)))::int + 1] as p90, v[least(len(v) - 1, floor(0.5 * len(v)))::int + 1] as median from x")
 def _(spark, d):
-    x = F.col("o_totalprice")
-    return table(spark, d, "orders").where("o_orderstatus <> 'O'").groupBy(F.col("o_orderstatus").alias("mode")).agg(F.max(x).alias("most"), A.at_fraction(x, 0.99).alias("p99"), A.at_fraction(x, 0.9).alias("p90"), A.at_fraction(x, 0.5).alias("median"))
+    x = table(spark, d, "orders").where("o_orderstatus <> 'O'").withColumnRenamed("o_orderstatus", "mode")
+    return A.at_fractions(x, ["mode"], "o_totalprice", {"p99": 0.99, "p90": 0.9, "median": 0.5})
 
 
 _GRID = "k as (select distinct c_custkey as bag from customer), g as (select bag, unnest(['F', 'O', 'P']) as mode from k), h as (select o_custkey as bag, o_orderstatus as mode, count(*)::bigint as n, sum((o_totalprice >= 450000)::int)::bigint as strong from orders group by 1, 2)"
@@ -155,16 +152,14 @@ def _(spark, d):
 
 @query("AGG-21", "with m as (select l_suppkey as bag, l_returnflag as dom, min(l_discount) as e from lineitem group by 1, 2), b as (select bag, min(e) as e, min(case when dom = 'R' then e end) as curated from m group by bag) select bag, case when curated <= 0.0 then 'curated' when e <= 0.01 then 'sub_threshold_lead' else 'orphan' end as status from b")
 def _(spark, d):
-    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("bag"), F.col("l_returnflag").alias("dom")).agg(F.min("l_discount").alias("e"))
-    b = m.groupBy("bag").agg(F.min("e").alias("e"), F.min(F.when(F.col("dom") == "R", F.col("e"))).alias("curated"))
-    return b.select("bag", F.when(F.col("curated") <= 0.0, "curated").when(F.col("e") <= 0.01, "sub_threshold_lead").otherwise("orphan").alias("status"))
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "bag")
+    return A.sensitive_status(lines, "bag", "l_returnflag", "l_discount", F.col("l_returnflag") == "R", 0.0, 0.01)
 
 
 @query("AGG-22", "with p as (select l_suppkey as target, l_returnflag as source, count(distinct l_partkey)::bigint as n from lineitem group by 1, 2) select target, count(*)::bigint as sources, sum(n)::bigint as distinct_sum, round(max(n) / sum(n), 6) as max_source_fraction, case when max(n) / sum(n) <= 0.4 then 'strong' else 'weak' end as pool from p group by target")
 def _(spark, d):
-    p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("target"), "l_returnflag").agg(F.countDistinct("l_partkey").alias("n"))
-    share = F.max("n") / F.sum("n")
-    return p.groupBy("target").agg(COUNT(F.lit(1)).alias("sources"), F.sum("n").alias("distinct_sum"), F.round(share, 6).alias("max_source_fraction"), F.when(share <= 0.4, "strong").otherwise("weak").alias("pool"))
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "target")
+    return A.pool_summary(lines, "target", "l_returnflag", "l_partkey").withColumn("max_source_fraction", F.round("max_source_fraction", 6))
 
 
 @query("AGG-23", f"with {SC} select source, round(avg(len), 4) as mean, max(len) as most, median(len) as median from sc where words >= 20 group by source")
@@ -175,8 +170,7 @@ def _(spark, d):
 @query("AGG-24", "select conv_id, median(length(text))::double as inserted, median(case when role = 'user' then length(text) end)::double as noncoding, median(length(text))::double - coalesce(median(case when role = 'user' then length(text) end)::double, 0) as coding from conversations group by conv_id")
 def _(spark, d):
     n = F.length("text")
-    a, b = F.median(n), F.median(F.when(F.col("role") == "user", n))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(a.alias("inserted"), b.alias("noncoding"), (a - F.coalesce(b, F.lit(0.0))).alias("coding"))
+    return A.element_records(table(spark, d, "conversations"), "conv_id", n, F.when(F.col("role") == "user", n))
 
 
 @query("AGG-25", f"with {TL}, c as (select contig, family, count(*)::bigint as n from tl group by contig, family), r as (select *, row_number() over (partition by contig order by n desc, family) as rn, sum(n) over (partition by contig) as t from c) select contig, family as side, round(n / t, 6) as frac from r where rn = 1")
@@ -187,45 +181,47 @@ def _(spark, d):
 
 @query("AGG-26", f"with {TL}, g as (select contig, avg((family = 'view')::int) as up, avg((family = 'click')::int) as down, median(value) as mv from tl group by contig) select contig, up >= 0.15 as accept_up, down >= 0.15 as accept_down, round(greatest(0, mv - 20) + 5, 6) as extent from g")
 def _(spark, d):
-    g = timeline(spark, d).groupBy("contig").agg(F.avg((F.col("family") == "view").cast("int")).alias("up"), F.avg((F.col("family") == "click").cast("int")).alias("down"), F.median("value").alias("mv"))
-    return g.select("contig", (F.col("up") >= 0.15).alias("accept_up"), (F.col("down") >= 0.15).alias("accept_down"), F.round(F.greatest(F.lit(0), F.col("mv") - 20) + 5, 6).alias("extent"))
+    out = A.element_geometry(timeline(spark, d), "contig", F.col("family") == "view", F.col("family") == "click", F.col("value"), F.lit(20.0), 5)
+    return out.withColumn("extent", F.round("extent", 6))
 
 
 @query("AGG-27", f"with {IV} select grp, min(s)::bigint as first_s, max(e)::bigint as last_e, sum(e - s)::bigint as total, case when bool_or(piece = 1) and bool_or(piece = 2) then 'both' when bool_or(piece = 1) then 'first' when bool_or(piece = 2) then 'second' else 'other' end as architecture, min(piece)::bigint as best from iv group by grp")
 def _(spark, d):
-    kinds = F.collect_set("piece")
-    a = lambda n: F.array_contains(kinds, F.lit(n).cast("int"))
-    return intervals(spark, d).groupBy("grp").agg(F.min("s").alias("first_s"), F.max("e").alias("last_e"), F.sum(F.col("e") - F.col("s")).alias("total"), F.when(a(1) & a(2), "both").when(a(1), "first").when(a(2), "second").otherwise("other").alias("architecture"), F.min("piece").cast("long").alias("best"))
+    sides = {"first": F.col("piece") == 1, "second": F.col("piece") == 2}
+    return A.locus_rollup(intervals(spark, d).withColumn("verdict", F.col("piece").cast("long")), "grp", "s", "e", sides, "verdict")
 
 
 @query("AGG-28", f"with {SC}, g as (select lang, list_sort(list(len)) as v from sc group by lang) select lang, v[least(len(v) - 1, floor(0.25 * len(v)))::int + 1] as q1, v[least(len(v) - 1, floor(0.75 * len(v)))::int + 1] as q3 from g")
 def _(spark, d):
-    return scored(spark, d).groupBy("lang").agg(A.at_fraction(F.col("len"), 0.25).alias("q1"), A.at_fraction(F.col("len"), 0.75).alias("q3"))
+    return A.at_fractions(scored(spark, d), ["lang"], "len", {"q1": 0.25, "q3": 0.75}).drop("most")
 
 
-_ALN = "r as (select clade, left(seq, 40) as seq, row_number() over (partition by clade order by id) as rn from seqs where length(seq) >= 40)"
+_PAIRED = "p as (select a.clade, a.rn as x, b.rn as y, greatest(length(a.seq), length(b.seq)) as n, a.seq as sa, b.seq as sb from k a join k b on a.clade = b.clade and a.rn < b.rn), c as (select clade, x, y, n, unnest(string_split(sa, '')) as u, unnest(string_split(sb, '')) as v from p), i as (select clade, x, y, count(*) filter (where u = v) / any_value(n) as identity from c group by clade, x, y)"
+_RANKED = "r as (select clade, seq, row_number() over (partition by clade order by id) as rn, count(*) over (partition by clade) as n from seqs where length(seq) > 0)"
 
 
-@query("AGG-29", f"with {SEQS}, {_ALN} select a.clade, round(avg(list_sum([case when a.seq[i] = b.seq[i] then 1 else 0 end for i in range(1, 41)]) / 40), 6) as mean_identity from r a join r b on a.clade = b.clade and a.rn < b.rn where a.rn <= 12 and b.rn <= 12 group by a.clade")
+@query("AGG-29", f"with {SEQS}, {_RANKED}, k as (select * from r where rn <= 60), {_PAIRED} select clade, round(avg(identity), 6) as mean_identity from i group by clade")
 def _(spark, d):
+    """Over the first 60 whole sequences of a clade; where one is shorter the rest counts as a gap."""
     from ..operators.similarity import mean_pairwise_identity
 
-    rows = sequences(spark, d).where(F.length("seq") >= 40).select("clade", "id", F.substring("seq", 1, 40).alias("seq"))
-    return mean_pairwise_identity(rows, "clade", "id", "seq", 12).select("clade", F.round("mean_identity", 6).alias("mean_identity"))
+    rows = sequences(spark, d).where(F.length("seq") > 0).select("clade", "id", "seq")
+    return mean_pairwise_identity(rows, "clade", "id", "seq", 60).select("clade", F.round("mean_identity", 6).alias("mean_identity"))
 
 
-@query("AGG-30", f"with {SEQS}, {_ALN}, n as (select clade, max(rn) as n from r group by clade), k as (select r.*, row_number() over (partition by r.clade order by rn) as k from r join n using (clade) where (rn - 1) % greatest(1, n // 10) = 0) select a.clade, count(*)::bigint as pairs, round(max(list_sum([case when a.seq[i] = b.seq[i] then 1 else 0 end for i in range(1, 41)]) / 40), 6) as most from k a join k b on a.clade = b.clade and a.rn < b.rn where a.k <= 10 and b.k <= 10 group by a.clade")
+@query("AGG-30", f"with {SEQS}, {_RANKED}, k as (select * from r where (rn - 1) % greatest(1, n // 60) = 0 and (rn - 1) // greatest(1, n // 60) < 60), {_PAIRED} select clade, count(*)::bigint as pairs, round(max(identity), 6) as most from i group by clade")
 def _(spark, d):
     from ..operators.sampling import stride
     from ..operators.similarity import pairwise_identity
 
-    rows = sequences(spark, d).where(F.length("seq") >= 40).select("clade", "id", F.substring("seq", 1, 40).alias("seq"))
-    return pairwise_identity(stride(rows, "clade", "id", 10), "clade", "id", "seq").groupBy("clade").agg(COUNT(F.lit(1)).alias("pairs"), F.round(F.max("identity"), 6).alias("most"))
+    rows = sequences(spark, d).where(F.length("seq") > 0).select("clade", "id", "seq")
+    return pairwise_identity(stride(rows, "clade", "id", 60), "clade", "id", "seq").groupBy("clade").agg(COUNT(F.lit(1)).alias("pairs"), F.round(F.max("identity"), 6).alias("most"))
 
 
 @query("AGG-32", f"with {TL} select family as neighbor_group, count(distinct contig)::bigint as n_anchors, min(pos % 10000)::bigint as nearest from tl group by family")
 def _(spark, d):
-    return timeline(spark, d).groupBy(F.col("family").alias("neighbor_group")).agg(F.countDistinct("contig").alias("n_anchors"), F.min(F.col("pos") % 10000).alias("nearest"))
+    t = timeline(spark, d).withColumnRenamed("family", "neighbor_group")
+    return A.marker_summary(t, "neighbor_group", "contig", F.col("pos") % 10000)
 
 
 @query("AGG-33", "select o_orderstatus as label, count(*)::bigint as n from orders group by 1")

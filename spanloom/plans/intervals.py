@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
+from ..functions import rules as U
 from ..sources.adapters import IV, SEQS, TL, intervals, sequences, table, timeline
 from .registry import query
 
@@ -76,8 +77,8 @@ def _(spark, d):
 
 @query("INT-08", f"with {IV}, {_SEG} select grp, member, piece, case when strand = '-' then re - (15 // 2) else rs + (15 // 2) end::bigint as r from sg")
 def _(spark, d):
-    back = (F.lit(15) / 2).cast("int")
-    return _segments(spark, d).select("grp", "member", "piece", F.when(F.col("strand") == "-", F.col("re") - back).otherwise(F.col("rs") + back).alias("r"))
+    back = U.trimmed_reference(F.col("rs"), F.col("re"), F.lit(15) / 2, F.col("strand"))
+    return _segments(spark, d).select("grp", "member", "piece", back.alias("r"))
 
 
 @query("INT-09", f"with {IV} select grp, member, piece, greatest(0, least(e, 10100) - greatest(s, 10000))::bigint as o from iv")
@@ -85,11 +86,13 @@ def _(spark, d):
     return intervals(spark, d).select("grp", "member", "piece", I.overlap(F.col("s"), F.col("e"), F.lit(10000), F.lit(10100)).cast("long").alias("o"))
 
 
-@query("INT-10", f"with {IV}, {_MEMBERS}, b as (select grp, member, e as s, lead(s) over (partition by grp, member order by s) as e from mg) select grp, member, s::bigint as s, e::bigint as e from b where e is not null")
+@query("INT-10", f"with {IV}, {_MEMBERS}, wn as (select grp, min(s) as lo, max(e) as hi from iv group by grp), g as (select grp, member, coalesce(lag(e) over (partition by grp, member order by s), lo) as s, s as e from mg join wn using (grp) union all select grp, member, max(e), hi from mg join wn using (grp) group by grp, member, hi) select grp, member, s::bigint as s, e::bigint as e from g where s < e")
 def _(spark, d):
-    whole = intervals(spark, d).groupBy("grp", "member").agg(I.merged(F.collect_list(F.struct("s", "e"))).alias("m"))
-    gaps = I.subtract(F.element_at("m", 1)["s"], F.element_at("m", -1)["e"], F.col("m"))
-    return whole.select("grp", "member", F.explode(gaps).alias("g")).select("grp", "member", "g.s", "g.e")
+    """What a member's intervals leave of its group's window."""
+    iv = intervals(spark, d)
+    windows = iv.groupBy("grp").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
+    whole = iv.groupBy("grp", "member").agg(I.merged(F.collect_list(F.struct("s", "e"))).alias("m")).join(windows, "grp")
+    return whole.select("grp", "member", F.explode(I.subtract(F.col("lo"), F.col("hi"), F.col("m"))).alias("g")).select("grp", "member", "g.s", "g.e")
 
 
 @query("INT-11", f"with {TL} select a.event_id, a.pos - max(b.pos) filter (where b.pos <= a.pos) as left_gap, min(b.pos) filter (where b.pos >= a.pos) - a.pos as right_gap from tl a left join tl b on a.contig = b.contig and b.family = 'click' where a.family = 'signup' group by a.event_id, a.pos")
@@ -116,16 +119,17 @@ def _(spark, d):
 @query("INT-14", f"with {IV}, x as (select grp, avg((e <= 10400)::int) as up, avg((s >= 10400)::int) as down from iv group by grp) select grp, case when up >= 0.6 then 'upstream' when down >= 0.6 then 'downstream' else 'mixed' end as side from x")
 def _(spark, d):
     x = intervals(spark, d).groupBy("grp").agg(F.avg((F.col("e") <= 10400).cast("int")).alias("up"), F.avg((F.col("s") >= 10400).cast("int")).alias("down"))
-    return x.select("grp", F.when(F.col("up") >= 0.6, "upstream").when(F.col("down") >= 0.6, "downstream").otherwise("mixed").alias("side"))
+    return x.select("grp", U.dominant_side(F.col("up"), F.col("down"), 0.6).alias("side"))
 
 
 @query("INT-15", f"with {IV}, x as (select grp, case when e <= 10400 then 10400 - e else greatest(0, s - 10400) end as gap from iv), g as (select grp, list_sort(list(gap)) as v from x group by grp) select grp, v[len(v) // 2 + 1]::bigint as gap, (v[least(len(v) - 1, floor(0.75 * len(v)))::int + 1] - v[least(len(v) - 1, floor(0.25 * len(v)))::int + 1])::bigint as iqr from g")
 def _(spark, d):
-    from ..operators.aggregate import at_fraction
+    from ..operators.aggregate import at_fractions
 
     gap = F.when(F.col("e") <= 10400, 10400 - F.col("e")).otherwise(F.greatest(F.lit(0), F.col("s") - 10400))
     x = intervals(spark, d).select("grp", gap.alias("gap"))
-    return x.groupBy("grp").agg(at_fraction(F.col("gap"), 0.5).alias("gap"), (at_fraction(F.col("gap"), 0.75) - at_fraction(F.col("gap"), 0.25)).alias("iqr"))
+    at = at_fractions(x, ["grp"], "gap", {"q1": 0.25, "middle": 0.5, "q3": 0.75})
+    return at.select("grp", F.col("middle").alias("gap"), (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 @query("INT-16", f"with {IV} select grp, member, piece, case when e <= 10400 then e - 10400 when s >= 10460 then s - 10460 else 0 end::bigint as distance from iv")
@@ -139,17 +143,17 @@ def _(spark, d):
     return _anchors(spark, d).select("id", g.alias("g")).select("id", F.col("g.start"), F.col("g.end"), (F.col("g.end") - F.col("g.start") + 1 == 30).alias("proven"))
 
 
-@query("INT-18", f"with {_ANCHOR} select id, substr(seq, 21, 200) as trimmed, (st - 21)::bigint as anchor_offset from an where n >= 461 and st >= 21 and st + 60 <= 220")
+@query("INT-18", f"with {_ANCHOR} select id, substr(seq, 21, 200) as trimmed, (st - 21)::bigint as anchor_offset from an where n >= 461 and st >= 21 and st + 60 <= 221")
 def _(spark, d):
-    a = _anchors(spark, d).where("n >= 461 and st >= 21 and st + 60 <= 220")
-    return a.select("id", F.substring("seq", 21, 200).alias("trimmed"), (F.col("st") - 21).alias("anchor_offset"))
+    cut = U.trimmed_window(F.col("seq"), F.col("st") - 1, F.lit(60), 20, 200).alias("t")
+    return _anchors(spark, d).where("n >= 461").select("id", cut).where("t is not null").select("id", F.col("t.seq").alias("trimmed"), F.col("t.offset").alias("anchor_offset"))
 
 
 @query("INT-19", f"with {TL}, p as (select contig, min(pos) as p0 from tl where family = 'purchase' group by contig) select event_id, (pos - p0)::bigint as x from tl join p using (contig)")
 def _(spark, d):
     t = timeline(spark, d)
     p = t.where("family = 'purchase'").groupBy("contig").agg(F.min("pos").alias("p0"))
-    return t.join(p, "contig").select("event_id", (F.col("pos") - F.col("p0")).alias("x"))
+    return t.join(p, "contig").select("event_id", U.in_anchor_frame(F.col("pos"), F.col("p0")).alias("x"))
 
 
 @query("INT-20", f"with {IV} select grp, member, piece, case when e - 10400 <= 0 then 'upstream' when s - 10400 >= 60 then 'downstream' else 'overlaps' end as side from iv")
@@ -159,18 +163,21 @@ def _(spark, d):
 
 @query("INT-21", f"with {IV}, {_SEG} select grp, member, piece, case when strand = '-' then re - 4 else rs + 4 end::bigint as point from sg where re - rs > 4")
 def _(spark, d):
-    return _segments(spark, d).where("re - rs > 4").select("grp", "member", "piece", F.when(F.col("strand") == "-", F.col("re") - 4).otherwise(F.col("rs") + 4).alias("point"))
+    point = U.insertion_point(F.col("rs"), F.col("re"), F.lit(4), F.col("strand"))
+    return _segments(spark, d).where("re - rs > 4").select("grp", "member", "piece", point.alias("point"))
 
 
 @query("INT-22", f"with {IV}, g as (select grp, median(s - 10400) as ms from iv group by grp) select grp, case when ms < 0 then trunc(ms) else greatest(0, trunc(ms - 60)) end::bigint as dist_to_anchor from g")
 def _(spark, d):
     g = intervals(spark, d).groupBy("grp").agg(F.median(F.col("s") - 10400).alias("ms"))
-    return g.select("grp", F.when(F.col("ms") < 0, F.col("ms").cast("long")).otherwise(F.greatest(F.lit(0), (F.col("ms") - 60).cast("long"))).alias("dist_to_anchor"))
+    return g.select("grp", U.block_distance(F.col("ms"), F.lit(60)).alias("dist_to_anchor"))
 
 
-@query("INT-23", "with t as (select doc_id, string_split(text, ' ') as w from documents), x as (select doc_id, w[i] as tok, i, length(array_to_string(w[1:i-1], ' ')) + case when i > 1 then 1 else 0 end as st from (select doc_id, w, unnest(range(1, least(len(w), 5) + 1)) as i from t)) select doc_id, i::bigint as i, st::bigint as s, (st + length(tok))::bigint as e from x")
+@query("INT-23", "with t as (select doc_id, unnest(string_split(text, ' ')) as tok, generate_subscripts(string_split(text, ' '), 1) as i from documents) select doc_id, i::bigint as i, (sum(length(tok) + 1) over w - length(tok) - 1)::bigint as s, (sum(length(tok) + 1) over w - 1)::bigint as e from t window w as (partition by doc_id order by i rows unbounded preceding)")
 def _(spark, d):
-    words = F.slice(F.split("text", " "), 1, 5)
-    at = F.transform(words, lambda w, i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda t, x: t + F.length(x) + 1))
-    cells = F.zip_with(words, at, lambda w, s: F.struct(s.cast("long").alias("s"), (s + F.length(w)).cast("long").alias("e")))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(cells).alias("i", "c")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "c.s", "c.e")
+    """Tokens to places in the text, by a running sum of their lengths."""
+    from pyspark.sql import Window as W
+
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "tok"))
+    upto = F.sum(F.length("tok") + 1).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    return t.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), (upto - F.length("tok") - 1).alias("s"), (upto - 1).alias("e"))

@@ -38,9 +38,9 @@ _U = "('0x' || left(sha1({0}), 8))::bigint"
 _W = f"{SEQS}, w as (select id, clade, length(seq)::bigint as n, id % 300 as off, 60 as alen from seqs where length(seq) >= 600)"
 
 
-@query("NUL-03", f"with {_W}, r as (select *, greatest(0, off - 200 - alen + 1) as rl, off + alen + 200 as rf, greatest(0, n - alen - (off + alen + 200) + 1) as rr from w), a as (select *, {_U.format(chr(39) + '6:' + chr(39) + ' || id::varchar')} % greatest(rl + rr, 1) as u from r) select id, case when rl + rr > 0 then case when u < rl then u else rf + u - rl end end::bigint as place from a")
+@query("NUL-03", f"with {_W}, r as (select *, greatest(0, off - 2000 - alen + 1) as rl, off + alen + 2000 as rf, greatest(0, n - alen - (off + alen + 2000) + 1) as rr from w), a as (select *, {_U.format(chr(39) + '6:' + chr(39) + ' || id::varchar')} % greatest(rl + rr, 1) as u from r) select id, case when rl + rr > 0 then case when u < rl then u else rf + u - rl end end::bigint as place from a")
 def _(spark, d):
-    got = N.shuffled_anchors(_windows(spark, d), "id", "off", "alen", "n", 200, 6)
+    got = N.shuffled_anchors(_windows(spark, d), "id", "off", "alen", "n", 2000, 6)
     back = F.when(F.col("pseudo_strand") < 0, F.col("n") - F.col("pseudo_offset") - F.col("alen")).otherwise(F.col("pseudo_offset"))
     return got.select("id", back.cast("long").alias("place"))
 
@@ -66,17 +66,24 @@ def _(spark, d):
     return sizes.join(made, ["family", "clade"], "left").select("family", "clade", N.manifest(F.col("made"), F.col("size")).alias("state"))
 
 
-@query("NUL-07", "with p as (select l_suppkey as bag, avg((l_returnflag = 'R')::int) as own from lineitem group by 1), t as (select avg((l_returnflag = 'R')::int) as all_of from lineitem) select bag, own > all_of as above from p, t")
+@query("NUL-07", f"""with {_PERM}, g as (select family, clade, id, length(seq) // 400 as cluster from seqs),
+best as (select family, clade, max(n) / any_value(sites) as best from (select family, clade, cluster, count(distinct id) as n, sum(count(distinct id)) over (partition by family, clade) as sites from g group by 1, 2, 3) group by 1, 2),
+dr as (select dec.family, dec.clade, dec.replicate, dec.id, g.cluster from dec join g on dec.family = g.family and dec.id = g.id),
+nu as (select family, clade, replicate, max(n) / any_value(sites) as v from (select family, clade, replicate, cluster, count(distinct id) as n, sum(count(distinct id)) over (partition by family, clade, replicate) as sites from dr group by 1, 2, 3, 4) group by 1, 2, 3)
+select b.family, b.clade, round(best, 6) as best, round(avg(v), 6) as null_mean, round(max(v), 6) as null_max, case when count(v) > 0 then (count(*) filter (where v >= best) + 1) / (count(v) + 1) end as p from best b left join nu on b.family = nu.family and b.clade = nu.clade group by b.family, b.clade, best""")
 def _(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("bag"), (F.col("l_returnflag") == "R").cast("int").alias("hit"))
-    mean = lines.agg(F.avg("hit")).first()[0]
-    return lines.groupBy("bag").agg(F.avg("hit").alias("own")).select("bag", (F.col("own") > F.lit(mean)).alias("above"))
+    """Sites are documents, a site's region is in the cluster of its length; decoys draw sites of the family's other bags."""
+    from ..operators.records import region_null
 
+    regions = sequences(spark, d).select("family", "clade", "id", F.floor(F.length("seq") / 400).alias("cluster"))
+    out = region_null(regions, _decoys(spark, d), "family", "clade", "id", "cluster")
+    return out.select("family", "clade", *[F.round(c, 6).alias(c) for c in ("best", "null_mean", "null_max")], "p")
 
-@query("NUL-08", "with p as (select s_nationkey, s_suppkey as bag, sum((l_returnflag = 'R')::int)::double / count(*) as own, sum((l_returnflag = 'R')::int)::bigint as r, count(*)::bigint as n from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2), f as (select s_nationkey, sum(r) as r, sum(n) as n from p group by 1) select bag, round(own / nullif((f.r - p.r) / nullif(f.n - p.n, 0), 0), 6) as enrichment from p join f using (s_nationkey)")
+
+@query("NUL-08", "with p as (select s_nationkey, s_suppkey as bag, sum((l_returnflag = 'R')::int)::bigint as r, count(*)::bigint as n from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2), o as (select a.bag, a.r, a.n, b.r as orr, b.n as onn, row_number() over (partition by a.bag order by b.bag) as rn from p a left join p b on a.s_nationkey = b.s_nationkey and a.bag <> b.bag), k as (select bag, any_value(r) as r, any_value(n) as n, sum(orr) as orr, sum(onn) as onn from o where rn <= 3 group by bag) select bag, round(r / n / nullif(orr / nullif(onn, 0), 0), 6) as enrichment from k")
 def _(spark, d):
+    from ..operators.aggregate import off_bag_enrichment
+
     lines, s = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     p = lines.join(s, lines["l_suppkey"] == s["s_suppkey"]).groupBy("s_nationkey", F.col("s_suppkey").alias("bag")).agg(F.sum((F.col("l_returnflag") == "R").cast("long")).alias("r"), F.count(F.lit(1)).alias("n"))
-    f = p.groupBy("s_nationkey").agg(F.sum("r").alias("fr"), F.sum("n").alias("fn"))
-    off = (F.col("fr") - F.col("r")) / F.nullif(F.col("fn") - F.col("n"), F.lit(0))
-    return p.join(f, "s_nationkey").select("bag", F.round(F.col("r") / F.col("n") / F.nullif(off, F.lit(0.0)), 6).alias("enrichment"))
+    return off_bag_enrichment(p, "s_nationkey", "bag", "r", "n").withColumn("enrichment", F.round("enrichment", 6))
\ No newline at end of file

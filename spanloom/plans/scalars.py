@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as U
 from ..functions import sequence as S
 from ..functions import verdicts as V
 from ..sources.adapters import SC, SEQS, TL, scored, sequences, table, timeline
@@ -37,14 +38,15 @@ def _(spark, d):
     return sequences(spark, d).select("id", S.tie_key(7, F.col("id")).alias("tie"))
 
 
-@query("SCA-05", f"""with {SEQS}, p as (select id, left(seq, 60) as a, left(lead(seq) over (partition by clade order by id), 60) as b from seqs),
-q as (select * from p where b is not null and length(a) = length(b) and length(a) > 0)
-select id, round(list_sum([case when a[i] = b[i] then 1 else 0 end for i in range(1, length(a) + 1)]) / length(a), 6) as identity from q""")
+@query("SCA-05", f"""with {SEQS}, p as (select id, seq as a, lead(seq) over (partition by clade order by id) as b from seqs),
+q as (select id, a, b, greatest(length(a), length(b)) as n from p where b is not null and greatest(length(a), length(b)) > 0),
+c as (select id, n, unnest(string_split(a, '')) as x, unnest(string_split(b, '')) as y from q)
+select id, round(count(*) filter (where x = y) / any_value(n), 6) as identity from c group by id""")
 def _(spark, d):
     from pyspark.sql import Window as W
 
-    p = sequences(spark, d).select("id", F.substring("seq", 1, 60).alias("a"), F.substring(F.lead("seq").over(W.partitionBy("clade").orderBy("id")), 1, 60).alias("b"))
-    return p.where("b is not null and length(a) = length(b) and length(a) > 0").select("id", F.round(S.identity(F.col("a"), F.col("b")), 6).alias("identity"))
+    p = sequences(spark, d).select("id", F.col("seq").alias("a"), F.lead("seq").over(W.partitionBy("clade").orderBy("id")).alias("b"))
+    return p.where("b is not null and greatest(length(a), length(b)) > 0").select("id", F.round(S.identity(F.col("a"), F.col("b")), 6).alias("identity"))
 
 
 @query("SCA-09", f"with {SEQS} select id, round((length(seq) - length(regexp_replace(seq, '[GCgc]', '', 'g'))) / length(seq), 6) as gc from seqs where length(seq) > 0")
@@ -59,7 +61,8 @@ def _(spark, d):
 
 @query("SCA-10", "select l_orderkey, l_linenumber, round(l_quantity / 50 * (1 - l_discount) * (1 - l_tax), 8) as composite from lineitem")
 def _(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / 50 * (1 - F.col("l_discount")) * (1 - F.col("l_tax")), 8).alias("composite"))
+    score = U.composite(F.col("l_quantity") / 50, 1 - F.col("l_discount"), 1 - F.col("l_tax"), digits=8)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("composite"))
 
 
 @query("SCA-12", f"with {SC} select doc_id, round(0.5 + 0.5 * least(1.0, log10(greatest(words, 1)) / log10(500)), 6) as breadth from sc")
@@ -117,9 +120,16 @@ def _(spark, d):
     return table(spark, d, "labels").select("doc_id", V.power_band(x, F.col("quality").isNull(), 1.0, 2.0).alias("power"))
 
 
-@query("SCA-21", "select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title, try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint) as n from pages")
+@query("SCA-21", "select l_orderkey, l_linenumber, repeat('(', l_linenumber) || '..' || repeat(')', l_linenumber) as structure, -l_quantity as consensus_mfe, -l_tax as covariance_term, l_linenumber::int as n_base_pairs, l_suppkey::int as nseq, l_partkey::int as alen, l_discount as avgid, 1::int as false_positive_pairs, l_linenumber::int as covarying_pairs, 22::int as bpairs_tested, 7::int as found_pairs, l_discount as sensitivity, l_tax as ppv, l_quantity as avg_subs_per_bp, l_tax as expected_covarying, 3.0::double as observed_covarying from lineitem")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)").alias("n"))
+    """Reports as the folding and covariation tools print them, parsed by their lines."""
+    from ..sources import readers as R
+
+    t = lambda c: F.col(c).cast("string")
+    fold = F.concat(F.lit("\nACGU\n"), F.expr("repeat('(', l_linenumber)"), F.lit(".."), F.expr("repeat(')', l_linenumber)"), F.lit(" ( "), (-F.col("l_quantity")).cast("string"), F.lit(" =  -1.50 + "), (-F.col("l_tax")).cast("string"), F.lit(")\n"))
+    report = F.concat(F.lit("# MSA x_1 nseq "), t("l_suppkey"), F.lit(" (9) alen "), t("l_partkey"), F.lit(" (9) avgid "), t("l_discount"), F.lit(" nbpairs 22\n#  GTp  none [FP | TP True Found | Sen PPV F] [ 1 | "), t("l_linenumber"), F.lit(" 22 7 | "), t("l_discount"), F.lit(" "), t("l_tax"), F.lit(" 0.0]\n# avg substitutions per BP  "), t("l_quantity"), F.lit("\n# BPAIRS expected to covary "), t("l_tax"), F.lit("\n# BPAIRS observed to covary 3\n"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(fold, report).alias("value"))
+    return R.covariation_report(R.fold_report(rows)).drop("value")
 
 
 @query("SCA-22", f"with {SC}, x as (select doc_id, len / 500 as expected, floor(words / 50) as tp, len / 4000 as ppv from sc) select doc_id, case when tp = 0 and expected < 1 then 'no_signal' when expected >= 3 and tp >= 3 and ppv >= 0.8 then 'supported' when expected < 3 then 'underpowered' when tp >= 1 then 'borderline' else 'failed' end as verdict from x")
@@ -134,9 +144,9 @@ def _(spark, d):
     return x.withColumn("verdict", V.relabelled(F.col("old"), F.col("expected"))).drop("expected")
 
 
-@query("SCA-24", "with x as (select page_id, regexp_extract_all(left(html, 300), '<[^>]*>|(?s:.)') as t from pages) select page_id, len(t)::bigint as n_tokens, t[1] as first_token from x")
+@query("SCA-24", "with x as (select page_id, regexp_extract_all(html, '<[^>]*>|(?s:.)') as t from pages) select page_id, len(t)::bigint as n_tokens, t[1] as first_token from x")
 def _(spark, d):
-    t = F.regexp_extract_all(F.substring("html", 1, 300), F.lit("<[^>]*>|(?s:.)"), F.lit(0))
+    t = F.regexp_extract_all("html", F.lit("<[^>]*>|(?s:.)"), F.lit(0))
     return table(spark, d, "pages").select("page_id", F.size(t).cast("long").alias("n_tokens"), F.element_at(t, 1).alias("first_token"))
 
 

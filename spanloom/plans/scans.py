@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import verdicts as V
 from ..sources import readers as R
 from ..sources import sinks as K
-from ..sources.adapters import SEQS, sequences, table
+from ..sources.adapters import IV, SEQS, sequences, table
 from .registry import query
 
 
@@ -27,22 +27,22 @@ def _(spark, d):
     return h.select(R.record_id("header").alias("contig"), "contig_len")
 
 
-def _gff(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey < 2000")
-    return p.select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), F.lit("x"), F.when(F.col("l_returnflag") == "R", "gene").otherwise("CDS"), (F.col("l_partkey") + 1).cast("string"), (F.col("l_partkey") + 91).cast("string"), F.lit("."), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+"), F.lit("0"), F.concat(F.lit("ID="), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(";partial=00"))).alias("value"))
+def gff_lines(spark, d):
+    p = table(spark, d, "lineitem")
+    return p.select(F.concat_ws("\t", F.col("l_suppkey").cast("string"), F.lit("x"), F.when(F.col("l_returnflag") == "R", "gene").otherwise("CDS"), (F.col("l_partkey") + 1).cast("string"), (F.col("l_partkey") + 91).cast("string"), F.lit("."), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+"), F.lit("0"), F.concat(F.lit("ID="), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(";partial=00;aa="), "l_linestatus", F.col("l_quantity").cast("long").cast("string"))).alias("value"))
 
 
-@query("SRC-03", "select l_suppkey::varchar as contig, l_partkey as s, l_partkey + 91 as e, case when l_linenumber % 2 = 0 then '-' else '+' end as strand, '00' as partial from lineitem where l_orderkey < 2000 and l_returnflag <> 'R'")
+@query("SRC-03", "select l_suppkey::varchar as contig, l_partkey as s, l_partkey + 91 as e, case when l_linenumber % 2 = 0 then '-' else '+' end as strand, '00' as partial from lineitem where l_returnflag <> 'R'")
 def _(spark, d):
-    return R.gff(_gff(spark, d)).select("contig", "s", "e", "strand", F.col("attributes")["partial"].alias("partial"))
+    return R.gff(gff_lines(spark, d)).select("contig", "s", "e", "strand", F.col("attributes")["partial"].alias("partial"))
 
 
-@query("SRC-04", "with r as (select l_linenumber, l_orderkey, l_partkey, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey) as rn from lineitem where l_orderkey < 2000 and l_returnflag <> 'R') select l_orderkey::varchar || '_' || l_linenumber::varchar as orf, l_partkey as s from r where rn = 1 and l_linenumber <= 3")
+@query("SRC-04", "with r as (select l_linenumber, l_orderkey, l_partkey, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey) as rn from lineitem where l_returnflag <> 'R') select l_orderkey::varchar || '_' || l_linenumber::varchar as orf, l_partkey as s from r where rn = 1 and l_linenumber <= 3")
 def _(spark, d):
     from ..operators.joins import best_of
 
-    found = R.gff(_gff(spark, d)).select(F.col("attributes")["ID"].alias("orf"), "s")
-    wanted = table(spark, d, "lineitem").where("l_orderkey < 2000 and l_linenumber <= 3").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("orf"))
+    found = R.gff(gff_lines(spark, d)).select(F.col("attributes")["ID"].alias("orf"), "s")
+    wanted = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("orf"))
     return best_of(found.join(wanted, "orf", "left_semi"), ["orf"], "s")
 
 
@@ -73,17 +73,35 @@ def _(spark, d):
     return R.alignments(table(spark, d, "lineitem").select(F.concat_ws("\t", *c, F.lit("0"), F.lit("0"), F.lit("1"), F.lit("2"), F.lit("3"), F.lit("4"), F.lit("1e-5"), F.lit("50")).alias("value")))
 
 
-@query("SRC-09", "select n_nationkey::bigint as k, n_name, n_regionkey::bigint as r from nation")
+def _folder(spark, name):
+    """A new folder in the shared place."""
+    import uuid
+
+    from ..operators.scratch import scratch_root
+
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SRC-09", "select n_nationkey::bigint as k, nullif(n_name, '') as n_name, case when n_nationkey % 4 <> 0 then n_regionkey::bigint end as r from nation")
 def _(spark, d):
-    rows = K.tsv_lines(table(spark, d, "nation"), ("n_nationkey", "n_name", "n_regionkey"))
-    return rows.select(F.from_csv("value", "k bigint, n_name string, r bigint", {"sep": "\t"}).alias("r0")).select("r0.*")
+    """Written with a header and blanks, read back by the header."""
+    path = _folder(spark, "table")
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_regionkey")).alias("r"))
+    K.write_tsv(rows, path, ["k", "n_name", "r"])
+    return R.table(spark, path, "k bigint, n_name string, r bigint")
 
 
-@query("SRC-10", "select n_nationkey::bigint as k, n_name from nation where n_nationkey % 3 <> 0")
+@query("SRC-10", "select n_nationkey::varchar as k, n_name, case when n_nationkey % 2 = 0 then n_regionkey::varchar end as r from nation where n_nationkey % 3 <> 0")
 def _(spark, d):
-    bad = F.when(F.col("n_nationkey") % 3 == 0, F.concat_ws("\t", "n_name", F.lit("x"), F.lit("y"))).otherwise(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name"))
-    cells = F.split("value", "\t")
-    return table(spark, d, "nation").select(bad.alias("value")).where(F.size(cells) == 2).select(cells[0].cast("long").alias("k"), cells[1].alias("n_name"))
+    """Two shards with columns of their own; rows of another width than their header are dropped."""
+    root, n = _folder(spark, "shards"), table(spark, d, "nation")
+    key, bad = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 3 == 0
+    for i, names in enumerate((("k", "n_name", "r"), ("k", "n_name"))):
+        cells = [key, F.col("n_name"), F.col("n_regionkey").cast("string")][: len(names)]
+        line = F.when(bad, F.concat_ws("\t", *cells, F.lit("x"))).otherwise(F.concat_ws("\t", *cells))
+        head = spark.createDataFrame([("\t".join(names),)], "value string")
+        head.union(n.where(F.col("n_nationkey") % 2 == i).select(line)).coalesce(1).write.text(f"{root}/shard{i}")
+    return R.tables(spark, f"{root}/shard*", ("k", "n_name", "r"))
 
 
 @query("SRC-11", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_id % 5 <> 0")
@@ -107,14 +125,23 @@ def _(spark, d):
     return rows.select(cells[0].alias("genome"), F.get(cells, F.lit(1)).alias("path"))
 
 
-@query("SRC-14", "select lang as species, min(doc_id) as accession from documents group by 1")
+@query("SRC-14", "with p as (select doc_id::varchar as accession, source as view, lang as species from documents where doc_id % 5 <> 0 union all select doc_id::varchar, 'zz', 'other' from documents where doc_id % 2 = 0 and doc_id % 5 <> 0), r as (select *, row_number() over (partition by accession order by view, species) as rn from p) select accession, species from r where rn = 1")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("lang").alias("species")).agg(F.min("doc_id").alias("accession"))
+    """Paths as a listing of the views gives them; other files and other folders do not count."""
+    docs, key = table(spark, d, "documents"), F.col("doc_id").cast("string")
+    name = F.concat(key, F.when(F.col("doc_id") % 5 == 0, ".txt").otherwise(".fna.gz"))
+    first = docs.select(F.concat(F.lit("/db/views/"), "source", F.lit("/by_species/"), "lang", F.lit("/"), name).alias("path"))
+    later = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("/db/views/zz/by_species/other/"), name))
+    stray = docs.select(F.concat(F.lit("/db/other/"), name))
+    return R.species_view(first.union(later).union(stray))
 
 
-@query("SRC-15", f"with {SEQS} select id as retron, length(seq)::bigint as n, regexp_matches(upper(seq), '^[ACGTUN]+$') as sane from seqs")
+@query("SRC-15", f"with {SEQS}, k as (select id, case when id % 3 = 0 then seq else text end as raw from seqs join documents on id = doc_id), u as (select id, upper(regexp_replace(coalesce(raw, ''), '[ \t\n\x0B\f\r]+', '', 'g')) as s from k) select id::varchar as retron_id, case when regexp_matches(s, '^[ACGTUN]*$') then length(s) else 0 end::bigint as ncrna_len, case when regexp_matches(s, '^[ACGTUN]*$') then s else '' end as ncrna from u")
 def _(spark, d):
-    return sequences(spark, d).select(F.col("id").alias("retron"), F.length("seq").cast("long").alias("n"), F.upper("seq").rlike("^[ACGTUN]+$").alias("sane"))
+    """An outside table under its own names; what is no nucleotide sequence is emptied."""
+    raw = F.when(F.col("id") % 3 == 0, F.col("seq")).otherwise(F.col("text"))
+    rows = sequences(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("_id"), raw.alias("Sequence"))
+    return R.external_references(rows, {"retron_id": "_id", "ncrna": "Sequence"}, "ncrna").withColumn("ncrna_len", F.col("ncrna_len").cast("long"))
 
 
 @query("SRC-16", "select l_linenumber::bigint as i, l_suppkey as j, l_quantity as score from lineitem where l_orderkey % 9 <> 0")
@@ -123,10 +150,12 @@ def _(spark, d):
     return R.covarying_pairs(table(spark, d, "lineitem").select(line.alias("value"))).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "score")
 
 
-@query("SRC-17", "select doc_id, len(string_split(text, chr(10)))::bigint as lines, string_split(text, chr(10))[1] as structure from documents")
+@query("SRC-17", "select p_partkey, '# ' || p_brand || chr(10) || '# second' as comments, repeat('(', p_size::int % 5) || '..' || repeat(')', p_size::int % 5) as structure from part")
 def _(spark, d):
-    lines = F.split("text", "\n")
-    return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), lines[0].alias("structure"))
+    """A file per part: comment lines, and a structure over several lines."""
+    k = (F.col("p_size") % 5).cast("int")
+    value = F.concat(F.lit("# "), "p_brand", F.lit("\n"), F.expr("repeat('(', cast(p_size % 5 as int))"), F.lit("\n..\n\n# second\n"), F.expr("repeat(')', cast(p_size % 5 as int))"), F.lit("\n"))
+    return R.structure_file(table(spark, d, "part").where(k.isNotNull()).select("p_partkey", value.alias("value"))).drop("value")
 
 
 @query("SRC-18", f"with {SEQS} select id, clade, family from seqs")
@@ -154,11 +183,7 @@ def _(spark, d):
 
 def _written(spark, d, rows, *by):
     """Writes to a new folder and reads it back."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanloom-")
-    path = f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    path = _folder(spark, "sink")
     K.write_partitioned(rows, path, *by)
     return spark.read.parquet(path)
 
@@ -180,9 +205,9 @@ def _(spark, d):
     return K.fasta_lines(rows, F.concat("clade", F.lit("|"), F.col("id").cast("string")), "cut")
 
 
-@query("SNK-05")
+@query("SNK-05", "select '{' || string_agg('\"' || k || '\":' || n::varchar, ',' order by k) || '}' as summary from (select o_orderstatus as k, count(*) as n from orders group by 1)")
 def _(spark, d):
-    return spark.createDataFrame([(K.summary(table(spark, d, "orders"), "o_orderstatus"),)], "summary string")
+    return K.summary(table(spark, d, "orders"), "o_orderstatus")
 
 
 @query("SNK-06", f"with {SEQS}, r as (select clade, id, 'seq' || lpad(row_number() over (partition by clade order by id)::varchar, 5, '0') as name, left(seq, 30) as a from seqs where length(seq) >= 30) select clade, name, name || ' ' || translate(a, 'Tt', 'Uu') as line from r")
@@ -190,22 +215,31 @@ def _(spark, d):
     return K.stockholm(sequences(spark, d).where(F.length("seq") >= 30).select("clade", "id", F.substring("seq", 1, 30).alias("a")), "clade", "id", "a")
 
 
-@query("SNK-07", f"with {SEQS} select id, 'LOCUS       ' || id::varchar || ' ' || least(length(seq), 40)::varchar || ' bp DNA' || chr(10) || 'FEATURES             Location/Qualifiers' || chr(10) || '     misc_feature    ' || case when id % 2 = 0 then '1..' || (id + 40)::varchar else '' end || chr(10) || 'ORIGIN' || chr(10) || '        1 ' || lower(left(seq, 40)) || chr(10) || '//' as record from seqs")
+_NOTE = "chr(10) || '                     /note=\"' || {0} || '\"' || chr(10)"
+
+
+@query("SNK-07", f"with {SEQS} select id, 'LOCUS       ' || id::varchar || ' ' || length(seq)::varchar || ' bp DNA' || chr(10) || 'FEATURES             Location/Qualifiers' || chr(10) || '     ' || rpad('source', 16, ' ') || '1..' || length(seq)::varchar || {_NOTE.format('clade')} || '     ' || rpad('misc_feature', 16, ' ') || case when id % 2 = 0 then '5..' || (id + 40)::varchar else '' end || {_NOTE.format('family')} || 'ORIGIN' || chr(10) || coalesce(array_to_string([lpad((i * 60 + 1)::varchar, 9, ' ') || ' ' || rtrim(regexp_replace(lower(substr(seq, i * 60 + 1, 60)), '(.{{10}})', '\\1 ', 'g')) for i in range(0, ceil(length(seq) / 60)::int)], chr(10)), '') || chr(10) || '//' as record from seqs")
 def _(spark, d):
-    rows = sequences(spark, d).select("id", F.substring("seq", 1, 40).alias("seq"), F.lit(1).alias("st"), (F.col("id") + 40).alias("en"), (F.col("id") % 2 == 0).alias("proven"))
-    return K.genbank(rows, "id", "seq", "st", "en", "proven")
+    s, one = sequences(spark, d), F.lit(1).cast("long")
+    feature = lambda kind, start, end, proven, note: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.cast("long").alias("end"), proven.alias("proven"), F.col(note).alias("note"))
+    features = F.array(feature("source", one, F.length("seq"), F.lit(True), "clade"), feature("misc_feature", one + 4, F.col("id") + 40, F.col("id") % 2 == 0, "family"))
+    return K.genbank(s.withColumn("features", features), "id", "seq", "features")
 
 
-@query("SNK-08", "select l_suppkey as clade, '<rect x=\"' || l_linenumber::varchar || '\" width=\"' || l_quantity::bigint::varchar || '\"/>' as svg from lineitem where l_orderkey < 100")
+@query("SNK-08", f"with {IV}, x as (select grp, min(s) as lo, max(e) as hi from iv group by grp), r as (select *, row_number() over (partition by grp order by member, s, e) as rn from iv) select grp, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"' || (hi - lo)::varchar || '\">' || string_agg('<rect x=\"' || (s - lo)::varchar || '\" y=\"' || (12 * rn)::varchar || '\" width=\"' || (e - s)::varchar || '\" height=\"10\"/>', '' order by rn) || '</svg>' as svg from r join x using (grp) where rn <= 200 group by grp, lo, hi")
 def _(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 100")
-    return rows.select(F.col("l_suppkey").alias("clade"), F.concat(F.lit('<rect x="'), F.col("l_linenumber").cast("string"), F.lit('" width="'), F.col("l_quantity").cast("long").cast("string"), F.lit('"/>')).alias("svg"))
+    from ..sources.adapters import intervals
+
+    return K.member_plot(intervals(spark, d), "grp", "member", "s", "e")
 
 
-@query("SNK-09", "select o_orderstatus as locus, '## ' || o_orderstatus || chr(10) || count(*)::varchar || ' rows' as report from orders group by 1")
+@query("SNK-09", "with g as (select o_custkey as locus, count(*) over (partition by o_custkey) as n, min(o_orderstatus) over (partition by o_custkey) as verdict, o_orderkey, o_orderkey::varchar || ' | ' || o_orderstatus as cells from orders) select locus, '## ' || locus::varchar || chr(10) || chr(10) || '- blocks: ' || any_value(n)::varchar || chr(10) || '- verdict: ' || any_value(verdict) || chr(10) || chr(10) || string_agg('| ' || cells || ' |', chr(10) order by o_orderkey, cells) as report from g group by locus")
 def _(spark, d):
-    g = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("locus")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("locus", F.concat(F.lit("## "), "locus", F.lit("\n"), F.col("n").cast("string"), F.lit(" rows")).alias("report"))
+    from pyspark.sql import Window as W
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("locus"), "o_orderkey", "o_orderstatus")
+    rows = o.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("locus"))).withColumn("cells", F.concat_ws(" | ", F.col("o_orderkey").cast("string"), "o_orderstatus"))
+    return K.report(rows, "locus", {"blocks": "n", "verdict": "o_orderstatus"}, "cells", "o_orderkey")
 
 
 @query("SNK-10", "select l_orderkey, l_linenumber from lineitem")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -79,9 +77,16 @@ def _(spark, d):
     return best_of(hits, ["l_orderkey"], F.desc("prio"), F.desc("score"), "model").select("l_orderkey", "model", "score")
 
 
-@query("SIM-04", "select p_type as family, count(distinct p_brand)::bigint as models from part group by 1")
+@query("SIM-04", "with w(family, model) as (values ('first', 'Brand#1'), ('first', 'Brand#2'), ('second', 'Brand#3')), k as (select p_brand as model, count(*)::bigint as leng, max(p_retailprice) as ga from part group by 1) select family, model, leng, ga from w join k using (model)")
 def _(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("family")).agg(F.countDistinct("p_brand").alias("models"))
+    """The configured models out of a library of all; a missing one is an error."""
+    from ..operators.records import fetch_models
+    from ..sources.readers import check_config
+
+    config = check_config({"families": {"first": ["Brand#1", "Brand#2"], "second": ["Brand#3"]}})
+    wanted = spark.createDataFrame([(f, m) for f, models in config["families"].items() for m in models], "family string, model string")
+    library = table(spark, d, "part").groupBy(F.col("p_brand").alias("model")).agg(F.count(F.lit(1)).alias("leng"), F.max("p_retailprice").alias("ga"))
+    return fetch_models(library, wanted, "model")
 
 
 def _clusters(spark, d, least):
@@ -134,40 +139,37 @@ def _(spark, d):
     return S.kmer_pairs(sequences(spark, d), "clade", "id", "seq", 11, 0.3)
 
 
-@query("SIM-11", "select doc_id, case when n_chars >= 1500 then 'supported' else 'underpowered' end as verdict from documents")
+@query("SIM-11", "with p as (select l_suppkey as block, l_discount as evalue, l_tax as power, l_returnflag <> 'R' as st from lineitem where l_orderkey % 9 <> 0), g as (select block, count(*) filter (where evalue < 0.05)::bigint as found, round(sum(power), 4) as expected, count(*) filter (where evalue < 0.05 and st)::bigint as tp, sum(power) as raw from p group by 1), k as (select *, case when found > 0 then tp / found else 0.0 end as ppv from g) select block, found, expected, tp, round(ppv, 6) as ppv, case when tp = 0 and raw < 1 then 'no_signal' when raw >= 3 and tp >= 3 and ppv >= 0.8 then 'supported' when raw < 3 then 'underpowered' when tp >= 1 then 'borderline' else 'failed' end as verdict from k")
 def _(spark, d):
-    """Alignment and folding stay outside; this takes their table and gives the verdict."""
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") >= 1500, "supported").otherwise("underpowered").alias("verdict"))
+    """Alignment and folding stay outside; their table of tested pairs is parsed, summed up per block and judged."""
+    from ..operators.records import covariation_summary
+    from ..sources.readers import columns
+
+    t = lambda c: F.col(c).cast("string")
+    line = F.when(F.col("l_orderkey") % 9 == 0, F.lit("# comment")).otherwise(F.concat_ws(" ", t("l_suppkey"), t("l_linenumber"), t("l_partkey"), F.when(F.col("l_returnflag") == "R", "~").otherwise("*"), t("l_discount"), t("l_tax")))
+    pairs = columns(table(spark, d, "lineitem").select(line.alias("value")), ("block", "i", "j", "mark", "evalue", "power"), ("long", "int", "int", "string", "double", "double"), range(6)).withColumn("in_structure", F.col("mark") == "*")
+    out = covariation_summary(pairs, "block")
+    return out.withColumn("expected", F.round("expected", 4)).withColumn("ppv", F.round("ppv", 6))
 
 
 @query("SIM-12")
 def _(spark, d):
-    rng = np.random.default_rng(3)
-    held = spark.sparkContext.broadcast([rng.normal(0, 0.3, (5, 4, 8)), rng.normal(0, 0.3, (5, 8, 8)), rng.normal(0, 0.3, (5, 8, 1))])
+    from ..operators.scorer import random_net, score_sequences
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = held.value
-        for frame in batches:
-            out = []
-            for seq in frame["seq"]:
-                if not isinstance(seq, str) or not seq:
-                    out.append(None)
-                    continue
-                x = np.eye(4)[np.minimum(np.searchsorted(np.frombuffer(b"ACGT", np.uint8), np.frombuffer(seq.encode(), np.uint8)), 3)]
-                for n, w in enumerate(weights):
-                    padded = np.pad(x, ((2, 2), (0, 0)))
-                    x = sum(padded[k : k + len(x)] @ w[k] for k in range(5))
-                    x = np.maximum(x, 0) if n < 2 else 1 / (1 + np.exp(-x))
-                out.append(float(x.mean()))
-            yield pd.DataFrame({"id": frame["id"], "score": pd.array([None if x is None else round(x, 6) for x in out], "Float64")})
+    out = score_sequences(sequences(spark, d), "id", "seq", random_net(3))
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("mean", "max", "frac_gt50", "best50", "core_mean")], "core_n")
 
-    return sequences(spark, d).select("id", "seq").mapInPandas(scores, "id long, score double")
 
-
-@query("SIM-13", "select conv_id, count(*)::bigint as n_regions, max(length(text))::bigint as longest from conversations group by 1")
+@query("SIM-13", "with t as (select user_id as bag, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, value as score from events), k as (select *, pos - row_number() over (partition by bag order by pos) as run from t where score >= 20), g as (select bag, min(pos)::bigint as s, (max(pos) + 1)::bigint as e, round(avg(score), 6) as mean_score, max(score) as max_score from k group by bag, run) select * from g where e - s >= 2")
 def _(spark, d):
-    """Model scoring stays outside; this takes its region table."""
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_regions"), F.max(F.length("text")).cast("long").alias("longest"))
+    """Model scoring stays outside; its table of scores per position is cut into regions."""
+    from pyspark.sql import Window as W
+
+    from ..operators.records import structure_regions
+
+    pos = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    scores = table(spark, d, "events").select(F.col("user_id").alias("bag"), pos.cast("long").alias("pos"), F.col("value").alias("score"))
+    return structure_regions(scores, "bag", "pos", "score", 20.0, 2).withColumn("mean_score", F.round("mean_score", 6))
 
 
 _EDGES = "ed as (select distinct n_nationkey::bigint as a, (n_nationkey * 7 % 23)::bigint as b from nation where n_nationkey % 3 <> 0)"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,17 +47,51 @@ def stockholm(rows: DataFrame, group: str, key: str, aligned: str, structure: st
     return lines
 
 
-def genbank(rows: DataFrame, name: str, seq: str, start: str, end: str, proven: str) -> DataFrame:
-    """name, record: a minimal flat-file record; the location is blank where the round trip was not proven."""
-    where = F.when(F.col(proven), F.concat(F.col(start).cast("string"), F.lit(".."), F.col(end).cast("string"))).otherwise(F.lit(""))
-    length = F.length(seq).cast("string")
-    body = F.concat(F.lit("LOCUS       "), F.col(name).cast("string"), F.lit(" "), length, F.lit(" bp DNA\nFEATURES             Location/Qualifiers\n     misc_feature    "), where, F.lit("\nORIGIN\n        1 "), F.lower(seq), F.lit("\n//"))
-    return rows.select(name, body.alias("record"))
+def origin(seq: Column) -> Column:
+    """A whole sequence as numbered lines of six blocks of ten."""
+    block = lambda i: F.rtrim(F.regexp_replace(F.substr(seq, (i * 60 + 1).cast("int"), F.lit(60)), "(.{10})", "$1 "))
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.length(seq) / 60).cast("int") - 1), lambda i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), block(i)))
+    return F.when(F.length(seq) > 0, F.array_join(lines, "\n")).otherwise("")
 
 
-def summary(rows: DataFrame, *by: str) -> str:
-    """A small grouped count as JSON text; one row per group reaches the driver."""
-    return json.dumps({"\t".join(map(str, r[:-1])): r[-1] for r in rows.groupBy(*by).count().orderBy(*by).collect()})
+def genbank(rows: DataFrame, name: str, seq: str, features: str) -> DataFrame:
+    """name, record: a flat-file record of the whole sequence.  ``features``: an array of (kind, start, end, proven, note).
+
+    The location of a feature is blank where its round trip to the contig was not proven.
+    """
+    where = lambda f: F.when(f["proven"], F.concat(f["start"].cast("string"), F.lit(".."), f["end"].cast("string"))).otherwise("")
+    feature = lambda f: F.concat(F.lit("     "), F.rpad(f["kind"], 16, " "), where(f), F.lit('\n                     /note="'), f["note"], F.lit('"\n'))
+    head = F.concat(F.lit("LOCUS       "), F.col(name).cast("string"), F.lit(" "), F.length(seq).cast("string"), F.lit(" bp DNA\nFEATURES             Location/Qualifiers\n"))
+    record = F.concat(head, F.array_join(F.transform(features, feature), ""), F.lit("ORIGIN\n"), origin(F.lower(seq)), F.lit("\n//"))
+    return rows.select(name, record.alias("record"))
+
+
+def member_plot(rows: DataFrame, group: str, member: str, start: str, end: str, most: int = 200) -> DataFrame:
+    """group, svg: a bar for each of a block's first ``most`` members on one axis that begins at the least start."""
+    axis = rows.groupBy(group).agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
+    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(member, start, end))).where(F.col("_rn") <= most).join(axis, group)
+    number = lambda c: c.cast("long").cast("string")
+    bar = F.concat(F.lit('<rect x="'), number(F.col(start) - F.col("_lo")), F.lit('" y="'), number(12 * F.col("_rn")), F.lit('" width="'), number(F.col(end) - F.col(start)), F.lit('" height="10"/>'))
+    bars = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rn", bar.alias("b")))), lambda x: x["b"]), "")
+    size = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), number(F.col("_hi") - F.col("_lo")), F.lit('">'))
+    return ranked.groupBy(group, "_lo", "_hi").agg(bars.alias("_bars")).select(group, F.concat(size, "_bars", F.lit("</svg>")).alias("svg"))
+
+
+def report(rows: DataFrame, locus: str, fields: dict[str, str], detail: str, order: str) -> DataFrame:
+    """locus, report: a Markdown section per locus with a list of its summary values and a table of its blocks.
+
+    ``fields``: label and column of a summary value, the least of the locus' rows; ``detail``: a column of finished table cells.
+    """
+    held = rows.groupBy(locus).agg(*[F.min(c).cast("string").alias(f"_{i}") for i, c in enumerate(fields.values())], F.sort_array(F.collect_list(F.struct(order, detail))).alias("_rows"))
+    listed = F.concat(*[F.concat(F.lit(f"- {label}: "), F.coalesce(f"_{i}", F.lit("not available")), F.lit("\n")) for i, label in enumerate(fields)])
+    lines = F.array_join(F.transform("_rows", lambda r: F.concat(F.lit("| "), r[detail], F.lit(" |"))), "\n")
+    return held.select(locus, F.concat(F.lit("## "), F.col(locus).cast("string"), F.lit("\n\n"), listed, F.lit("\n"), lines).alias("report"))
+
+
+def summary(rows: DataFrame, by: str) -> DataFrame:
+    """summary: a count per value as one JSON object; only one row per value meets in a task."""
+    counted = rows.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n"))))).alias("summary"))
 
 
 def merge_shards(shards: Sequence[DataFrame]) -> DataFrame:

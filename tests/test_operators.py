@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 
+import numpy as np
 import pytest
 
-from spanloom.operators import audit, blocks, components, joins, nulls, sampling, similarity, sweep
+from spanloom.operators import audit, blocks, components, joins, nulls, records, sampling, scorer, similarity, sweep
 from spanloom.sources import readers, sinks
 
 
@@ -20,20 +23,61 @@ def test_samples_ignore_row_order(spark):
             shuffled = rows[:]
             random.Random(seed).shuffle(shuffled)
             df = spark.createDataFrame(shuffled, kind).repartition(1 + seed * 3)
-            out.append(sorted(map(tuple, sampling.sample_groups(df, "clade", "id", "seq", "pref", 10, 1, mode).select("clade", "id").collect())))
-        assert out[0] == out[1] and len(out[0]) == 20, mode
+            out.append(sorted(map(tuple, sampling.sample_groups(df, "clade", "id", "seq", "pref", 4, 1, mode).select("clade", "id").collect())))
+        assert out[0] == out[1] and len(out[0]) == 8, mode
 
 
-@pytest.mark.parametrize("cap", [10, 50, 300, 599])
-def test_stratified_gives_exactly_cap(cap):
-    ids, seqs = [], []
-    for g in range(5):
+def _clade(groups: int, per_group: int) -> list[tuple[str, str, str, int]]:
+    rows = []
+    for g in range(groups):
         base = "".join(random.Random(g).choice("ACDEFGHIKL") for _ in range(30))
-        for i in range(120):
-            ids.append(f"{g}_{i}")
-            seqs.append(base[: i % 30] + "W" + base[i % 30 :])
-    got = sampling.stratified(ids, seqs, [0.0] * len(ids), cap, 1) if cap < 60 else sampling.stratified(ids, [None] * len(ids), [0.0] * len(ids), cap, 1)
-    assert len(got) == len(set(got)) == cap
+        rows += [("c", f"g{g}_{i:03}", base[: i % 30] + "W" + base[i % 30 :], 0) for i in range(per_group)]
+    return rows
+
+
+_SAMPLED = "clade string, id string, seq string, pref int"
+
+
+@pytest.mark.parametrize(("cap", "dedup"), [(4, False), (4, True)])
+def test_stratified_gives_exactly_cap_over_all_subgroups(spark, cap, dedup):
+    rows = _clade(3, 40) + [("c", "none", None, 9), ("small", "x", "ACDE", 0)]
+    got = sampling.sample_groups(spark.createDataFrame(rows, _SAMPLED), "clade", "id", "seq", "pref", cap, 1, "stratified", dedup).collect()
+    mine = [r["id"] for r in got if r["clade"] == "c"]
+    assert len(mine) == len(set(mine)) == cap and [r["id"] for r in got if r["clade"] == "small"] == ["x"]
+    assert {i.split("_")[0] for i in mine} == {"g0", "g1", "g2"}
+
+
+def test_the_cap_is_filled_from_copies_and_rows_without_a_sequence(spark):
+    rows = [("c", f"{i:02}", "ACDEFGH" if i < 3 else None, 0) for i in range(7)]
+    df = spark.createDataFrame(rows, _SAMPLED)
+    for mode, dedup in (("stratified", True), ("diverse", False)):
+        got = [r["id"] for r in sampling.sample_groups(df, "clade", "id", "seq", "pref", 5, 1, mode, dedup).collect()]
+        assert len(got) == len(set(got)) == 5
+        assert dedup or set(got) >= {"00", "01", "02"}
+
+
+def _likeness(x, y):
+    a, b = ({s[i : i + 5] for i in range(len(s) - 4)} for s in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_every_seed_is_the_farthest_row_left(spark):
+    rows = [(c, i, s, int(i[-1])) for c, i, s, _ in _clade(4, 15)]
+    found = sampling.spread(sampling.profiles(spark.createDataFrame(rows, _SAMPLED), "clade", "id", "seq", "pref", 1), 6).orderBy("round").collect()
+    tie = {i: hashlib.sha1(f"1:{i}".encode()).hexdigest() for _, i, _, _ in rows}
+    seq, before = {i: s for _, i, s, _ in rows}, []
+    for r in found:
+        rank = {i: (min([1 - _likeness(s, seq[b]) for b in before], default=1.0), p, tie[i]) for _, i, s, p in rows if i not in before}
+        assert max(rank, key=rank.get) == r["seed"]
+        before.append(r["seed"])
+
+
+def test_references_are_the_longest_of_each_subgroup(spark):
+    rows = [(c, i, s, 500 if i.endswith("_007") else 100) for c, i, s, _ in _clade(3, 30)]
+    got = [r["id"] for r in sampling.pick_references(spark.createDataFrame(rows, _SAMPLED), "clade", "id", "seq", "pref", 3).collect()]
+    assert sorted(got) == ["g0_007", "g1_007", "g2_007"]
+    few = sampling.pick_references(spark.createDataFrame(rows[:3] + [("c", "n", None, 1)], _SAMPLED), "clade", "id", "seq", "pref", 4).collect()
+    assert sorted(r["id"] for r in few) == ["g0_000", "g0_001", "g0_002", "n"]
 
 
 def test_merge_and_runs(spark):
@@ -83,9 +127,108 @@ def test_blocks_from_planted_segments(spark):
     assert members.count() == 12
 
 
-def test_inverted_repeat_and_stop_free():
-    assert similarity.longest_inverted_repeat("GGGGGGGGTTTTTTTTTTCCCCCCCC".replace("T", "A")) == 8
-    assert similarity.stop_free("ATGAAATAAATGAAAAAAAAA") >= 12
+def _slow_inverted_repeat(s):
+    other = s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    n = len(s)
+    return max((k for k in range(1, n + 1) for i in range(n - k + 1) for j in range(n - k + 1) if s[i : i + k] == other[j : j + k] and abs(i + j + 2 * k - n - 1) > 2), default=0)
+
+
+def test_inverted_repeat_by_brute_force():
+    assert similarity.longest_inverted_repeat("GGGGGGGGAAAAAAAAAACCCCCCCC") == 8
+    assert similarity.longest_inverted_repeat("ACGTACGT") == 8 and similarity.longest_inverted_repeat("GGGGGACGTACGTCCCCC") == 18
+    rng = random.Random(4)
+    for n in range(40):
+        s = "".join(rng.choice("ACGT" if n % 2 else "AT") for _ in range(n))
+        assert similarity.longest_inverted_repeat(s) == _slow_inverted_repeat(s)
+
+
+def test_stop_free_by_brute_force():
+    rng = random.Random(5)
+    for n in range(60):
+        s = "".join(rng.choice("ATG") for _ in range(n))
+        want = 0
+        for text in (s, s.translate(str.maketrans("ACGT", "TGCA"))[::-1]):
+            for f in range(3):
+                codons = [text[i : i + 3] for i in range(f, len(text) - 2, 3)]
+                want = max(want, *(3 * len(list(g)) for stop, g in itertools.groupby(codons, lambda c: c in ("TAA", "TAG", "TGA")) if not stop), 0)
+        assert similarity.stop_free(s) == want
+
+
+def test_helices_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(f"l{g}", rng.randrange(40), 40 + rng.randrange(30)) for g in range(6) for _ in range(25)] + [("one", 5, 9), ("down", 1, 50), ("down", 2, 49), ("down", 3, 48), ("down", 30, 35)]
+    want = []
+    for g in {r[0] for r in rows}:
+        tails = {}
+        for i, j in sorted((i, j) for name, i, j in rows if name == g):
+            h = next((h for h in sorted(tails) if max(abs(i - tails[h][0]), abs(j - tails[h][1])) <= 4), len(tails))
+            tails[h] = (i, j)
+            want.append((g, i, j, h))
+    got = blocks.helices(spark.createDataFrame(rows, "locus string, i int, j int"), "locus").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(r["helix"] for r in got if r["locus"] == "down") == [0, 0, 0, 1]
+
+
+def _slow_scores(seq, net):
+    """Window by window, layer by layer."""
+    half, out = scorer.WINDOW // 2, []
+    ring = seq * (1 + 2 * -(-half // len(seq)))
+    first = len(seq) * -(-half // len(seq))
+    for i in range(len(seq)):
+        x = scorer.one_hot(ring[first + i - half : first + i + half + 1])
+        for (kernel, bias), pool in zip(net.convolutions, scorer.POOLS, strict=True):
+            x = np.array([np.maximum((x[j : j + len(kernel)] * kernel.transpose(2, 0, 1)).sum((1, 2)) + bias, 0) for j in range(len(x) - len(kernel) + 1)])
+            x = np.array([x[j : j + pool].max(0) for j in range(0, len(x) - pool + 1, pool)])
+        for k, (w, b) in enumerate(net.dense):
+            x = x.reshape(-1) @ w + b
+            x = np.maximum(x, 0) if k == 0 else 1 / (1 + np.exp(-x))
+        out.append(float(x[0]))
+    return out
+
+
+def test_scores_by_brute_force():
+    rng, net = random.Random(7), scorer.random_net(5)
+    for n in (1, 7, 60, 140):
+        seq = "".join(rng.choice("ACGTN") for _ in range(n))
+        assert scorer.per_base(seq, net) == pytest.approx(_slow_scores(seq, net))
+    assert scorer.summary(np.array([0.2, 0.6, 0.7])) == pytest.approx((0.5, 0.7, 2 / 3, 0.5, None, 0))
+    p = np.linspace(0, 1, 200)
+    mean, most, high, best, core, size = scorer.summary(p)
+    assert (most, high, size) == (1.0, 0.5, 100) and best == pytest.approx(p[-50:].mean()) and core == pytest.approx(p[50:150].mean())
+
+
+def test_files_are_zipped_by_place_or_refused(spark):
+    left = spark.createDataFrame([("a", 1, 10), ("a", 2, 10), ("a", 3, 30), ("b", 1, 5)], "g string, o int, s int")
+    right = spark.createDataFrame([("a", 7, "x"), ("a", 8, "y"), ("a", 9, "z"), ("b", 1, "w")], "g string, p int, aa string")
+    got = records.zip_records(left, right, "g", ["o"], ["p"], ["s"]).collect()
+    assert sorted((r["g"], r["s"], r["aa"]) for r in got) == [("a", 10, "x"), ("a", 30, "z"), ("b", 5, "w")]
+    with pytest.raises(Exception, match="unequal number in a"):
+        records.zip_records(left.where("o < 3"), right, "g", ["o"], ["p"]).collect()
+    with pytest.raises(Exception, match="no such model: q"):
+        records.fetch_models(spark.createDataFrame([("m", 1)], "name string, leng int"), spark.createDataFrame([("f", "q")], "family string, name string"), "name").collect()
+
+
+def test_reports_are_parsed_by_their_lines(spark):
+    text = "x\nACGU\n((..)) ( -3.20 =  -1.50 +  -1.70)\n# MSA m nseq 12 (20) alen 80 (90) avgid 71.5 (70) nbpairs 9\n# GTp  none  [FP | TP True Found | Sen PPV F]  [ 1 | 0 22 1 | 0.0 0.0 0.0]\n# avg substitutions per BP  4.5\n# BPAIRS expected to covary 2.5\n# BPAIRS observed to covary 0\n"
+    df = spark.createDataFrame([(1, text), (2, "nothing")], "k int, value string")
+    one, two = readers.covariation_report(readers.fold_report(df)).orderBy("k").collect()
+    assert (one["structure"], one["consensus_mfe"], one["covariance_term"], one["n_base_pairs"]) == ("((..))", -3.2, -1.7, 2)
+    assert (one["nseq"], one["alen"], one["avgid"], one["covarying_pairs"], one["bpairs_tested"], one["found_pairs"]) == (12, 80, 71.5, 0, 22, 1)
+    assert (one["avg_subs_per_bp"], one["expected_covarying"], one["observed_covarying"]) == (4.5, 2.5, 0)
+    assert two["structure"] == "" and two["nseq"] is None and two["ppv"] is None
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.external_references(df, {"name": "absent"}, "name")
+
+
+def test_places_in_sorted_groups(spark):
+    from spanloom.operators.aggregate import at_fractions
+
+    rng = random.Random(8)
+    rows = [(g, rng.randrange(9) if rng.random() < 0.9 else None) for g in "abc" for _ in range(rng.randrange(1, 60))]
+    got = at_fractions(spark.createDataFrame(rows, "g string, x int"), ["g"], "x", {"q": 0.25, "h": 0.5, "n": 0.99, "z": 1.0}).collect()
+    for r in got:
+        v = sorted(x for g, x in rows if g == r["g"] and x is not None)
+        assert [r[k] for k in "qhnz"] == [v[min(len(v) - 1, int(f * len(v)))] for f in (0.25, 0.5, 0.99, 1.0)] and r["most"] == v[-1]
 
 
 def test_fasta(spark, tmp_path):
@@ -163,8 +306,3 @@ def test_greedy_samples_see_the_whole_group(spark, mode):
     rows = [("g", f"{i:04}", base[: 20 + i % 30] + "A" + base[20 + i % 30 :], 1) for i in range(400)] + [("g", "far", "T" * 60, 1), ("g", "best", base, 9)]
     got = {r["id"] for r in sampling.sample_groups(spark.createDataFrame(rows, "clade string, id string, seq string, pref int"), "clade", "id", "seq", "pref", 2, 1, mode).collect()}
     assert got == {"far", "best"}
-    ids, seqs, prefs = [r[1] for r in rows], [r[2] for r in rows], [float(r[3]) for r in rows]
-    if mode == "stratified":
-        want = sampling.stratified(ids, seqs, prefs, 5, 1)
-        got = [r["id"] for r in sampling.sample_groups(spark.createDataFrame(rows, "clade string, id string, seq string, pref int"), "clade", "id", "seq", "pref", 5, 1).collect()]
-        assert sorted(got) == want
