@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a Python worker.
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 2_000_000
 
 _own_scratch: dict[str, str] = {}
+_made: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +44,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _made.append(out)
     return out
 
 
+def made() -> int:
+    """How many tables have been written so far; for ``release_since``."""
+    return len(_made)
+
+
+def release_since(mark: int, but: DataFrame) -> None:
+    """Removes what was written after ``mark``, but for ``but``: for callers that have written a final result."""
+    for df in _made[mark:]:
+        if df is not but:
+            release(df)
+    _made[mark:] = [but]
+
+
 def release(df: DataFrame) -> None:
     """Removes a table that ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)

@@ -64,6 +64,46 @@ def test_language_by_dictionaries(spark, odd, none):
     assert {r["lang_pred"] for r in op1_language.identify(fresh, {}).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    """Whole texts, block by block, against zstandard itself; the dictionaries hold passages from all over the texts."""
+    import zstandard
+
+    rng = random.Random(15)
+    stock = {"aa": "ba da ga lo mi".split(), "bb": "stre kuh wupf nerz".split(), "cc": "ba kuh lo nerz".split()}
+    make = lambda k, n: " ".join("".join(rng.choice(stock[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, make("abc"[i % 3] * 2, 2000 if i == 0 else 40), "abc"[i % 3] * 2, None) for i in range(90)]
+    model = op1_language.fit_dictionaries(frame(spark, rows), passages=10_000, passage_chars=100)
+    for k, held in model.items():
+        want = {op1_language.normalise(t[i : i + 100]) for _, t, lang, _ in rows if lang == k for i in range(0, len(t), 100)}
+        assert len(held) == sum(map(len, want)) + len(want) - 1 and all(x in held for x in want)
+    texts = [make(k, n) for k in stock for n in (1, 3, 30, 3000)] + ["ba", "kuh", "lo", "x" * 20_000]
+
+    def sizes(text):
+        clean, out = op1_language.normalise(text), []
+        for _, held in sorted(model.items()):
+            log = max(17, len(held).bit_length())
+            how = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log - 2, chain_log=log - 2, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0)
+            total = 0
+            for i in range(0, len(clean), 8000):
+                own = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(compression_params=how)
+                total += len(zstandard.ZstdCompressor(compression_params=how, dict_data=own).compress(clean[i : i + 8000]))
+            out.append(total)
+        return out
+
+    got = {r["doc_id"]: r for r in op1_language.identify(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        n = sizes(t)
+        best = min(range(3), key=lambda j: n[j])
+        assert got[i]["lang_pred"] == sorted(model)[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(2.0 ** -min(700, 2 * (x - n[best])) for x in n))
+        assert got[i]["rejected"] == (min(x for j, x in enumerate(n) if j != best) - n[best] < 0.01 * n[best])
+
+
+def test_ties_of_languages_go_to_the_smaller_code():
+    assert op1_language.Classifier({"zz": b"same words", "aa": b"same words"}).classify("same words", 0.01)[0::2] == ("aa", True)
+
+
 def test_language_held_out_accuracy(spark):
     got = Q.op1_language_id(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id")
@@ -134,8 +174,8 @@ def slow_windows(docs, items, size=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("part_words", [4_000_000, 40])
-def test_windows_by_brute_force(spark, part_words):
+@pytest.mark.parametrize(("width", "bits"), [(3, 26), (1, 8)])
+def test_windows_by_brute_force(spark, width, bits):
     rng = random.Random(3)
     pick = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
     items = [(str(i), pick(rng.randint(1, 14))) for i in range(12)] + [("n", None), ("e", ""), ("m", "-- !"), ("0", "a b"), (None, "a")]
@@ -143,9 +183,10 @@ def test_windows_by_brute_force(spark, part_words):
     docs = [(i, t) for i, t in docs]
     df = frame(spark, [(i, t, None, None) for i, t in docs])
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = op3_decontaminate.decontaminate(df, bench, part_words=part_words)
+    got = op3_decontaminate.decontaminate(df, bench, width=width, bits=bits)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "items") == slow_windows(docs, items)
-    clean = {r["doc_id"] for r in op3_decontaminate.keep(df, bench, part_words=part_words).collect()}
+    assert all(sum(s["words"] for s in r["spans"]) == r["n_hit"] for r in got.collect())
+    clean = {r["doc_id"] for r in op3_decontaminate.keep(df, bench, width=width, bits=bits).collect()}
     assert clean == {r[0] for r in slow_windows(docs, items) if not r[2]}
 
 
@@ -181,11 +222,56 @@ def test_toxicity_learns_planted_words(spark, odd, none):
 
 
 def test_a_feature_counts_once():
-    scorer = op4_toxicity.Scorer(op4_toxicity.train(iter([("bad x", 1), ("good y", 0)] * 30), bits=16), 16)
+    hasher = op4_toxicity.Hasher(16)
+    scorer = op4_toxicity.Scorer(op4_toxicity.train([(op4_toxicity.slots_of(hasher, t), y) for t, y in [("bad x", 1), ("good y", 0)] * 30], bits=16), 16)
     one, many = scorer.score(["bad", "bad z bad q bad"])
     assert one == pytest.approx(many, abs=0.2)
 
 
+def slow_ftrl(examples, alpha=4.0, beta=1.0, l1=4.0, l2=1.0, passes=7):
+    """FTRL-proximal as published, one coordinate after the other."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i != "bias" and abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = (z.get(i, 0.0) > 0) - (z.get(i, 0.0) < 0)
+        return -(z.get(i, 0.0) - sign * (0.0 if i == "bias" else l1)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(passes):
+        for slots, label in examples:
+            w = {i: weight(i) for i in [*slots, "bias"]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+            for i, own in w.items():
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * own
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_weights_and_scores_by_brute_force():
+    rng = random.Random(44)
+    hasher = op4_toxicity.Hasher(16)
+    texts = [" ".join(rng.choice("scum fool fine good day sun tree road".split()) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    rows = [(op4_toxicity.slots_of(hasher, t), int("scum" in t)) for t in texts]
+    want = slow_ftrl([(s.tolist(), y) for s, y in rows])
+    slots, weights = op4_toxicity.train(rows, bits=16)
+    got = dict(zip(["bias" if s == 1 << 16 else s for s in slots.tolist()], weights.tolist(), strict=True))
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-3 * max(1, abs(want[i])) for i in want)
+    logit = [sum(want.get(i, 0.0) for i in [*s.tolist(), "bias"]) for s, _ in rows]
+    assert op4_toxicity.Scorer((slots, weights), 16).score(texts) == pytest.approx([1 / (1 + math.exp(-x)) for x in logit], abs=1e-3)
+
+
+def test_training_holds_only_touched_slots():
+    import tracemalloc
+
+    rows = [(op4_toxicity.slots_of(op4_toxicity.Hasher(24), f"some words {i}"), i % 2) for i in range(40)]
+    tracemalloc.start()
+    op4_toxicity.train(rows, bits=24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
 # 5 URLs
 
 
@@ -201,7 +287,7 @@ def slow_verdict(url):
 
 
 def test_urls_by_brute_force(spark):
-    urls = [None, "", "no scheme", "http://", "http://ORG/", "http://org", "http://a.example.org/es/1", "http://example.org/en/148.html", "https://x.com/fr/?q#", "https://x.com/de", "https://x.com/de/", "http://notexample.org/es/", "http://a.b.c.com/frx", "http://u@x.com:80/fr/", "http://x.com?/fr/", "ftp://q.org#x/", "http://ÉX.org/", "http://a..org/x"]
+    urls = [None, "", "no scheme", "http://", "http://ORG/", "http://org", "http://a.example.org/es/1", "http://example.org/en/148.html", "https://x.com/fr/?q#", "https://x.com/de", "https://x.com/de/", "http://notexample.org/es/", "http://a.b.c.com/frx", "http://u@x.com:80/fr/", "http://x.com?/fr/", "ftp://q.org#x/", "http://ÉX.org/", "http://a..org/x", "http://" + "a." * 3000 + "example.org/en/1" + "y" * 50_000, "http://example.org.org.de.com/de/"]
     urls += urls[5:8]
     pages = spark.createDataFrame([(i, u, "r", "v") for i, u in enumerate(urls)], "page_id long, url string, rule string, verdict string")
     got = rows_of(op5_url_filter.judge(pages, Q.URL_RULES), "page_id", "host", "path", "rule", "verdict")
@@ -225,6 +311,14 @@ def test_urls_by_brute_force(spark):
         ("<article><p title='a>b'>q &lt;p&gt;</p></article>", "q <p>"),
         ("<!-- <article>no</article> --><article>yes</article>", "yes"),
         ("<article><ul><li>a<li>b</ul>c</article>", "a b c"),
+        ("<script>var x='<!--';</script><article><p>Hello world article text</p></article>", "Hello world article text"),
+        ('<article><p>(<a class="ext" href="#">foo</a>) un<b class="k">bold</b></p></article>', "(foo) unbold"),
+        ("<article>ab<script>1</script>cd</article>", "abcd"),
+        ('<article><p id="notice-1">one two</p><p class="share">three</p><p class="ad">no</p></article>', "one two three"),
+        ('<article>one <span class="ad">no <i>no</i> <span>no</span></span>two</article>', "one two"),
+        ("<article title='<!-- x'>one<!-->two<!---->three</article>", "onetwothree"),
+        ("<article><p>one</p><div class=comments><p>no</p></div><section role=search>no</section></article>", "one"),
+        ("<div class='widget'><p>all the text there is</p></div><p>x</p>", "all the text there is"),
     ],
 )
 def test_main_text(page, want):
@@ -253,50 +347,170 @@ def test_every_template_of_a_host_has_its_consensus(spark):
     assert {r["text"] for r in got if r["page_id"] >= 900} == {"tiny main"}
 
 
+def test_a_named_text_element_is_a_fixture_by_its_host(spark):
+    page = "<article><p>text number {0} of the page</p><p class='notice'>{1}</p></article>"
+    pages = [(i, "http://same.org/x", page.format(i, "accept this")) for i in range(4)]
+    pages += [(10 + i, "http://other.org/x", page.format(i, f"words of their own {i}")) for i in range(4)]
+    pages.append((20, "http://single.org/x", page.format(1, "accept this")))
+    got = {r["page_id"]: r["text"] for r in op6_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text number {i} of the page" for i in range(4)} | {10 + i: f"text number {i} of the page words of their own {i}" for i in range(4)} | {20: "text number 1 of the page accept this"}
+
+
+def test_generated_pages_by_brute_force(spark):
+    """Pages made from known parts: what is expected is put together beside them, without reading HTML."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["sun", "é&amp;", "a&lt;b", "road", "x&nbsp;y", "tree"])
+    plain = lambda t: " ".join(t.replace("&amp;", "&").replace("&lt;", "<").replace("&nbsp;", " ").split())
+    junk = ["<nav><a href=x>menu</a></nav>", "<aside>side</aside>", "<div class='ad'>buy</div>", "<form>name <input></form>", "<script>if (a<b) '<!--'</script>", "<!-- <p>no</p> -->", "<style>p{}</style>", "<div id=comments><p>nice one</p></div>", "<footer>&copy; us</footer>"]
+    pages, want = [], {}
+    for i in range(60):
+        body, parts = "", []
+        for _ in range(rng.randint(1, 4) if i else 40_000):
+            text = " ".join(word() for _ in range(rng.randint(4, 12)))
+            body += rng.choice(["<p>{}</p>", "<p class=k>{}", "<h2>{}</h2>", "<p><b class=x>{}</b></p>", "<ul><li>{}</li></ul>"]).format(text) + (rng.choice(junk) if i else "")
+            parts.append(plain(text))
+        around = [rng.choice(junk), rng.choice(junk)]
+        pages.append((i, None if i % 5 == 0 else f"http://h{i % 3}.org/{i}", f"<html><body>{around[0]}<div class='story-{i}'>{body}</div>{around[1]}</body></html>"))
+        want[i] = " ".join(parts)
+    pages += [(100, "http://h1.org/n", None), (101, "http://h1.org/e", ""), (1, *pages[1][1:])]
+    got = op6_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages)
+    assert all(r["text"] == want.get(r["page_id"], "") for r in got)
+
+
+def test_ties_of_votes_go_to_the_smaller_path(spark):
+    page = "<nav>" + "home and more " * 8 + "</nav><div class={0}>{1}</div><div class={2}>{3}</div>"
+    pages = [(1, "http://t.org", page.format("a", "long enough a text", "b", "x")), (2, "http://t.org", page.format("a", "x", "b", "long enough a text"))]
+    got = {r["page_id"]: r["text"] for r in op6_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "long enough a text", 2: "x"}
+
+
 # 7 language model
 
 
-def test_scores_by_brute_force(spark, odd):
+def fold(text):
+    return [*words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), b""]  # the end is the empty word
+
+
+def held(key):
+    return key is not None and zlib.crc32(str(key).encode()) % 7 == 2
+
+
+def language_rows():
     rng = random.Random(7)
-    rows = [(i, " ".join(rng.choice(["the", "a", "Of"]) if rng.random() < 0.6 else f"w{rng.randrange(90)}" for _ in range(rng.randrange(0, 30))) if i % 9 else None, None, None) for i in range(150)] + ODD
-    docs = frame(spark, rows)
-    got = op7_brown.score(docs, is_remainder("doc_id", 7, 2), frequent=10, endings=16, classes=6).collect()
-    fold = lambda t: [*words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), 0]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    return [(i, " ".join(rng.choice(["the", "a", "Of"]) if rng.random() < 0.6 else f"w{rng.randrange(90)}" for _ in range(rng.randrange(0, 30))) if i % 9 else None, None, None) for i in range(150)] + ODD
+
+
+SMALL = {"frequent": 10, "extended": 15, "endings": 16, "classes": 6}
+
+
+def test_base_scores_by_brute_force(spark):
+    rows = language_rows()
+    got = op7_brown.score(frame(spark, rows), is_remainder("doc_id", 7, 2), **SMALL).collect()
     c = Counter(w for i, t, _, _ in rows if not held(i) for w in fold(t))
     total, distinct = sum(c.values()), len(c)
     want = sorted(((str(i), held(i), len(fold(t)), sum(c[w] > 0 for w in fold(t)), total, round(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in fold(t)), 4)) for i, t, _, _ in rows), key=repr)
     assert sorted(((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got), key=repr) == want
-    assert all(r["score"] < 0 for r in got)
+
+
+def test_class_scores_by_brute_force(spark):
+    """The model's formula word by word, from counts made here; only the classes are taken from the operator."""
+    import xxhash
+
+    rows, ends, classes = language_rows(), SMALL["endings"], SMALL["classes"]
+    docs = frame(spark, rows).select("doc_id", is_remainder("doc_id", 7, 2).alias("held_out"), "text")
+    table = op7_brown.read_pieces(docs, ends, 1 << 20)
+    kind = "piece long, range int, counts binary, hash binary, ending binary, sums array<long>, kinds array<long>"
+    dealt = table.select("piece", "hash", "ending", "trained").mapInArrow(op7_brown.deal(5), "piece long, range int, hash binary, ending binary, trained binary")
+    counted = dealt.groupBy("range").applyInArrow(op7_brown.count_range(ends, 25), kind).cache()
+    model = op7_brown.fit(table, counted, **SMALL)
+    c = Counter(w for i, t, _, _ in rows if not held(i) for w in fold(t))
+    signed = lambda w: (h := xxhash.xxh3_64_intdigest(w)) - (1 << 64 if h >> 63 else 0)
+    top = sorted((w for w in c if w), key=lambda w: (-c[w], signed(w)))[:25]
+    ending = lambda w: ("ending", op7_brown.ending_of(w, ends))
+    unit = lambda w: w if not w or w in top else ending(w)
+    number = {b"": 0} | {w: 1 + i for i, w in enumerate(top[:10])} | {("ending", e): 11 + e for e in range(ends)} | {w: 27 + i for i, w in enumerate(top[10:])}
+    own = {u: int(model.own[i]) for u, i in number.items()}
+    tokens, kinds = Counter(), Counter(unit(w) for w in c)
+    for w, n in c.items():
+        tokens[unit(w)] += n
+    pair = Counter((own[unit(a)], own[unit(b)]) for i, t, _, _ in rows if not held(i) for a, b in zip([b"", *fold(t)], fold(t), strict=False))
+    into, out = Counter(), Counter()
+    for (a, b), n in pair.items():
+        out[a] += n
+        into[b] += n
+    members, total = Counter(own.values()), sum(pair.values())
+
+    def chance(a, b):
+        x, y = own[unit(a)], own[unit(b)]
+        step = (pair[x, y] + 10 * (into[y] + 1) / (total + classes)) / (out[x] + 10)
+        emit = (tokens[unit(b)] + 0.5) / (sum(tokens[u] for u in own if own[u] == y) + 0.5 * members[y])
+        return step * emit * ((c[b] + 1) / (tokens[unit(b)] + kinds[unit(b)] + 1) if unit(b) != b else 1)
+
+    want = sorted((str(i), round(sum(math.log10(chance(a, b)) for a, b in zip([b"", *fold(t)], fold(t), strict=False)), 3)) for i, t, _, _ in rows)
+    got = op7_brown.score(frame(spark, rows), is_remainder("doc_id", 7, 2), **SMALL).collect()
+    assert [k for k, _ in sorted((str(r["doc_id"]), r["score"]) for r in got)] == [k for k, _ in want]
+    assert [s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)] == pytest.approx([s for _, s in want], abs=2e-3)
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got)
+
+
+def test_scores_do_not_depend_on_batches_or_partitions(spark):
+    rows = language_rows()
+    scores = lambda df, **how: sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in op7_brown.score(df, is_remainder("doc_id", 7, 2), **SMALL, **how).collect())
+    one = scores(frame(spark, rows).coalesce(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert scores(frame(spark, rows[::-1]).repartition(5), piece_bytes=300, range_bytes=100) == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_rows_in_one_piece(spark):
+    docs = spark.range(70_000).selectExpr("id as doc_id", "concat('w', id % 70, ' x', id % 9) as text").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        got = op7_brown.score(docs, is_remainder("doc_id", 7, 2), **SMALL)
+        assert got.where("n_known <> 3 or n_tokens <> 3").count() == 0 and got.select("base_score").distinct().count() < 2_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_language_model_without_rows(spark, none):
+    assert op7_brown.score(none, is_remainder("doc_id", 7, 2), **SMALL).count() == 0
+    only = next(i for i in range(100) if held(i))
+    r = op7_brown.score(frame(spark, [(only, "a b", None, None)]), is_remainder("doc_id", 7, 2), **SMALL).collect()[0]
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0) and r["score"] < 0
 
 
 def test_words_of_a_context_sum_to_one():
     import numpy as np
 
     rng = np.random.default_rng(7)
-    counts = rng.integers(0, 5, (12, 12)).astype(float)
-    own = op7_brown.exchange(counts, 4)
-    kinds = np.zeros(12)
-    kinds[9:] = [3, 0, 2]
-    m = op7_brown.Model(counts, own, kinds, 9)
-    unit = counts.sum(0)
-    per_class = np.zeros((12, int(own.max()) + 1))
-    per_class[np.arange(12), own] = 10**m.emission
-    share = np.where(np.arange(12) < 9, 1.0, unit + kinds + 1)  # words of an ending: known ones c + 1 each, unseen ones 1
-    total = (10**m.transition @ (per_class * share[:, None]).T).sum(1)
-    assert np.allclose(total, 1)
+    units = op7_brown.Units(np.arange(8, dtype=np.uint64), 5, 3)  # the end, five words, three endings, three further words
+    own = np.r_[0, rng.integers(1, 4, units.count - 1)]
+    pair = rng.integers(0, 9, (4, 4)).astype(float)
+    unit, kinds = rng.integers(0, 9, units.count).astype(float), np.array([3.0, 0, 2])
+    m = op7_brown.Model(units, own, pair, unit, kinds)
+    share = np.ones(units.count)
+    share[6:9] = unit[6:9] + kinds + 1  # words of an ending: known ones c + 1 each, unseen ones 1
+    per_class = np.zeros((units.count, 4))
+    per_class[np.arange(units.count), own] = 10**m.emission * share
+    assert np.allclose((10**m.transition @ per_class.T).sum(1), 1)
 
 
 def test_exchange_finds_planted_classes():
     import numpy as np
 
     own = np.array([0, *([1] * 6), *([2] * 6)])
-    counts = np.zeros((13, 13))
-    for a in range(13):
-        for b in range(13):
-            counts[a, b] = 50 if own[a] and own[b] and own[a] != own[b] else 1
-    got = op7_brown.exchange(counts, 3)
+    counts = np.where((own[:, None] > 0) & (own > 0) & (own[:, None] != own), 50, 1)
+    a, b = np.nonzero(counts)
+    bigrams = op7_brown.Bigrams(a, b, counts[a, b], 13)
+    got = op7_brown.exchange(bigrams, 3)
     assert len(set(got[1:7])) == 1 and len(set(got[7:])) == 1 and got[1] != got[7]
+    pair = np.bincount(got[a] * 3 + got[b], counts[a, b], 9).reshape(3, 3)
+    after = np.bincount(got[b[a == 1]], counts[1][b[a == 1]], 3), np.bincount(got[b[a == 7]], counts[7][b[a == 7]], 3)
+    about = np.array([np.r_[x, x] for x in after])
+    assert op7_brown.assign(about, pair).tolist() == [got[1], got[7]]
 
 
 # 8 mixing
@@ -350,8 +564,8 @@ def slow_components(rows):
     return sorted(((key, len(sets[i]), least[find(i)]) for i, (key, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize(("pivots", "limit", "short"), [(0, 2_000, 12), (6, 2_000, 2), (0, 3, 2), (40, 2, 12)])
-def test_components_by_brute_force(spark, pivots, limit, short):
+@pytest.mark.parametrize(("pivots", "tokens", "centres", "frequent"), [(0, 2_000_000, (2, 8), 0), (6, 60, (1,), 200_000), (0, 200, (), 30), (40, 30, (1, 2), 200_000)])
+def test_components_by_brute_force(spark, pivots, tokens, centres, frequent):
     rng = random.Random(9)
     rows, key = [], 0
     for _ in range(12):
@@ -364,7 +578,7 @@ def test_components_by_brute_force(spark, pivots, limit, short):
             key += 1
     rows += [(key, None), (key + 1, ""), (key + 2, "One"), (key + 3, "one"), (key + 3, "one"), (key + 4, "a a a a a a"), (key + 5, "a a a a a a a a")]
     docs = frame(spark, [(i, t, None, None) for i, t in rows])
-    got = op9_jaccard.link(docs, pivots=pivots, group_limit=limit, short_list=short)
+    got = op9_jaccard.link(docs, pivots=pivots, block_tokens=tokens, part_tokens=tokens, centres=centres, frequent=frequent)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == slow_components(rows)
 
 
@@ -382,17 +596,46 @@ def test_counts_equal_the_library(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    rng = random.Random(10)
+    pool = ["a", "é", "é", " ", "  ", "\n", "'s", "<|endoftext|>", "12", "…", "中", "İ", "́", " x", "'ll", "#", " ing", "llama", "'"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 400))) for _ in range(200)] + ["a" * 1000, " " * 900, "ab " * 500, "x\0y z", LONG[:3000], "中文字符" * 300, "1" * 700, "qWxZ" * 400]
+    for name in (Q.TOKENIZER, "byte_bpe_50k.json"):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        own = op10_tokens.encoder(public_tokenizers.path(name))
+        want = [len(library.encode(t, add_special_tokens=False)) for t in texts]
+        for chunk, overlap in ((150, 20), (60, 8), (8_192, 256)):
+            assert op10_tokens.count_texts(texts, own, chunk, overlap) == want
     path = public_tokenizers.path(Q.TOKENIZER)
     library = Tokenizer.from_file(path)
-    rng = random.Random(10)
-    pool = ["a", "é", "é", " ", "  ", "\n", "'s", "<|endoftext|>", "12", "…", "中", "İ", "́", " x", "'ll", "#", " ing"]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 400))) for _ in range(200)] + ["a" * 1000, " " * 900, "ab " * 500, "x\0y z", LONG[:3000]]
-    counter = op10_tokens.Counter(path, 150)
-    assert counter.count(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
-    tokens = op10_tokens.encoder(path).tokens
-    for t in texts:
-        assert op10_tokens.count_long(t, tokens, 100, 20, 3) == len(library.encode(t, add_special_tokens=False))
     got = {r["doc_id"]: r for r in op10_tokens.count_tokens(odd, path).collect()}
     assert got[1]["n_tokens"] == got[1]["n_bytes"] == 0 and got[7]["over_limit"]
     assert got[7]["n_tokens"] == len(library.encode(LONG, add_special_tokens=False))
     assert op10_tokens.count_tokens(none, path).count() == 0
+
+
+def test_counts_equal_sentencepiece():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdeé中") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 90))) for _ in range(60)] + ["a" * 900, "中文字符" * 200, None, ""]
+    assert op10_tokens.count_texts(texts, op10_tokens.encoder(path), 150, 20) == [len(library.encode(t)) if t else 0 for t in texts]
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(Q.TOKENIZER)
+    library, own, rng = Tokenizer.from_file(path), op10_tokens.encoder(path), random.Random(12)
+    for text in ("".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000)), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200_000)), "\n".join("w%d" % rng.randrange(9999) for _ in range(60_000))):
+        began = time.perf_counter()
+        want = len(library.encode(text, add_special_tokens=False))
+        whole = time.perf_counter() - began
+        began = time.perf_counter()
+        assert op10_tokens.count_texts([text], own, 8_192, 256) == [want]
+        assert time.perf_counter() - began < 3 * whole + 2
