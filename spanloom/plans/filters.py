@@ -121,7 +121,7 @@ def _(spark, d):
     return g.where(U.abutting(F.col("value") / 100, F.col("family"), F.col("gap"), F.col("spread"), 0.5, ("error",), 36000, 40)).select("contig", "family", "gap")
 
 
-@query("FLT-16")
+@query("FLT-16", "select * from region")
 def _(spark, d):
     from ..operators.audit import require_complete
 
@@ -129,14 +129,14 @@ def _(spark, d):
     return require_complete(table(spark, d, "region"), shards)
 
 
-@query("FLT-17")
+@query("FLT-17", "select * from region")
 def _(spark, d):
     from ..operators.audit import require_columns
 
     return require_columns(table(spark, d, "region"), ("r_regionkey", "r_name"))
 
 
-@query("FLT-18")
+@query("FLT-18", "select * from nation")
 def _(spark, d):
     from ..operators.audit import require_rows
 

@@ -101,7 +101,10 @@ def _(spark, d):
     return P.sample_groups(_rows(spark, d), "clade", "id", "seq", "pref", 6, 1, "diverse")
 
 
-@query("SMP-03")
+_K5 = "case when length(seq) >= 5 then list_distinct([seq[i:i+4] for i in range(1, length(seq) - 3)]) else [seq] end"
+
+
+@query("SMP-03", f"with {SEQS}, k as (select clade, id, {_K5} as k, row_number() over (partition by clade order by sha1('1:' || id::varchar), id) as rn from seqs), j as (select a.clade, a.id, b.id as seed, len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) as j, sha1(sha1('1:' || a.id::varchar) || '|' || b.id::varchar) as tie from k a join k b on a.clade = b.clade and b.rn <= 4), r as (select *, row_number() over (partition by clade, id order by j desc, tie desc) as turn from j) select clade, id, seed from r where turn = 1")
 def _(spark, d):
     from ..operators.similarity import nearest_seed
 

@@ -23,7 +23,12 @@ def _each(rows, f, kind, seq="seq"):
     return rows.withColumn("x", run(F.col(seq)))
 
 
-@query("SCA-06")
+_CODONS = "[case when c in ('TAA', 'TAG', 'TGA') then 'S' else '.' end for c in regexp_extract_all(substr(t, f), '...')]"
+_KMERS = "case when length(seq) >= {0} then list_distinct([seq[i:i+{1}] for i in range(1, length(seq) - {1} + 1)]) else [seq] end"
+_JACCARD = "len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k)))"
+
+
+@query("SCA-06", f"with {SEQS}, s as (select id, unnest([seq, reverse(translate(seq, 'ACGT', 'TGCA'))]) as t from seqs), x as (select id, t, unnest([1, 2, 3]) as f from s) select id, max(3 * list_max([length(r) for r in string_split(array_to_string({_CODONS}, ''), 'S')]))::bigint as stop_free from x group by id")
 def _(spark, d):
     return _each(sequences(spark, d), S.stop_free, "long").select("id", F.col("x").alias("stop_free"))
 
@@ -45,7 +50,7 @@ def _(spark, d):
     return _each(sequences(spark, d).withColumn("short", F.when(F.length("seq") <= 600, F.col("seq"))), S.longest_inverted_repeat, "long", "short").select("id", F.col("x").alias("ir_arm"), F.when(F.length("seq") > 0, F.col("x") / F.length("seq")).alias("ir_frac"))
 
 
-@query("SCA-25")
+@query("SCA-25", f"with {SEQS}, w as (select id, left(right(seq, 50) || seq || left(seq, 50), 101) as w from seqs) select id, length(regexp_replace(w, '[^CG]', '', 'g'))::double as first_window from w")
 def _(spark, d):
     def centre(seq: str, width: int = 101) -> float:
         codes = np.searchsorted(np.frombuffer(b"ACGT", np.uint8), np.frombuffer(seq.encode(), np.uint8))
@@ -134,7 +139,7 @@ def _(spark, d):
     return S.seed_hits(known, known, "clade", least=14)
 
 
-@query("JON-21")
+@query("JON-21", f"with {SEQS}, k as (select clade, id, {_KMERS.format(11, 10)} as k from seqs), p as (select a.clade, a.id as a, b.id as b, {_JACCARD} as jaccard from k a join k b on a.clade = b.clade and a.id < b.id) select * from p where jaccard >= 0.3")
 def _(spark, d):
     return S.kmer_pairs(sequences(spark, d), "clade", "id", "seq", 11, 0.3)
 
@@ -206,7 +211,7 @@ def _(spark, d):
     return rungs.withColumn("feasible", F.col("clusters") >= 20)
 
 
-@query("AGG-31")
+@query("AGG-31", f"with {SEQS}, d as (select clade, seq, min(id) as id from seqs group by clade, seq), r as (select *, row_number() over (partition by clade order by sha1('1:' || id::varchar), id) as rn from d), k as (select clade, id, {_KMERS.format(5, 4)} as k from r where rn <= 300) select a.clade, round(median({_JACCARD}), 6) as median_identity from k a join k b on a.clade = b.clade and a.id < b.id group by a.clade")
 def _(spark, d):
     from ..functions.sequence import jaccard, kmers
     from ..operators.sampling import hash_sample
