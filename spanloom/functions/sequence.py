@@ -14,15 +14,21 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, IUPAC, COMPLEMENT))
 
 
+def windows(seq: Column, k: int) -> Column:
+    """All stretches of ``k`` letters in order, in one pass over the sequence; none if it is shorter."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+
 def kmers(seq: Column, k: int = 5) -> Column:
     """Distinct k-mers in order of appearance; a shorter string is its own token."""
-    all_of = F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substr(seq, i, F.lit(k)))
-    return F.when(F.length(seq) >= k, F.array_distinct(all_of)).otherwise(F.array(seq))
+    return F.when(F.length(seq) >= k, F.array_distinct(windows(seq, k))).otherwise(F.array(seq))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """0 if either set is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Of two arrays without repeats; 0 if either is empty."""
+    shared = F.array(F.size(F.array_intersect(a, b)))
+    share = F.transform(shared, lambda n: n / (F.size(a) + F.size(b) - n))[0]
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def tie_key(seed: str | int, key: Column) -> Column:
