@@ -6,15 +6,23 @@ container (digits in classes and ids become ``#``).  Spark counts the votes per
 page has text on.  Each page is then read again: the text of all elements on its most voted path is taken; a page without
 any voted path uses its own best container.
 
+The vote comes before class words.  A container named like boilerplate can be voted for, and is then read like any other.
+Inside the chosen container, parts that are boilerplate by tag or role, or containers by class word, are left out, and so
+is text named as advert, comment or the like.  A single text element with a vaguer name (``notice``, ``share``) is left out
+only if the host shows it to be a fixture: if at most half of the texts that its pages have on that path are different.
+
 Blocks are decoded (character references), white space inside a block becomes one space, blocks are joined by a space.
+Inline elements never end a block.
 
 Cases: a null or empty page and one without text give the empty string.  A page cut off in a tag loses that tag only;
-elements left open end with the page.  A null or malformed URL votes under the empty host.  Repeated rows vote each; ties
-go to the smaller path.  An empty table gives an empty result.  Other columns are ignored.
+elements left open end with the page.  A page of any length is read whole.  A null or malformed URL votes under the empty
+host.  Repeated rows vote each; ties between paths go to the smaller one, between containers to the deeper one.  An empty
+table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -27,33 +35,50 @@ from .common import ids_of, materialize, pieces
 
 #: End mark, name and attributes of a tag; a tag cut off by the end of the page counts as one.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""")
-_COMMENT = re.compile(r"<!--.*?(?:--!?>|\Z)", re.S)
-_HIDDEN = re.compile(r"<(script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template)\b[^>]*>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)", re.S | re.I)
+#: What holds no text, whichever begins first; a tag as such, as its attributes may hold the like.
+_SKIPPED = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|(?P<tag></?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>)""", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _CONTAINERS = frozenset("article body center content div main section table tbody td".split())
 _BOILER_TAGS = frozenset("nav footer aside form button select menu dialog svg head object audio video canvas".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
-#: Class and id words of parts that are not the article.
-_BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog disclaimer footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted related recommended share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar widget widgets replies respond login search skip".split())
+#: Class and id words of parts that are not the article; the first group also holds for single text and inline elements.
+_SURE_WORDS = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu menus nav navbar navigation newsletter pagination popup promo promotion promoted sidebar sidenav sponsor sponsored".split())
+_BOILER_WORDS = _SURE_WORDS | frozenset("dialog disclaimer footer form header masthead modal notice notices notification overlay pager related recommended replies respond share sharing signup social subscribe toolbar topbar widget widgets login search skip".split())
+#: Elements that hold one text each.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption address summary".split())
 _WORD = re.compile(r"[a-zA-Z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 #: Elements that a start tag of the key ends when open in the same parent.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table select article section div body".split())
+#: Marks the path of a text element in doubt.
+DOUBT = "?"
 
 
 class Page:
-    """Elements (parents before children) and text blocks of one page.  Inline elements only count if they are boilerplate."""
+    """Elements but inline ones (parents before children), and text blocks of one page.
+
+    ``boiler``: 0 for none, 1 for a part that is boilerplate by its own class words, 2 by tag or role; ``doubt``: a text
+    element with a vaguer class word.
+    """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.label, self.boiler = ["html"], [-1], ["html"], [False]
+        self.tag, self.parent, self.label, self.boiler, self.doubt = ["html"], [-1], ["html"], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of it inside links
         self._stack = [0]
         self._read(source)
 
+    @staticmethod
+    def _names(attributes: str) -> tuple[set[str], str, str]:
+        """Class and id words, role, and the generalised class or id."""
+        names = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attributes)}
+        words = {w.lower() for k in ("class", "id") for x in _WORD.findall(names.get(k, "")) for w in (*_CAMEL.split(x), x)}
+        classes = ".".join(sorted({_DIGITS.sub("#", c.lower()) for c in names.get("class", "").split()}))
+        return words, names.get("role", "").lower(), "." + classes if classes else "#" + _DIGITS.sub("#", names["id"].lower()) if names.get("id") else ""
+
     def _open(self, tag: str, attributes: str) -> None:
         stack = self._stack
         if ends := _CLOSES.get(tag):
@@ -63,21 +88,24 @@ class Page:
                     break
                 if self.tag[stack[k]] in _SCOPES:
                     break
-        up, label = stack[-1], tag
-        own = tag in _BOILER_TAGS or tag == "header" and not any(self.tag[n] == "article" for n in stack)
-        if attributes and (names := {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attributes)}):
-            words = {w.lower() for k in ("class", "id") for x in _WORD.findall(names.get(k, "")) for w in (*_CAMEL.split(x), x)}
-            own = own or names.get("role", "").lower() in _BOILER_ROLES or bool(words & _BOILER_WORDS)
-            classes = ".".join(sorted({_DIGITS.sub("#", c.lower()) for c in names.get("class", "").split()}))
-            label += "." + classes if classes else "#" + _DIGITS.sub("#", names["id"].lower()) if names.get("id") else ""
-        own = own and tag not in ("body", "article", "main")
-        if tag in _INLINE and not own:
-            return
+        own = 2 if tag in _BOILER_TAGS or tag == "header" and not any(self.tag[n] == "article" for n in stack) else 0
+        label, doubt = tag, False
+        if attributes:
+            words, role, name = self._names(attributes)
+            label += name
+            if role in _BOILER_ROLES:
+                own = 2
+            elif not own and words & _BOILER_WORDS:
+                own = int(tag not in _TEXTS or bool(words & _SURE_WORDS))
+                doubt = not own
+        if tag in ("body", "article", "main"):
+            own, doubt = 0, False
+        self.parent.append(stack[-1])
         stack.append(len(self.tag))
         self.tag.append(tag)
-        self.parent.append(up)
         self.label.append(label)
-        self.boiler.append(self.boiler[up] or own)
+        self.boiler.append(own)
+        self.doubt.append(doubt)
 
     def _close(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -86,14 +114,13 @@ class Page:
                 return
 
     def _read(self, source: str) -> None:
-        if "<!--" in source:
-            source = _COMMENT.sub("", source)
-        parts = _TAG.split(_HIDDEN.sub("<hr>", source))
+        parts = _TAG.split(_SKIPPED.sub(lambda m: m["tag"] or "", source))
         stack, tags, held, link, linked = self._stack, self.tag, [], False, 0
+        left_out: list[str] = []  # open inline elements from one named as boilerplate on
         parts += ["/", "html", ""]
         for k in range(0, len(parts) - 3, 4):
             text, end, tag, attributes = parts[k : k + 4]
-            if text:
+            if text and not left_out:
                 if "&" in text:
                     text = entities.unescape(text)
                 held.append(text)
@@ -105,16 +132,13 @@ class Page:
             if tag in _INLINE:
                 if tag == "a":
                     link = not end
-                if not end and attributes:
-                    if _NAMES.search(attributes):
-                        self._flush(held, linked)
-                        held, linked = [], 0
-                        self._open(tag, attributes)
-                elif end and tags[stack[-1]] == tag:
-                    self._flush(held, linked)
-                    held, linked = [], 0
-                    stack.pop()
+                if end and tag in left_out:
+                    while left_out.pop() != tag:
+                        pass
+                elif not end and tag not in _VOID and (left_out or attributes and self._left_out(attributes)):
+                    left_out.append(tag)
                 continue
+            left_out.clear()
             if held:
                 self._flush(held, linked)
                 held, linked = [], 0
@@ -129,6 +153,10 @@ class Page:
             elif tag not in _VOID and tag != "html" and not (tag == "body" and "body" in tags):
                 self._open(tag, attributes)
 
+    def _left_out(self, attributes: str) -> bool:
+        words, role, _ = self._names(attributes)
+        return bool(words & _SURE_WORDS) or role in _BOILER_ROLES
+
     def _flush(self, held: list[str], linked: int) -> None:
         text = " ".join("".join(held).split())
         if text:
@@ -141,54 +169,73 @@ class Page:
             node = self.parent[node]
         return ">".join(reversed(parts)) or "html"
 
+    def containers(self) -> list[int]:
+        """Elements that may be the main one: not part of anything that is boilerplate, though possibly named so themselves."""
+        open_below, out = [True] * len(self.tag), []
+        for node, tag in enumerate(self.tag):
+            free = node == 0 or open_below[self.parent[node]]
+            open_below[node] = free and not self.boiler[node]
+            if free and self.boiler[node] < 2 and (tag in _CONTAINERS or node == 0):
+                out.append(node)
+        return out
+
     def best(self) -> int | None:
         """The container with the highest score, the deepest among equals; None without text outside boilerplate."""
         good, bad = [0.0] * len(self.tag), [0.0] * len(self.tag)
         for node, text, linked in self.blocks:
+            good[node] += len(text) - linked
+            bad[node] += linked
+        for node in range(len(self.tag) - 1, 0, -1):
+            up = self.parent[node]
             if self.boiler[node]:
-                bad[node] += len(text)
+                bad[up] += good[node] + bad[node]
             else:
-                good[node] += len(text) - linked
-                bad[node] += linked
-        for node in range(len(self.tag) - 1, 0, -1):
-            good[self.parent[node]] += good[node]
-            bad[self.parent[node]] += bad[node]
+                good[up] += good[node]
+                bad[up] += bad[node]
         top, found = 0.0, None
-        for node, tag in enumerate(self.tag):
-            if (tag in _CONTAINERS or node == 0) and not self.boiler[node]:
-                score = (good[node] - 0.5 * bad[node]) * (1.25 if tag in ("article", "main") else 1.0) if good[node] else 0.0
-                if good[node] and (found is None or score >= top):
+        for node in self.containers():
+            if good[node]:
+                score = (good[node] - 0.5 * bad[node]) * (1.25 if self.tag[node] in ("article", "main") else 0.1 if self.boiler[node] else 1.0)
+                if found is None or score >= top:
                     top, found = score, node
         return found
 
-    def text_of(self, roots: set[int]) -> str:
-        inside = [False] * len(self.tag)
-        inside[0] = 0 in roots
+    def text_of(self, roots: set[int], drop: frozenset[str] = frozenset()) -> str:
+        """The text inside ``roots`` but for boilerplate and text elements on the paths of ``drop``."""
+        inside = [0 in roots] + [False] * (len(self.tag) - 1)
         for node in range(1, len(self.tag)):
-            inside[node] = inside[self.parent[node]] or node in roots
-        return " ".join(text for node, text, _ in self.blocks if inside[node] and not self.boiler[node])
+            inside[node] = node in roots or inside[self.parent[node]] and not self.boiler[node] and not (self.doubt[node] and drop and self.path(node) in drop)
+        return " ".join(text for node, text, _ in self.blocks if inside[node])
 
     def offered(self) -> list[str]:
-        """The paths of containers that hold text."""
-        live: set[int] = set()
+        """The paths of containers that hold text, and those of text elements in doubt, marked."""
+        live = [False] * len(self.tag)
         for node, _, _ in self.blocks:
-            if not self.boiler[node]:
-                while node not in live:
-                    live.add(node)
-                    node = self.parent[node] if node else 0
-        return sorted({self.path(node) for node in live if (self.tag[node] in _CONTAINERS or node == 0) and not self.boiler[node]})
+            live[node] = True
+        for node in range(len(self.tag) - 1, 0, -1):
+            if live[node] and not self.boiler[node]:
+                live[self.parent[node]] = True
+        return sorted({self.path(n) for n in self.containers() if live[n]} | {DOUBT + path for path, _ in self.doubted()})
+
+    def doubted(self) -> set[tuple[str, str]]:
+        """Paths and texts of text elements in doubt."""
+        held: dict[int, list[str]] = {}
+        for node, text, _ in self.blocks:
+            if self.doubt[node]:
+                held.setdefault(node, []).append(text)
+        return {(self.path(node), " ".join(texts)) for node, texts in held.items()}
 
     def extract(self, paths: list[str]) -> str:
-        """The text on the first of ``paths`` that the page has text on; else that of its own best container."""
+        """The text on the first of ``paths`` that the page has text on, else that of its own best container; marked paths are fixtures."""
+        drop = frozenset(p.removeprefix(DOUBT) for p in paths if p.startswith(DOUBT))
         held: dict[str, set[int]] = {}
-        for node, tag in enumerate(self.tag):
-            if (tag in _CONTAINERS or node == 0) and not self.boiler[node]:
-                held.setdefault(self.path(node), set()).add(node)
+        for node in self.containers():
+            held.setdefault(self.path(node), set()).add(node)
         for path in paths:
-            if path in held and (text := self.text_of(held[path])):
+            if path in held and (text := self.text_of(held[path], drop)):
                 return text
         own = self.best()
-        return "" if own is None else self.text_of({own})
+        return "" if own is None else self.text_of({own}, drop)
 
 
 def host_of(url: str) -> Column:
@@ -197,18 +244,21 @@ def host_of(url: str) -> Column:
 
 
 def votes(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """host, path: the path of each page's best container."""
+    """host, path, text: the path of each page's best container; for text elements in doubt also a hash of what they say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "html"):
-            paths = []
-            for x in texts:
+            out: list[list] = [[], [], []]
+            for host, x in zip(batch.column(0).to_pylist(), texts, strict=True):
                 page = Page(x) if x else None
                 node = page.best() if page else None
-                paths.append(None if node is None else page.path(node))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
+                rows = [(host, page.path(node), None)] if node is not None else []
+                for row in rows + [(host, DOUBT + p, hashlib.sha256(t.encode("utf-8", "replace")).digest()) for p, t in (sorted(page.doubted()) if page else ())]:
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["host", "path", "text"])
 
-    return pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path string").where("path is not null")
+    return pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path string, text binary")
 
 
 def offers(pages: DataFrame) -> DataFrame:
@@ -223,10 +273,13 @@ def offers(pages: DataFrame) -> DataFrame:
 
 
 def winners(found: DataFrame, offered: DataFrame) -> DataFrame:
-    """host, digest, path: the most voted of all paths that a page has; the smaller path among equals."""
-    counted = found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    met = offered.join(counted, ["host", "path"])
-    return met.groupBy("host", "digest").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
+    """host, digest, paths: the most voted of all paths that a page has, the smaller one among equals, and its fixtures."""
+    counted = found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("_texts"))
+    marked = F.col("path").startswith(DOUBT)
+    counted = counted.where(~marked | ((F.col("n") > 1) & (2 * F.col("_texts") <= F.col("n")))).select("host", "path", "n")
+    met = offered.distinct().join(counted, ["host", "path"])
+    best = F.min(F.when(~marked, F.struct((-F.col("n")).alias("n"), "path")))["path"]
+    return met.groupBy("host", "digest").agg(F.concat(F.when(best.isNull(), F.array().cast("array<string>")).otherwise(F.array(best)), F.collect_set(F.when(marked, F.col("path")))).alias("paths"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -236,8 +289,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "html"):
-            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
-            found = [Page(x).extract([p] if p else []) if x else "" for x, p in zip(texts, paths, strict=True)]
+            paths = batch.column(batch.schema.get_field_index("paths")).to_pylist()
+            found = [Page(x).extract(p or []) if x else "" for x, p in zip(texts, paths, strict=True)]
             yield pa.RecordBatch.from_arrays([ids_of(batch, "page_id"), ids_of(batch, "url"), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.join(best, ["host", "digest"], "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string")
+    return rows.join(best, ["host", "digest"], "left").select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string")
