@@ -1,16 +1,18 @@
 """Operator 1, language ID by compression.
 
-Each language gets a zstandard *raw-content* dictionary cut from a bounded sample of its labelled texts.  A text is cut
+Each language gets a zstandard *raw-content* dictionary from a bounded sample of its labelled texts.  A text is cut
 into blocks, every block is compressed with every language's dictionary, and the language whose dictionary gives the
 smallest total wins.  Blocks keep the dictionary's help in proportion on long texts, which would otherwise serve as
 their own dictionary.  A narrow margin is reported as ``rejected``.
 
-The model's sample is bounded: about ``sample_rows`` rows per language, ``sample_chars`` code points from each.  The
-rows are chosen by hash, so the sample is the same for any row order.
+The model's sample has one bound, ``passages``: all labelled texts, whole, are cut into passages of ``passage_chars`` code
+points, and about so many of a language's passages are chosen by hash, wherever in a text they stand.  All that are chosen
+make the dictionary, so it does not depend on row order, partitions or the length of texts.
 
-Cases: a null text, an empty one and one without letters give ``und``, score 0.0, not rejected.  Ties go to the language
-with the smaller code.  Repeated rows are judged one by one.  An empty table gives an empty result.  With no labelled
-rows every text is ``und``.  Other columns of the input are ignored, whatever their names.
+Cases: a null text, an empty one and one without letters give ``und``, score 0.0, not rejected.  A text of any length is
+compressed whole.  Ties go to the language with the smaller code.  Repeated rows are judged one by one; repeated passages
+stand in a dictionary once.  An empty table gives an empty result.  With no labelled rows every text is ``und``.  Other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,20 +38,22 @@ def normalise(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split())
 
 
-def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1200, sample_chars: int = 1500, dict_bytes: int = 64_000) -> dict[str, bytes]:
-    """Raw dictionary contents by language, from a bounded sample that is picked by hash of the key."""
-    rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", passages: int = 200, passage_chars: int = 1000) -> dict[str, bytes]:
+    """Raw dictionary contents by language, from about ``passages`` passages of each."""
+    rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text <> ''")
+    rows = rows.withColumn("_n", F.ceil(F.length("text") / passage_chars))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("_n")).collect()}
     if not counts:
         return {}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_rows / n))) for k, n in sorted(counts.items())], F.lit(0.0))
-    order = F.xxhash64(F.lit("language sample"), F.col("key"))
-    picked = rows.withColumn("_order", order).where(F.pmod(F.col("_order"), F.lit(1_000_000)) < share * 1_000_000)
-    sample = picked.select("lang", F.substring("text", 1, sample_chars).alias("text"), "_order").collect()
-    held: dict[str, list[bytes]] = {}
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, passages / n))) for k, n in sorted(counts.items())], F.lit(0.0))
+    order = lambda i: F.xxhash64(F.lit("language sample"), F.col("key"), i)
+    chosen = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.pmod(order(i), F.lit(1 << 40)) < F.col("_share"))
+    picked = rows.withColumn("_share", share * (1 << 40)).select("lang", "text", "key", F.explode(chosen).alias("i"))
+    sample = picked.select("lang", F.substr("text", (F.col("i") * passage_chars + 1).cast("int"), F.lit(passage_chars)).alias("text"), order(F.col("i")).alias("_order")).collect()
+    held: dict[str, dict[bytes, None]] = {}
     for row in sorted(sample, key=lambda r: (r["_order"], r["text"])):
-        held.setdefault(row["lang"], []).append(normalise(row["text"]))
-    return {k: b" ".join(v)[:dict_bytes] for k, v in sorted(held.items())}
+        held.setdefault(row["lang"], {})[normalise(row["text"])] = None
+    return {k: b" ".join(v) for k, v in sorted(held.items())}
 
 
 class Classifier:
@@ -59,7 +63,8 @@ class Classifier:
         self.langs, self.block, self.coders = sorted(dictionaries), block, []
         for k in self.langs:
             held = zstandard.ZstdCompressionDict(dictionaries[k].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0)
+            log = max(17, len(dictionaries[k]).bit_length())
+            how = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log - 2, chain_log=log - 2, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0)
             held.precompute_compress(compression_params=how)
             self.coders.append(zstandard.ZstdCompressor(compression_params=how, dict_data=held))
 
