@@ -8,7 +8,7 @@ most ``max_fraction`` of its words and no repeat is longer than ``max_longest``
 
 Cases: a null or empty text has no words and fails the base rule.  Repeated rows are judged one by one, whatever stands
 elsewhere in the table.  Occurrences may overlap each other.  An empty table gives an empty result.  Texts of any length
-are taken whole; a piece holds about four million characters, or one text.  Other columns are ignored.
+are taken whole; a piece holds about two million characters, or one text.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ class SuffixRanks:
         rank = np.empty(n, np.int64)
         rank[order] = np.repeat(first, sizes)
         active = np.sort(order[np.repeat(sizes > 1, sizes)]) if n else order
-        self.levels.append(rank)
+        kind = np.int32 if n < 1 << 31 else np.int64  # levels are kept, so they are kept small
+        self.levels.append(rank.astype(kind))
         width = 1
         while len(active):
             after = active + width
@@ -73,7 +74,7 @@ class SuffixRanks:
             groups = np.diff(np.r_[np.flatnonzero(new_sub), len(active)])
             active = np.sort(active[np.repeat(groups > 1, groups)])
             width *= 2
-            self.levels.append(rank)
+            self.levels.append(rank.astype(kind))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of suffixes a and b, by descent over the levels."""
@@ -106,7 +107,7 @@ class SuffixRanks:
 def repeated_windows(ranks: SuffixRanks, words: np.ndarray, size: int = 3) -> np.ndarray:
     """Words inside windows of three that their row holds twice or more, as a mask."""
     mask = np.zeros(ranks.n, bool)
-    two = ranks.levels[min(1, len(ranks.levels) - 1)]
+    two = ranks.levels[min(1, len(ranks.levels) - 1)].astype(np.int64)
     at = np.flatnonzero(np.arange(ranks.n) + size <= ranks.end) if ranks.n else np.zeros(0, np.int64)
     if not len(at):
         return mask
