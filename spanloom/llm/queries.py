@@ -1,4 +1,4 @@
-"""Queries of the ten training-data operators: whole tables, production parameters, the result columns asked for."""
+"""Queries of the training-data operators: whole tables, production parameters, the result columns asked for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op2_repetition, op3_decontaminate, op4_toxicity, op5_url_filter, op6_html, op7_brown, op8_mix, op9_jaccard, op10_tokens
+from . import op1_language, op2_repetition, op3_decontaminate, op4_toxicity, op5_url_filter, op6_html, op7_brown, op8_mix, op9_jaccard, op10_tokens, op11_chosen_path, op12_whitening, op13_alignment
 from .common import is_remainder, table
 
 #: The URL rules that the query applies, as (verdict, host, path).
@@ -19,6 +19,8 @@ URL_RULES = (
     ("block", "com", "/de/"),
 )
 TOKENIZER = "word_bpe_49k.json"
+#: The tokenizers that are aligned.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +73,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op11_chosen_path.link(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found, _ = op13_alignment.align_documents(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+    return found.select("doc_id", *op13_alignment.MEASURES, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_repetition_rules, op3_benchmark_overlap, op4_toxicity_scores, op5_url_verdicts, op6_main_text, op7_class_scores, op8_source_mix, op9_jaccard_components, op10_token_counts)
+    found = (op1_language_id, op2_repetition_rules, op3_benchmark_overlap, op4_toxicity_scores, op5_url_verdicts, op6_main_text, op7_class_scores, op8_source_mix, op9_jaccard_components, op10_token_counts, op11_near_duplicates, op12_embedding_whitening, op13_tokenizer_alignment)
     return {f.__name__: f for f in found}
 
 
