@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import similarity as S
+from ..operators.alignment import align, covered, empty_alleles
 from ..operators.components import connected
 from ..operators.joins import best_of
 from ..sources.adapters import SEQS, sequences, table
@@ -120,23 +121,34 @@ def _(spark, d):
     return best.select("source", "cluster", "sites", F.round(F.col("sites") / F.col("n"), 6).alias("recurrence"))
 
 
+def _asked(rows):
+    """The rows that are looked up in all: those whose id is divisible by 50."""
+    return rows.where("id % 50 = 0")
+
+
+def _hits(hits):
+    return hits.select("clade", "q", "s", "strand", "qs", "qe", "ss", "se", "score", "matches", "columns", "gaps", F.round("pid", 6).alias("pid"), F.round("bits", 6).alias("bits"))
+
+
 @query("SIM-08")
 def _(spark, d):
     r = sequences(spark, d)
-    return S.seed_hits(r, r, "clade", least=14)
+    return _hits(align(_asked(r), r, "clade", evalue=1e-3))
 
 
 @query("SIM-09")
 def _(spark, d):
+    """Forward strand only, words of seven; the best alignment of each pair."""
     r = sequences(spark, d)
-    return S.seed_hits(r, r, "clade", word=7, least=10, both_strands=False)
+    return best_of(_hits(align(_asked(r), r, "clade", word=7, evalue=1e-3, both_strands=False)), ["q", "s"], F.desc("bits"), "qs", "ss", "qe", "se")
 
 
 @query("SIM-10")
 def _(spark, d):
     r = sequences(spark, d)
-    known = r.select(F.lit("known").alias("clade"), "id", "seq")
-    return S.seed_hits(known, known, "clade", least=14)
+    known = _asked(r)
+    pairs = covered(align(known, r, "clade", evalue=1e-5), known.select(F.col("id").alias("q"), F.length("seq").alias("qlen")), 70.0, 0.5)
+    return pairs.select("q", "s", "hsps", "covered", F.round("pid", 6).alias("pid"), F.round("bits", 6).alias("bits"))
 
 
 @query("JON-21", f"with {SEQS}, k as (select clade, id, {_KMERS.format(11, 10)} as k from seqs), p as (select a.clade, a.id as a, b.id as b, {_JACCARD} as jaccard from k a join k b on a.clade = b.clade and a.id < b.id) select * from p where jaccard >= 0.3")
@@ -188,10 +200,10 @@ def _(spark, d):
 
 @query("SIM-15")
 def _(spark, d):
+    """Sites: 60 letters before and after an element of 60, at the 100th letter of every sequence that is looked up."""
     r = sequences(spark, d)
-    hits = S.seed_hits(r, r, "clade", least=14)
-    full = best_of(hits, ["q"], F.desc("matches"), "s", "qs", "strand")
-    return full.join(r.select(F.col("id").alias("s"), "seq"), "s").select("q", "s", F.expr("substring(seq, cast(qs as int), 30)").alias("allele"))
+    flanks = _asked(r).where("length(seq) >= 220").select("clade", "id", F.expr("substring(seq, 41, 60) || substring(seq, 161, 60)").alias("seq"), F.lit(60).alias("point"))
+    return empty_alleles(flanks, r, "clade")[1]
 
 
 @query("SIM-16")
