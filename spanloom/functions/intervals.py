@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sequence import reverse_complement
+
 ARRAY = "array<struct<s:bigint,e:bigint>>"
 
 
@@ -74,6 +76,13 @@ def to_genome(win_s: Column, win_e: Column, p0: Column, p1: Column, strand: Colu
     return F.when(strand < 0, minus).otherwise(plus)
 
 
+def round_trip(contig: Column, window: Column, place: Column, p0: Column, p1: Column, strand: Column) -> Column:
+    """Whether the contig's letters at ``place`` (of ``to_genome``) are the window's letters [p0, p1), turned on strand -."""
+    cut = F.substr(contig, place["start"].cast("int"), (place["end"] - place["start"] + 1).cast("int"))
+    turned = F.when(strand < 0, reverse_complement(cut)).otherwise(cut)
+    return (turned == F.substr(window, (p0 + 1).cast("int"), (p1 - p0).cast("int"))) & (F.length(turned) == p1 - p0)
+
+
 def signed_distance(anchor_s: Column, anchor_e: Column, s: Column, e: Column) -> Column:
     """Negative before the anchor, positive after, 0 if they overlap; both half-open."""
     return F.when(e <= anchor_s, e - anchor_s).when(s >= anchor_e, s - anchor_e).otherwise(F.lit(0))

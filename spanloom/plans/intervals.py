@@ -104,10 +104,13 @@ def _(spark, d):
     return n.select("event_id", (F.col("pos") - F.col("before")).alias("left_gap"), (F.col("after") - F.col("pos")).alias("right_gap"))
 
 
-@query("INT-12", f"with {IV} select grp, member, piece, greatest(0, s - 9000 - 75)::bigint as s, least(2000, e - 9000 + 75)::bigint as e from iv where s >= 9000 and e <= 11000")
+@query("INT-12", f"with {IV}, w as (select grp, min(s) as w0, max(e) - min(s) as n from iv group by grp) select grp, member, piece, greatest(0, s - w0 - 75)::bigint as s, least(n, e - w0 + 75)::bigint as e from iv join w using (grp)")
 def _(spark, d):
-    iv = intervals(spark, d).where("s >= 9000 and e <= 11000")
-    return iv.select("grp", "member", "piece", I.soft_pad(F.col("s") - 9000, F.col("e") - 9000, 75, F.lit(2000)).alias("p")).select("grp", "member", "piece", F.col("p.s").cast("long").alias("s"), F.col("p.e").cast("long").alias("e"))
+    """A group's window reaches from its first start to its last end."""
+    iv = intervals(spark, d)
+    w = iv.groupBy("grp").agg(F.min("s").alias("w0"), (F.max("e") - F.min("s")).alias("n"))
+    padded = iv.join(w, "grp").select("grp", "member", "piece", I.soft_pad(F.col("s") - F.col("w0"), F.col("e") - F.col("w0"), 75, F.col("n")).alias("p"))
+    return padded.select("grp", "member", "piece", F.col("p.s").cast("long").alias("s"), F.col("p.e").cast("long").alias("e"))
 
 
 @query("INT-13", f"with {SEQS} select id, upper(substr(seq, 1, 5)) || lower(substr(seq, 6, 10)) || upper(substr(seq, 16, 5)) || lower(substr(seq, 21, 4)) || upper(substr(seq, 25)) as cased from seqs where length(seq) >= 30")
@@ -137,10 +140,19 @@ def _(spark, d):
     return intervals(spark, d).select("grp", "member", "piece", I.signed_distance(F.lit(10400), F.lit(10460), F.col("s"), F.col("e")).cast("long").alias("distance"))
 
 
-@query("INT-17", f"with {_ANCHOR}, g as (select id, case when strand < 0 then en + 500 - 40 + 1 else st + 10 end as a, case when strand < 0 then en + 500 - 10 else st + 40 - 1 end as b, st, en, strand from an) select id, a::bigint as start, b::bigint as \"end\", b - a + 1 = 30 as proven from g")
+_RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+
+
+@query("INT-17", f"with {_ANCHOR}, g as (select id, case when strand < 0 then en + 500 - 40 + 1 else st + 10 end as a, case when strand < 0 then en + 500 - 10 else st + 40 - 1 end as b, strand, seq, substr(seq, st, en + 500 - st + 1) as w from an), c as (select id, a, b, case when strand < 0 then {_RC.format('substr(seq, a, b - a + 1)')} else substr(seq, a, b - a + 1) end as cut, substr(case when strand < 0 then {_RC.format('w')} else w end, 11, 30) as own from g) select id, a::bigint as start, b::bigint as \"end\", cut = own and length(cut) = 30 as proven from c")
 def _(spark, d):
-    g = I.to_genome(F.col("st"), F.col("en") + 500, F.lit(10), F.lit(40), F.col("strand"))
-    return _anchors(spark, d).select("id", g.alias("g")).select("id", F.col("g.start"), F.col("g.end"), (F.col("g.end") - F.col("g.start") + 1 == 30).alias("proven"))
+    """A window whose contig ends before it does has fewer letters than its coordinates say; on strand - the map is off then."""
+    from ..functions.sequence import reverse_complement
+
+    p0, p1, strand = F.lit(10), F.lit(40), F.col("strand")
+    letters = F.substr("seq", F.col("st").cast("int"), (F.col("en") + 500 - F.col("st") + 1).cast("int"))
+    rows = _anchors(spark, d).withColumn("window", F.when(strand < 0, reverse_complement(letters)).otherwise(letters))
+    rows = rows.withColumn("g", I.to_genome(F.col("st"), F.col("en") + 500, p0, p1, strand))
+    return rows.select("id", "g.start", "g.end", I.round_trip(F.col("seq"), F.col("window"), F.col("g"), p0, p1, strand).alias("proven"))
 
 
 @query("INT-18", f"with {_ANCHOR} select id, substr(seq, 21, 200) as trimmed, (st - 21)::bigint as anchor_offset from an where n >= 461 and st >= 21 and st + 60 <= 221")

@@ -68,17 +68,17 @@ def _(spark, d):
     return rows.select("grp", "member", "piece", "x.s", "x.e")
 
 
-@query("JON-08", f"with {IV}, b as (select grp, member, s, e from iv where piece = 1), o as (select grp, member, s, e from iv where piece = 2), m as (select b.grp, b.member, o.member as r_member, least(b.e, o.e) - greatest(b.s, o.s) as overlap, row_number() over (partition by b.grp, b.member order by least(b.e, o.e) - greatest(b.s, o.s) desc, o.member) as rn from b join o on b.grp = o.grp and b.s < o.e and o.s < b.e) select grp, member, r_member, overlap from m where rn = 1")
+@query("JON-08", f"with {IV}, b as (select grp, member, s, e from iv where piece = 1), o as (select grp, member, s, e from iv where piece <> 1), m as (select b.grp, b.member, o.member as r_member, least(b.e, o.e) - greatest(b.s, o.s) as overlap, row_number() over (partition by b.grp, b.member order by least(b.e, o.e) - greatest(b.s, o.s) desc, o.member) as rn from b join o on b.grp = o.grp and b.s < o.e and o.s < b.e) select grp, member, r_member, overlap from m where rn = 1")
 def _(spark, d):
     iv = intervals(spark, d)
-    met = J.overlapping(iv.where("piece = 1").select("grp", "member", "s", "e"), iv.where("piece = 2").select("grp", "member", "s", "e"), "grp", 64)
+    met = J.overlapping(iv.where("piece = 1").select("grp", "member", "s", "e"), iv.where("piece <> 1").select("grp", "member", "s", "e"), "grp", 64)
     return J.best_of(met, ["grp", "member"], F.desc("overlap"), "r_member").select("grp", "member", "r_member", "overlap")
 
 
-@query("JON-09", f"with {IV} select b.grp, b.member, count(*)::bigint as hits, max(least(b.e, o.e + 100) - greatest(b.s, o.s - 100))::bigint as most from iv b join iv o on b.grp = o.grp and b.s < o.e + 100 and o.s - 100 < b.e where b.piece = 1 and o.piece = 7 group by 1, 2")
+@query("JON-09", f"with {IV} select b.grp, b.member, count(*)::bigint as hits, max(least(b.e, o.e + 100) - greatest(b.s, o.s - 100))::bigint as most from iv b join iv o on b.grp = o.grp and b.s < o.e + 100 and o.s - 100 < b.e where b.piece = 1 and o.piece <> 1 group by 1, 2")
 def _(spark, d):
     iv = intervals(spark, d)
-    met = J.overlapping(iv.where("piece = 1").select("grp", "member", "s", "e"), iv.where("piece = 7").select("grp", "member", "s", "e"), "grp", 128, slack=100)
+    met = J.overlapping(iv.where("piece = 1").select("grp", "member", "s", "e"), iv.where("piece <> 1").select("grp", "member", "s", "e"), "grp", 128, slack=100)
     return met.groupBy("grp", "member").agg(F.count(F.lit(1)).alias("hits"), F.max("overlap").alias("most"))
 
 
@@ -93,11 +93,12 @@ def _(spark, d):
 _MERGED = "w as (select grp, s, e, max(e) over (partition by grp, member order by s, e rows between unbounded preceding and 1 preceding) as reach, member from iv), i as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by grp, member order by s, e rows unbounded preceding) as k from w), mg as (select grp, member, min(s) as s, max(e) as e from i group by grp, member, k)"
 
 
-@query("JON-11", f"with {IV}, b as (select grp, member, piece, s, e from iv where piece = 3) select a.grp, a.member, x.member as r_member, greatest(0, greatest(a.s, x.s) - least(a.e, x.e))::bigint as gap from b a join b x on a.grp = x.grp and a.member <> x.member and a.s < x.e + 500 and x.s - 500 < a.e")
+@query("JON-11", f"with {IV} select a.grp, a.member, a.piece, x.member as r_member, x.piece as r_piece, greatest(0, greatest(a.s, x.s) - least(a.e, x.e))::bigint as gap from iv a join iv x on a.grp = x.grp and a.member <> x.member and a.s < x.e + 500 and x.s - 500 < a.e where a.member % 50 = 0")
 def _(spark, d):
-    b = intervals(spark, d).where("piece = 3").select("grp", "member", "s", "e")
-    met = J.overlapping(b, b, "grp", 512, slack=500).where("member <> r_member")
-    return met.select("grp", "member", "r_member", F.greatest(F.lit(0), F.greatest("s", "r_s") - F.least("e", "r_e")).cast("long").alias("gap"))
+    """Those whose member is divisible by 50 against all of the group."""
+    b = intervals(spark, d).select("grp", "member", "piece", "s", "e")
+    met = J.overlapping(b.where("member % 50 = 0"), b, "grp", 512, slack=500).where("member <> r_member")
+    return met.select("grp", "member", "piece", "r_member", "r_piece", F.greatest(F.lit(0), F.greatest("s", "r_s") - F.least("e", "r_e")).cast("long").alias("gap"))
 
 
 _PAIRS = "a as (select distinct l_suppkey as x, l_partkey as y from lineitem where l_returnflag = 'A'), r as (select distinct l_suppkey as x, l_partkey as y from lineitem where l_returnflag = 'R')"

@@ -51,15 +51,28 @@ def _(spark, d):
     return _each(sequences(spark, d).withColumn("short", F.when(F.length("seq") <= 600, F.col("seq"))), S.longest_inverted_repeat, "long", "short").select("id", F.col("x").alias("ir_arm"), F.when(F.length("seq") > 0, F.col("x") / F.length("seq")).alias("ir_frac"))
 
 
-@query("SCA-25", f"with {SEQS}, w as (select id, left(right(seq, 50) || seq || left(seq, 50), 101) as w from seqs) select id, length(regexp_replace(w, '[^CG]', '', 'g'))::double as first_window from w")
+_GC = "list_transform(range(1, greatest(1, length(w) - 100) + 1), lambda i: length(regexp_replace(substr(w, i, 101), '[^CG]', '', 'g')))"
+
+
+@query("SCA-25", f"with {SEQS}, p as (select id, right(seq, 50) || seq || left(seq, 50) as w from seqs), c as (select id, {_GC} as gc from p) select id, len(gc)::bigint as windows, list_min(gc)::bigint as least, list_max(gc)::bigint as most, gc[1]::bigint as first_window from c")
 def _(spark, d):
-    def centre(seq: str, width: int = 101) -> float:
-        codes = np.searchsorted(np.frombuffer(b"ACGT", np.uint8), np.frombuffer(seq.encode(), np.uint8))
-        one_hot = np.eye(4)[np.minimum(codes, 3)]
-        half = width // 2
-        return float(np.concatenate([one_hot[-half:], one_hot, one_hot[:half]])[:width, 1:3].sum())
+    """G and C in every window of 101 letters of a circular sequence, from one-hot rows and their running sums."""
+    from ..operators.scorer import one_hot
+
+    @F.pandas_udf("windows long, least long, most long, first_window long")
+    def every(seqs: pd.Series) -> pd.DataFrame:
+        out = []
+        for seq in seqs:
+            if not isinstance(seq, str):
+                out.append((None,) * 4)
+                continue
+            sums = np.concatenate([[0], one_hot(seq[-50:] + seq + seq[:50])[:, 1:3].sum(1).cumsum()])
+            width = min(101, len(sums) - 1)
+            gc = sums[width:] - sums[: len(sums) - width]
+            out.append((len(gc), int(gc.min()), int(gc.max()), int(gc[0])))
+        return pd.DataFrame(out, columns=["windows", "least", "most", "first_window"], dtype="Int64")
 
-    return _each(sequences(spark, d), centre, "double").select("id", F.col("x").alias("first_window"))
+    return sequences(spark, d).select("id", every("seq").alias("x")).select("id", "x.*")
 
 
 @query("SIM-01")
