@@ -6,6 +6,7 @@ number of characters, so that memory does not depend on how long the texts of a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects garbage here and in the driver's JVM, upon which Spark removes the shuffle files of finished jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def made() -> int:
     """How many tables have been written so far; for ``release_since``."""
     return len(_made)

@@ -4,7 +4,7 @@ Two tokenizers, A (a byte-level ``tokenizers`` file) and B (a ``sentencepiece``
 tokens of both end at the same byte the text is cut into *groups*; a *link* is an A and a B token that share a byte.
 
 * Segments.  A text is split before runs of white space, but only where neither vocabulary can merge across: no entry of A
-  or B holds the two bytes that meet there, which is read from the vocabularies (``Splitter``).  As no merge can cross such
+  or B holds the two characters that meet there, which is read from the vocabularies (``Splitter``).  As no merge can cross such
   a place, the tokens of a text are those of its segments, and as both end a token there, groups and links lie inside one.
 * Every task collects its documents into blocks of about ``block_chars`` characters: the block's distinct segments with
   their counts, and per document the numbers of its segments in order.
@@ -35,15 +35,15 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, materialize, pieces, release
+from .common import ids_of, materialize, pieces, release, tidy
 
 #: Places to split: before a run that begins with one of these, after a character that is no white space.
 STARTS = " \n\t"
-#: What a segment brings to a document, as summed columns.
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -102,17 +102,19 @@ class Pieces:
 
 
 class Splitter:
-    """Splits before white space where no entry of either vocabulary holds the two bytes that meet."""
+    """Splits before white space where no entry of either vocabulary holds the two characters that meet."""
 
     def __init__(self, *vocabularies: list[bytes]):
-        met = {pair for entries in vocabularies for e in entries for pair in zip(e, e[1:])}
+        # entries that begin or end inside a character have the bytes of its part as lone surrogates
+        texts = [e.decode("utf-8", "surrogateescape") for entries in vocabularies for e in entries]
+        met = {pair for t in texts for pair in zip(t, t[1:])}
         rules = []
         for start in STARTS:
-            before = {a for a, b in met if b == ord(start)}
-            # bytes of longer characters, and a space that B sets before a segment, rule the place out altogether
-            if any(a >= 0x80 for a in before) or (start != " " and 0x20 in before):
+            before = {a for a, b in met if b == start}
+            # a part of some character, or a space that B sets before a segment, rules the place out altogether
+            if any("\ud800" <= a <= "\udfff" for a in before) or (start != " " and " " in before):
                 continue
-            unsafe = "".join(re.escape(chr(a)) for a in sorted(before) if not chr(a).isspace())
+            unsafe = "".join(re.escape(a) for a in sorted(before) if not a.isspace())
             rules.append(rf"(?<=[^\s{unsafe}])(?={start}\s*\S)")
         self.split = re.compile("|".join(rules)).split if rules else lambda text: [text]
 
@@ -139,13 +141,14 @@ def blocks_of(a_path: str, b_path: str, block_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, b, splitter = tokenizers(a_path, b_path)
+        squeeze = zstandard.ZstdCompressor(1).compress
         task, number, known, ids, places, held = TaskContext.get().partitionId(), 0, Numbered(), [], [], 0
 
         def flush() -> pa.RecordBatch:
             block, n = (task << 32) + number, len(ids)
             counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *(p for p in places if p is not None)]).astype(np.int64), minlength=len(known))
             return pa.RecordBatch.from_arrays([
-                pa.array([block] * (n + 1), pa.int64()), pa.array([*ids, None], pa.int64()), pa.array([*(b"" if p is None else p.tobytes() for p in places), None], pa.binary()),
+                pa.array([block] * (n + 1), pa.int64()), pa.array([*ids, None], pa.int64()), pa.array([*(b"" if p is None else squeeze(p.tobytes()) for p in places), None], pa.binary()),
                 pa.array([None] * n + [list(known)], pa.list_(pa.string())), pa.array([None] * n + [counts], pa.list_(pa.int64())),
             ], names=["block", "doc_id", "places", "segments", "counts"])
 
@@ -195,45 +198,46 @@ def align(segments: list[str], a: ByteLevel, b: Pieces) -> dict[str, list]:
         x, y = i, j
     cut_at = lambda whole, stops: [whole[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
     grouped = cut_at(groups, last_group.tolist())
-    return {
-        "n_a": [len(x) for x in ids_a], "n_b": [len(x) for x in ids_b], "n_groups": [len(g) for g in grouped], "n_links": np.diff(last_link, prepend=0),
-        "groups": [";".join(g) for g in grouped], "link_a": cut_at(link_a, last_link.tolist()), "link_b": cut_at(link_b, last_link.tolist()),
-    }
+    return {"n_a": [len(x) for x in ids_a], "groups": [";".join(g) for g in grouped], "link_a": cut_at(link_a, last_link.tolist()), "link_b": cut_at(link_b, last_link.tolist())}
 
 
-ALIGNED = "id long, segment string, n long, n_a long, n_b long, n_groups long, n_links long, groups string, link_a array<int>, link_b array<int>"
+ALIGNED = "segment string, n long, n_a int, groups string, link_a array<int>, link_b array<int>"
 
 
 def align_segments(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, _ = tokenizers(a_path, b_path)
-        following = TaskContext.get().partitionId() << 40
         for batch, segments in pieces(batches, "segment", 500_000):
             found = align(segments, a, b)
-            whole = pa.array(np.arange(following, following + len(segments)), pa.int64())
-            following += len(segments)
-            kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int32())] * 2]
-            yield pa.RecordBatch.from_arrays([whole, *batch.columns, *(pa.array(x, k) for x, k in zip(found.values(), kinds, strict=True))], names=["id", *batch.schema.names, *found])
+            kinds = [pa.int32(), pa.string(), *[pa.list_(pa.int32())] * 2]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(found.values(), kinds, strict=True))], names=[*batch.schema.names, *found])
 
     return run
 
 
 def compose(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's documents from the alignments of its segments."""
+    """A block's documents from the alignments of its segments.
+
+    Tokens are told from the text: a group of p and q has p + q - 2 commas, and p + q - 1 links.
+    """
     order = np.argsort(right.column("no").to_numpy(), kind="stable")
     groups = pa.concat_arrays(right.column("groups").chunks).take(pa.array(order)) if len(order) else pa.array([], pa.string())
-    values = [right.column(m).to_numpy()[order] for m in MEASURES]
-    places = [np.frombuffer(p, np.int32) for p in left.column("places").to_pylist()]
+    values = [right.column(m).to_numpy()[order].astype(np.int64) for m in ("n_a", "n_best", "count_sum")]
+    expand = zstandard.ZstdDecompressor().decompress
+    places = [np.frombuffer(expand(p) if p else b"", np.int32) for p in left.column("places").to_pylist()]
     offset = np.r_[0, np.cumsum([len(p) for p in places])].astype(np.int64)
     flat = np.concatenate([np.zeros(0, np.int32), *places])
-    total = lambda v: np.diff(np.r_[0, np.cumsum(v[flat])][offset])
+    n_a, n_best, count_sum = (np.diff(np.r_[0, np.cumsum(v[flat])][offset]) for v in values)
     texts = [pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), groups.take(pa.array(p))), ";")[0].as_py() for p in places]
-    return pa.table([left.column("doc_id"), *(pa.array(total(v), pa.int64()) for v in values), pa.array(texts, pa.string())], names=["doc_id", *MEASURES, "groups"])
+    n_groups = np.array([t.count(";") + 1 if t else 0 for t in texts], np.int64)
+    both = np.array([t.count(",") for t in texts], np.int64) + 2 * n_groups
+    counted = (n_a, both - n_a, n_groups, both - n_groups, n_best, count_sum)
+    return pa.table([left.column("doc_id"), *(pa.array(v, pa.int64()) for v in counted), pa.array(texts, pa.string())], names=["doc_id", *MEASURES, "groups"])
 
 
 def links_of(aligned: DataFrame) -> DataFrame:
     """A row per link of a distinct segment."""
-    return aligned.select("id", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("id", "n", F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
+    return aligned.select("segment", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("segment", "n", F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -252,10 +256,12 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     distinct = named.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = materialize(distinct.mapInArrow(align_segments(a_path, b_path), ALIGNED), "alignment-segments")
     pairs = materialize(pair_counts(aligned), "alignment-pairs")
-    sums = links_of(aligned).join(pairs, ["a", "b"]).groupBy("id").agg(F.sum("count").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
-    scored = materialize(aligned.join(sums, "id").select("segment", *MEASURES, "groups"), "alignment-scored")
+    tidy(docs.sparkSession)
+    sums = links_of(aligned).join(pairs, ["a", "b"]).groupBy("segment").agg(F.sum("count").alias("count_sum"), F.sum(F.col("best").cast("int")).cast("int").alias("n_best"))
+    joined = named.select("block", "no", "segment").join(aligned.select("segment", "n_a", "groups"), "segment").join(sums, "segment")
+    answers = materialize(joined.select("block", "no", "n_a", "n_best", "count_sum", "groups"), "alignment-answers")
     release(aligned)
-    answers = named.join(scored, "segment").select("block", "no", *MEASURES, "groups")
+    tidy(docs.sparkSession)
     documents = blocks.where("places is not null").select(F.col("block").alias("own"), "doc_id", "places")
     kind = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", groups string"
     return documents.groupBy("own").cogroup(answers.groupBy("block")).applyInArrow(compose, kind), pairs
