@@ -155,7 +155,7 @@ def plain_alignment(texts):
     for text in texts:
         whole = (" " + (text or "")).encode()
         x = a.encode(whole.decode(), add_special_tokens=False)
-        ids = b.encode(text or "")
+        ids, own = b.encode(text or ""), x.ids
         of_a = [bytes(letters[c] for c in t) for t in x.tokens]
         of_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         if not text or b"".join(of_a) != whole or b"".join(of_b) != whole:
@@ -170,8 +170,8 @@ def plain_alignment(texts):
             for held, one in zip(found[-1], (i, j), strict=True):
                 if one not in held:
                     held.append(one)
-        groups = [f"{','.join(str(x.ids[i]) for i in p)}|{','.join(str(ids[j]) for j in q)}" for p, q in found]
-        out.append((len(of_a), len(of_b), groups, [(x.ids[i], ids[j]) for i, j in links]))
+        groups = [f"{','.join(str(own[i]) for i in p)}|{','.join(str(ids[j]) for j in q)}" for p, q in found]
+        out.append((len(of_a), len(of_b), groups, [(own[i], ids[j]) for i, j in links]))
     return out
 
 
