@@ -6,10 +6,15 @@ container (digits in classes and ids become ``#``).  Spark counts the votes per
 page has text on.  Each page is then read again: the text of all elements on its most voted path is taken; a page without
 any voted path uses its own best container.
 
-The vote comes before class words.  A container named like boilerplate can be voted for, and is then read like any other.
+A page's only ``main``, or the only ``article`` in it, is its best container, whatever else the page holds.  Otherwise plain
+containers come first.  One named like a layout part (``widget``, ``overlay``) counts only if it holds more than ten times
+the text of any plain one, one named like other content (``related``, ``share``) only if nothing else holds text, and one
+named as comments, adverts or menus never.
+
 Inside the chosen container, parts that are boilerplate by tag or role, or containers by class word, are left out, and so
-is text named as advert, comment or the like.  A single text element with a vaguer name (``notice``, ``share``) is left out
-only if the host shows it to be a fixture: if at most half of the texts that its pages have on that path are different.
+is text named as an advert.  Anything less sure is in doubt: a single text element or an inline one in running text with
+another such name, and a header inside the article.  What is in doubt is left out only if the host shows it to be a
+fixture: if at most half of the texts that its pages have on that path are different.
 
 Blocks are decoded (character references), white space inside a block becomes one space, blocks are joined by a space.
 Inline elements never end a block.
@@ -36,40 +41,53 @@ from .common import ids_of, materialize, pieces
 #: End mark, name and attributes of a tag; a tag cut off by the end of the page counts as one.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""")
 #: What holds no text, whichever begins first; a tag as such, as its attributes may hold the like.
-_SKIPPED = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|(?P<tag></?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>)""", re.S | re.I)
+_SKIPPED = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1(?=[\s/>]|\Z)[^>]*(?:>|\Z)|\Z)|(?P<tag></?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>)""", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _CONTAINERS = frozenset("article body center content div main section table tbody td".split())
 _BOILER_TAGS = frozenset("nav footer aside form button select menu dialog svg head object audio video canvas".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
-#: Class and id words of parts that are not the article; the first group also holds for single text and inline elements.
-_SURE_WORDS = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu menus nav navbar navigation newsletter pagination popup promo promotion promoted sidebar sidenav sponsor sponsored".split())
-_BOILER_WORDS = _SURE_WORDS | frozenset("dialog disclaimer footer form header masthead modal notice notices notification overlay pager related recommended replies respond share sharing signup social subscribe toolbar topbar widget widgets login search skip".split())
-#: Elements that hold one text each.
+#: Class and id words of adverts and the like, which are never the article, not even single words of it.
+_ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement adsense consent cookie cookies disqus gdpr newsletter popup promo promotion promoted sponsor sponsored".split())
+#: Those of parts that are not the article; an inline element or a paragraph named so may be.
+_SURE_WORDS = _ADVERT_WORDS | frozenset("banner breadcrumb breadcrumbs comment commentlist comments menu menus nav navbar navigation pagination sidebar sidenav".split())
+#: Layout parts that may be around an article.
+_LAYOUT_WORDS = frozenset("dialog form header masthead modal overlay widget widgets".split())
+_BOILER_WORDS = _SURE_WORDS | _LAYOUT_WORDS | frozenset("disclaimer discussion footer login notice notices notification pager reactions recommended related replies respond search share sharing signup skip social subscribe toolbar topbar".split())
+#: Class words of an article's own parts: a header named so is the article's.
+_ARTICLE_WORDS = frozenset("article content entry main post story".split())
+#: Whole classes of articles that are not the page's own.
+_OTHER_ARTICLES = frozenset("ad advert advertisement comment comments promo recommended related reply sponsored".split())
+#: Elements that hold one text each, and those among them that are running text.
 _TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption address summary".split())
+_RUNNING = _TEXTS - frozenset("li dd dt td th".split())
 _WORD = re.compile(r"[a-zA-Z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 #: Elements that a start tag of the key ends when open in the same parent.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table select article section div body".split())
-#: Marks the path of a text element in doubt.
+#: Marks the path of what is in doubt.
 DOUBT = "?"
 
 
 class Page:
     """Elements but inline ones (parents before children), and text blocks of one page.
 
-    ``boiler``: 0 for none, 1 for a part that is boilerplate by its own class words, 2 by tag or role; ``doubt``: a text
-    element with a vaguer class word.
+    ``boiler``: 0 for none; by class words ``LAYOUT``, ``OTHER`` or ``SURE``; ``FIXED`` by tag or role.  ``doubt``: whether an
+    element is one that its host decides about.  ``parts``: blocks with inline text in doubt, as texts and their labels.
     """
 
+    LAYOUT, OTHER, SURE, FIXED = 1, 2, 3, 4
+
     def __init__(self, source: str):
         self.tag, self.parent, self.label, self.boiler, self.doubt = ["html"], [-1], ["html"], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of it inside links
+        self.parts: dict[int, list[tuple[str, str]]] = {}
         self._stack = [0]
         self._read(source)
+        self._weigh()
 
     @staticmethod
     def _names(attributes: str) -> tuple[set[str], str, str]:
@@ -88,18 +106,25 @@ class Page:
                     break
                 if self.tag[stack[k]] in _SCOPES:
                     break
-        own = 2 if tag in _BOILER_TAGS or tag == "header" and not any(self.tag[n] == "article" for n in stack) else 0
+        inside = any(self.tag[n] in ("article", "main") for n in stack)
+        own = self.FIXED if tag in _BOILER_TAGS or tag == "header" and not inside else 0
         label, doubt = tag, False
         if attributes:
             words, role, name = self._names(attributes)
             label += name
-            if role in _BOILER_ROLES:
-                own = 2
-            elif not own and words & _BOILER_WORDS:
-                own = int(tag not in _TEXTS or bool(words & _SURE_WORDS))
-                doubt = not own
-        if tag in ("body", "article", "main"):
-            own, doubt = 0, False
+            met = words & _BOILER_WORDS
+            if tag in ("body", "article", "main"):
+                own = self.SURE if tag == "article" and not _OTHER_ARTICLES.isdisjoint(name[1:].split(".")) else 0
+            elif role in _BOILER_ROLES and not (tag == "header" and inside):
+                own = self.FIXED
+            elif met and not own:
+                if tag in _RUNNING:
+                    doubt = not met & (_ADVERT_WORDS if inside else _SURE_WORDS)
+                elif tag in _TEXTS:
+                    doubt = not met & _SURE_WORDS
+                else:
+                    doubt = met == {"header"} and (inside or bool(words & _ARTICLE_WORDS))
+                own = 0 if doubt else self.SURE if met & _SURE_WORDS else self.LAYOUT if met <= _LAYOUT_WORDS else self.OTHER
         self.parent.append(stack[-1])
         stack.append(len(self.tag))
         self.tag.append(tag)
@@ -116,14 +141,16 @@ class Page:
     def _read(self, source: str) -> None:
         parts = _TAG.split(_SKIPPED.sub(lambda m: m["tag"] or "", source))
         stack, tags, held, link, linked = self._stack, self.tag, [], False, 0
-        left_out: list[str] = []  # open inline elements from one named as boilerplate on
+        left_out: list[str] = []  # open inline elements from one named as an advert on
+        named: list[str] = []  # the same from one in doubt on, whose label is kept
+        label = ""
         parts += ["/", "html", ""]
         for k in range(0, len(parts) - 3, 4):
             text, end, tag, attributes = parts[k : k + 4]
             if text and not left_out:
                 if "&" in text:
                     text = entities.unescape(text)
-                held.append(text)
+                held.append((text, label))
                 if link:
                     linked += len(text)
             if not tag:
@@ -132,13 +159,23 @@ class Page:
             if tag in _INLINE:
                 if tag == "a":
                     link = not end
-                if end and tag in left_out:
-                    while left_out.pop() != tag:
-                        pass
-                elif not end and tag not in _VOID and (left_out or attributes and self._left_out(attributes)):
-                    left_out.append(tag)
+                if end:
+                    for names in (left_out, named):
+                        if tag in names:
+                            while names.pop() != tag:
+                                pass
+                    label = label if named else ""
+                elif tag not in _VOID:
+                    words, role, name = self._names(attributes) if attributes else ((), "", "")
+                    if left_out or role in _BOILER_ROLES or not _ADVERT_WORDS.isdisjoint(words):
+                        left_out.append(tag)
+                    if named or not _BOILER_WORDS.isdisjoint(words):
+                        label = label or tag + name
+                        named.append(tag)
                 continue
             left_out.clear()
+            named.clear()
+            label = ""
             if held:
                 self._flush(held, linked)
                 held, linked = [], 0
@@ -153,12 +190,13 @@ class Page:
             elif tag not in _VOID and tag != "html" and not (tag == "body" and "body" in tags):
                 self._open(tag, attributes)
 
-    def _left_out(self, attributes: str) -> bool:
-        words, role, _ = self._names(attributes)
-        return bool(words & _SURE_WORDS) or role in _BOILER_ROLES
-
-    def _flush(self, held: list[str], linked: int) -> None:
-        text = " ".join("".join(held).split())
+    def _flush(self, held: list[tuple[str, str]], linked: int) -> None:
+        """A block; text in doubt with nothing beside it is no running text and is left out."""
+        if any(label for _, label in held):
+            if not any(text.strip() for text, label in held if not label):
+                return
+            self.parts[len(self.blocks)] = held
+        text = " ".join("".join(text for text, _ in held).split())
         if text:
             self.blocks.append((self._stack[-1], text, min(linked, len(text))))
 
@@ -169,18 +207,8 @@ class Page:
             node = self.parent[node]
         return ">".join(reversed(parts)) or "html"
 
-    def containers(self) -> list[int]:
-        """Elements that may be the main one: not part of anything that is boilerplate, though possibly named so themselves."""
-        open_below, out = [True] * len(self.tag), []
-        for node, tag in enumerate(self.tag):
-            free = node == 0 or open_below[self.parent[node]]
-            open_below[node] = free and not self.boiler[node]
-            if free and self.boiler[node] < 2 and (tag in _CONTAINERS or node == 0):
-                out.append(node)
-        return out
-
-    def best(self) -> int | None:
-        """The container with the highest score, the deepest among equals; None without text outside boilerplate."""
+    def _weigh(self) -> None:
+        """``good``: characters of an element outside links and boilerplate; ``bad``: the others."""
         good, bad = [0.0] * len(self.tag), [0.0] * len(self.tag)
         for node, text, linked in self.blocks:
             good[node] += len(text) - linked
@@ -192,23 +220,55 @@ class Page:
             else:
                 good[up] += good[node]
                 bad[up] += bad[node]
+        self.good, self.bad = good, bad
+
+    def containers(self) -> list[int]:
+        """Elements that may be the main one: plain ones, and those named as layout or other parts where these hold too little."""
+        open_below, found = [True] * len(self.tag), {0: [], self.LAYOUT: [], self.OTHER: []}
+        for node, tag in enumerate(self.tag):
+            free = node == 0 or open_below[self.parent[node]]
+            open_below[node] = free and not self.boiler[node]
+            if free and self.boiler[node] in found and (tag in _CONTAINERS or node == 0):
+                found[self.boiler[node]].append(node)
+        most = max(self.good[n] for n in found[0])
+        out = found[0] + [n for n in found[self.LAYOUT] if self.good[n] > 10 * most]
+        if not any(self.good[n] for n in out):
+            out += found[self.OTHER]
+        return sorted(out)
+
+    def best(self) -> int | None:
+        """The only main or article, else the container with the highest score, the deepest among equals; None without text."""
+        held = [n for n in self.containers() if self.good[n]]
+        most = max((self.good[n] for n in held), default=0)
+        own = None
+        for tag in ("main", "article"):
+            named = [n for n in held if self.tag[n] == tag]
+            if len(named) == 1 and self.good[named[0]] >= (most / 100 if own is None else self.good[own] / 5):
+                own = named[0]
+        if own is not None:
+            return own
         top, found = 0.0, None
-        for node in self.containers():
-            if good[node]:
-                score = (good[node] - 0.5 * bad[node]) * (1.25 if self.tag[node] in ("article", "main") else 0.1 if self.boiler[node] else 1.0)
-                if found is None or score >= top:
-                    top, found = score, node
+        for node in held:
+            score = (self.good[node] - 0.5 * self.bad[node]) * (1.25 if self.tag[node] in ("article", "main") else 1.0)
+            if found is None or score >= top:
+                top, found = score, node
         return found
 
     def text_of(self, roots: set[int], drop: frozenset[str] = frozenset()) -> str:
-        """The text inside ``roots`` but for boilerplate and text elements on the paths of ``drop``."""
+        """The text inside ``roots`` but for boilerplate and what is in doubt on the paths of ``drop``."""
         inside = [0 in roots] + [False] * (len(self.tag) - 1)
         for node in range(1, len(self.tag)):
             inside[node] = node in roots or inside[self.parent[node]] and not self.boiler[node] and not (self.doubt[node] and drop and self.path(node) in drop)
-        return " ".join(text for node, text, _ in self.blocks if inside[node])
+        texts = []
+        for k, (node, text, _) in enumerate(self.blocks):
+            if inside[node]:
+                if drop and k in self.parts:
+                    text = " ".join("".join(t for t, label in self.parts[k] if not label or f"{self.path(node)}>{label}" not in drop).split())
+                texts.append(text)
+        return " ".join(texts)
 
     def offered(self) -> list[str]:
-        """The paths of containers that hold text, and those of text elements in doubt, marked."""
+        """The paths of containers that hold text, and those of what is in doubt, marked."""
         live = [False] * len(self.tag)
         for node, _, _ in self.blocks:
             live[node] = True
@@ -218,12 +278,18 @@ class Page:
         return sorted({self.path(n) for n in self.containers() if live[n]} | {DOUBT + path for path, _ in self.doubted()})
 
     def doubted(self) -> set[tuple[str, str]]:
-        """Paths and texts of text elements in doubt."""
+        """Paths and texts of what is in doubt."""
+        over = [-1] * len(self.tag)  # the outermost element in doubt that an element is in
+        for node in range(1, len(self.tag)):
+            up = over[self.parent[node]]
+            over[node] = up if up >= 0 else node if self.doubt[node] else -1
         held: dict[int, list[str]] = {}
-        for node, text, _ in self.blocks:
-            if self.doubt[node]:
-                held.setdefault(node, []).append(text)
-        return {(self.path(node), " ".join(texts)) for node, texts in held.items()}
+        out = set()
+        for k, (node, text, _) in enumerate(self.blocks):
+            if over[node] >= 0:
+                held.setdefault(over[node], []).append(text)
+            out.update((f"{self.path(node)}>{label}", " ".join(t.split())) for t, label in self.parts.get(k, ()) if label)
+        return out | {(self.path(node), " ".join(texts)) for node, texts in held.items()}
 
     def extract(self, paths: list[str]) -> str:
         """The text on the first of ``paths`` that the page has text on, else that of its own best container; marked paths are fixtures."""
@@ -244,7 +310,7 @@ def host_of(url: str) -> Column:
 
 
 def votes(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """host, path, text: the path of each page's best container; for text elements in doubt also a hash of what they say."""
+    """host, path, text: the path of each page's best container; for what is in doubt also a hash of what it says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "html"):

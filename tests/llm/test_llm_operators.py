@@ -356,6 +356,39 @@ def test_a_named_text_element_is_a_fixture_by_its_host(spark):
     assert got == {i: f"text number {i} of the page" for i in range(4)} | {10 + i: f"text number {i} of the page words of their own {i}" for i in range(4)} | {20: "text number 1 of the page accept this"}
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="main"><p>text one of article</p></div><div class="comments">' + "<p>a comment of a reader</p>" * 200 + "</div>", "text one of article"),
+        ('<div class="post"><p>' + "A sentence. " * 8 + '</p></div><div class="related">' + "<p>another story to read, with a long title of its own</p>" * 40 + "</div>", ("A sentence. " * 8).strip()),
+        ('<article><p>We ate at <span class="menu">the grill</span> tonight and it was <i class="comment">fine</i>.</p></article>', "We ate at the grill tonight and it was fine."),
+        ('<article><p>one</p><p class="comment">two</p></article>', "one two"),
+        ('<article><div class="content-header"><h1>The Title</h1></div><p>Body text here</p></article>', "The Title Body text here"),
+        ('<div class="story"><div class="post-header"><h1>The Title</h1></div><p>Body text here</p></div>', "The Title Body text here"),
+        ("<header><h1>Site</h1></header><main><header><h1>Head</h1></header><p>Body</p></main>", "Head Body"),
+        ("<article><title-bar><p>kept</p></title-bar><p>after</p></article>", "kept after"),
+        ("<article><style-guide>kept</style-guide><p>after</p></article>", "kept after"),
+        ("<article><p>short text</p></article><div class=qqq>" + "<p>said by someone</p>" * 60 + "</div>", "short text"),
+        ("<main><article><p>the text of the page</p></article><section class=zzz>" + "<p>other</p>" * 9 + "</section></main>", "the text of the page"),
+        ("<article><p>the text</p></article><article class=comment><p>" + "an answer " * 50 + "</p></article>", "the text"),
+        ("<div class=text><p>the text</p></div><ol class=commentlist><li class=comment>" + "an answer " * 50 + "</ol>", "the text"),
+        ("<div class=story><p>the text</p><p><span class=comments>3 comments</span></p></div>", "the text"),
+        ("<div class=comments><p>only a comment</p></div>", ""),
+        ("<div class=share><p>all the text there is</p></div>", "all the text there is"),
+    ],
+)
+def test_comments_never_and_article_words_always(page, want):
+    assert op6_html.Page(page).extract([]) == want
+
+
+def test_inline_text_is_a_fixture_by_its_host(spark):
+    page = "<article><p>text number {0} of <b class='menu'>{1}</b> the page</p></article>"
+    pages = [(i, "http://same.org/x", page.format(i, "go up")) for i in range(4)]
+    pages += [(10 + i, "http://other.org/x", page.format(i, f"dish {i} on")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in op6_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text number {i} of the page" for i in range(4)} | {10 + i: f"text number {i} of dish {i} on the page" for i in range(4)}
+
+
 def test_generated_pages_by_brute_force(spark):
     """Pages made from known parts: what is expected is put together beside them, without reading HTML."""
     rng = random.Random(6)
