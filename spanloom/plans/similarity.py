@@ -125,6 +125,28 @@ def _(spark, d):
     return S.cluster(rows.withColumn("seq", F.least("seq", reverse_complement(F.col("seq")))), "clade", "id", "seq", 0.5)
 
 
+#: The rungs of the identity ladder.
+RUNGS = (0.90, 0.70, 0.50, 0.35)
+
+
+@query("SIM-05-ladder")
+def _(spark, d):
+    """Representatives at each rung, eight tenths of both sequences covered."""
+    from ..operators.representatives import ladder
+
+    return ladder(sequences(spark, d), "clade", "id", "seq", RUNGS, 0.8)
+
+
+@query("SIM-06-regions")
+def _(spark, d):
+    """Representatives at 0.7 identity and 0.7 of the member covered, on the strand that sorts first."""
+    from ..functions.sequence import reverse_complement
+    from ..operators.representatives import ladder
+
+    rows = sequences(spark, d).withColumn("seq", F.least("seq", reverse_complement(F.col("seq"))))
+    return ladder(rows, "clade", "id", "seq", (0.7,), 0.7, of_member_only=True)
+
+
 @query("SIM-07", "with c as (select source, lang as cluster, count(distinct doc_id)::bigint as sites from documents group by 1, 2), t as (select source, count(distinct doc_id) as n from documents group by 1), r as (select source, cluster, sites, n, row_number() over (partition by source order by sites desc, cluster) as rn from c join t using (source)) select source, cluster, sites, round(sites / n, 6) as recurrence from r where rn = 1 and sites >= 5")
 def _(spark, d):
     docs = table(spark, d, "documents").select("source", F.col("lang").alias("cluster"), "doc_id")
@@ -236,6 +258,15 @@ def _(spark, d):
     return rungs.withColumn("feasible", F.col("clusters") >= 20)
 
 
+@query("AGG-18-ladder")
+def _(spark, d):
+    """Clusters of each clade at each rung, and whether there are enough of them."""
+    from ..operators.representatives import ladder
+
+    found = ladder(sequences(spark, d), "clade", "id", "seq", RUNGS, 0.8)
+    return found.groupBy("clade", "rung").agg(F.countDistinct("representative").alias("clusters")).withColumn("feasible", F.col("clusters") >= 20)
+
+
 @query("AGG-31", f"with {SEQS}, d as (select clade, seq, min(id) as id from seqs group by clade, seq), r as (select *, row_number() over (partition by clade order by sha1('1:' || id::varchar), id) as rn from d), k as (select clade, id, {_KMERS.format(5, 4)} as k from r where rn <= 300) select a.clade, round(median({_JACCARD}), 6) as median_identity from k a join k b on a.clade = b.clade and a.id < b.id group by a.clade")
 def _(spark, d):
     from ..functions.sequence import jaccard, kmers
