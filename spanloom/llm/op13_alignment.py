@@ -8,8 +8,9 @@ tokens of both end at the same byte the text is cut into *groups*; a *link* is a
   a place, the tokens of a text are those of its segments, and as both end a token there, groups and links lie inside one.
 * Every task collects its documents into blocks of about ``block_chars`` characters: the block's distinct segments with
   their counts, and per document the numbers of its segments in order.
-* Distinct segments of the whole corpus are tokenised and aligned once.  Links of all segments, times their counts, are
-  summed per id pair; what a segment's links add to a document is summed per segment.
+* One shuffle brings equal segments of all blocks together in order.  Distinct segments get numbers and are tokenised and
+  aligned once; from there on rows name a segment by its number.  Links of all segments, times their counts, are summed per
+  id pair; what a segment's links add to a document is summed per segment.
 * Alignments are joined back to the blocks by segment, once per block and segment, and each block's documents are composed.
   So no row stands for a single occurrence, and the commonest segment has one row per block.
 
@@ -201,16 +202,37 @@ def align(segments: list[str], a: ByteLevel, b: Pieces) -> dict[str, list]:
     return {"n_a": [len(x) for x in ids_a], "groups": [";".join(g) for g in grouped], "link_a": cut_at(link_a, last_link.tolist()), "link_b": cut_at(link_b, last_link.tolist())}
 
 
-ALIGNED = "segment string, n long, n_a int, groups string, link_a array<int>, link_b array<int>"
+ALIGNED = "segment long, block long, no int, n long, n_a int, groups string, link_a array<int>, link_b array<int>"
 
 
 def align_segments(a_path: str, b_path: str):
+    """From (segment, n, block, no) rows in order of segments, all of a segment's in one task: the segments get numbers.
+
+    A row per place (segment, block, no), and one per distinct segment with its count and its alignment.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, _ = tokenizers(a_path, b_path)
+        kinds = dict(zip(("segment", "block", "no", "n", "n_a", "groups", "link_a", "link_b"), (*[pa.int64()] * 2, pa.int32(), pa.int64(), pa.int32(), pa.string(), *[pa.list_(pa.int32())] * 2), strict=True))
+
+        def rows(size: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
+
+        number, held, total = TaskContext.get().partitionId() << 40, None, 0
         for batch, segments in pieces(batches, "segment", 500_000):
-            found = align(segments, a, b)
-            kinds = [pa.int32(), pa.string(), *[pa.list_(pa.int32())] * 2]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(found.values(), kinds, strict=True))], names=[*batch.schema.names, *found])
+            fresh = np.array([x != y for x, y in zip(segments, [held, *segments], strict=False)])
+            at = number + np.cumsum(fresh) - (held is None)
+            yield rows(len(at), segment=at, block=ids_of(batch, "block"), no=ids_of(batch, "no"))
+            starts = np.flatnonzero(fresh)
+            sums = np.add.reduceat(np.r_[total, ids_of(batch, "n").to_numpy()], np.r_[0, starts + 1])
+            names = [held, *(segments[i] for i in starts)]
+            if held is None:
+                names, sums = names[1:], sums[1:]
+            if len(names) > 1:
+                yield rows(len(names) - 1, segment=number + np.arange(len(names) - 1), n=sums[:-1], **align(names[:-1], a, b))
+            number, held, total = number + len(names) - 1, names[-1], int(sums[-1])
+        if held is not None:
+            yield rows(1, segment=[number], n=[total], **align([held], a, b))
 
     return run
 
@@ -253,14 +275,16 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     blocks = materialize(rows.mapInArrow(blocks_of(a_path, b_path, block_chars), BLOCK), "alignment-blocks")
     named = blocks.where("segments is not null").select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("no", "s"))
     named = named.select("block", "no", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
-    distinct = named.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = materialize(distinct.mapInArrow(align_segments(a_path, b_path), ALIGNED), "alignment-segments")
+    ordered = named.repartition("segment").sortWithinPartitions("segment")
+    numbered = materialize(ordered.mapInArrow(align_segments(a_path, b_path), ALIGNED), "alignment-segments")
+    places, aligned = numbered.where("block is not null").select("segment", "block", "no"), numbered.where("block is null")
+    tidy(docs.sparkSession)
     pairs = materialize(pair_counts(aligned), "alignment-pairs")
     tidy(docs.sparkSession)
     sums = links_of(aligned).join(pairs, ["a", "b"]).groupBy("segment").agg(F.sum("count").alias("count_sum"), F.sum(F.col("best").cast("int")).cast("int").alias("n_best"))
-    joined = named.select("block", "no", "segment").join(aligned.select("segment", "n_a", "groups"), "segment").join(sums, "segment")
+    joined = places.join(aligned.select("segment", "n_a", "groups"), "segment").join(sums, "segment")
     answers = materialize(joined.select("block", "no", "n_a", "n_best", "count_sum", "groups"), "alignment-answers")
-    release(aligned)
+    release(numbered)
     tidy(docs.sparkSession)
     documents = blocks.where("places is not null").select(F.col("block").alias("own"), "doc_id", "places")
     kind = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", groups string"

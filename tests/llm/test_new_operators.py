@@ -204,6 +204,18 @@ def test_alignment_of_small_blocks(spark):
     assert none.collect() == [] and no_pairs.collect() == []
 
 
+def test_segments_that_run_over_batches_keep_one_number(spark):
+    rows = [(i, "the cat sat on the mat " + "the " * i) for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        docs, pairs = op13_alignment.align_documents(frame(spark, rows), *map(public_tokenizers.path, Q.ALIGNED), block_chars=30)
+        found = plain_alignment([t for _, t in rows])
+        assert {r["doc_id"]: r["groups"] for r in docs.collect()} == {i: ";".join(g) for (i, _), (_, _, g, _) in zip(rows, found, strict=True)}
+        assert {(r["a"], r["b"]): r["count"] for r in pairs.collect()} == Counter(link for *_, links in found for link in links)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_splitting_is_verified_against_the_vocabularies():
     split = op13_alignment.Splitter([b"a", b" ", b"x y", b"\n "], [b"b"]).split
     assert split(" a b x y") == [" a", " b", " x y"]  # an entry holds x and a space
