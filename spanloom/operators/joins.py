@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sweep import STRETCH, running
+
 
 def near(anchors: DataFrame, others: DataFrame, group: str, pos: str, reach: int) -> DataFrame:
     """All (anchor, other) rows of a group with positions at most ``reach`` apart.
@@ -37,13 +39,16 @@ def overlapping(left: DataFrame, right: DataFrame, group: str, bin_size: int, sl
     return met.withColumn("overlap", F.least("e", "_re") - F.greatest("s", "_rs")).drop("_bin", "_rbin", "_rs", "_re")
 
 
-def nearest_sides(points: DataFrame, others: DataFrame, group: str, pos: str, key: str) -> DataFrame:
-    """As-of both ways: the greatest other position at or before a point and the least at or after it, in one sort."""
-    both = points.select(group, F.col(pos).alias("_x"), F.col(key).alias("_k"), F.lit(None).cast("long").alias("_o")).union(others.select(group, F.col(pos), F.lit(None), F.col(pos)))
-    back = W.partitionBy(group).orderBy(F.col("_x").asc(), F.col("_o").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(group).orderBy(F.col("_x").desc(), F.col("_o").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    rows = both.withColumn("before", F.last("_o", ignorenulls=True).over(back)).withColumn("after", F.last("_o", ignorenulls=True).over(ahead))
-    return rows.where("_k is not null").select(group, F.col("_k").alias(key), F.col("_x").alias(pos), "before", "after")
+def nearest_sides(points: DataFrame, others: DataFrame, group: str, pos: str, key: str, stretch: int | None = STRETCH) -> DataFrame:
+    """As-of both ways: the greatest other position at or before a point and the least at or after it.
+
+    Distinct positions are swept in stretches, so no task sorts a whole group; a point without a group or position has null.
+    """
+    spots = points.select(group, F.col(pos).alias("_x"), F.lit(None).cast("long").alias("_o")).union(others.select(group, F.col(pos), F.col(pos)))
+    spots = spots.where(F.col(group).isNotNull() & F.col("_x").isNotNull()).groupBy(group, "_x").agg(F.max("_o").alias("_o"))
+    swept = running(running(spots, [group], "_x", "_o", "last", "before", stretch=stretch), [group], "_x", "_o", "next", "after", stretch=stretch)
+    wanted = points.select(group, F.col(key), F.col(pos).alias("_x"))
+    return wanted.join(swept.drop("_o"), [group, "_x"], "left").select(group, key, F.col("_x").alias(pos), "before", "after")
 
 
 def best_of(rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:  # noqa: ANN002

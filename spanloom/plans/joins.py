@@ -150,7 +150,7 @@ def _(spark, d):
 @query("JON-19", f"with {IV}, {_MERGED} select iv.grp, iv.member, iv.piece, min(coalesce(mg.s, iv.s))::bigint as run_s from iv left join mg on iv.grp = mg.grp and iv.member = mg.member and mg.s <= iv.s and mg.e >= iv.e group by 1, 2, 3")
 def _(spark, d):
     iv = intervals(spark, d)
-    whole = merge(iv, "grp", "member").select(F.col("grp"), F.col("member"), F.col("s").alias("run_s"), F.col("e").alias("run_e"))
+    whole = merge(iv, "grp", "member", stretch=None).select(F.col("grp"), F.col("member"), F.col("s").alias("run_s"), F.col("e").alias("run_e"))
     held = iv.join(whole, ["grp", "member"]).where("run_s <= s and run_e >= e").groupBy("grp", "member", "piece").agg(F.min("run_s").alias("run_s"))
     return iv.select("grp", "member", "piece", "s").join(held, ["grp", "member", "piece"], "left").groupBy("grp", "member", "piece").agg(F.min(F.coalesce("run_s", "s")).alias("run_s"))
 
