@@ -10,6 +10,8 @@ from ..operators import similarity as S
 from ..operators.alignment import align, covered, empty_alleles
 from ..operators.components import connected
 from ..operators.joins import best_of
+from ..operators.proteins import open_frames, query_proteins
+from ..operators.scratch import written
 from ..sources.adapters import SEQS, sequences, table
 from .registry import query
 
@@ -77,14 +79,14 @@ def _(spark, d):
 
 @query("SIM-01")
 def _(spark, d):
-    return S.open_frames(sequences(spark, d), "id", "seq", 60)
+    return open_frames(sequences(spark, d), "id", "seq", 60)
 
 
 @query("SIM-02")
 def _(spark, d):
     from ..functions.intervals import ARRAY, merged
 
-    frames = S.open_frames(sequences(spark, d), "id", "seq", 60).select("id", "s", "e")
+    frames = open_frames(sequences(spark, d), "id", "seq", 60).select("id", "s", "e")
     anchors = sequences(spark, d).select("id", F.lit(20).cast("long").alias("s"), F.lit(50).cast("long").alias("e"))
     return frames.unionByName(anchors).groupBy("id").agg(merged(F.collect_list(F.struct("s", "e"))).cast(ARRAY).alias("mask")).select("id", F.size("mask").alias("pieces"), F.element_at("mask", 1)["s"].alias("first_s"))
 
@@ -96,6 +98,22 @@ def _(spark, d):
     return best_of(hits, ["l_orderkey"], F.desc("prio"), F.desc("score"), "model").select("l_orderkey", "model", "score")
 
 
+@query("SIM-03-search")
+def _(spark, d):
+    """Every protein against a profile of each family, made of the beginnings of twenty of its proteins; one anchor each."""
+    from ..operators import profiles as R
+    from ..operators.sampling import hash_sample
+
+    rows = sequences(spark, d)
+    name = F.concat_ws(":", "id", "s", "e", "strand").alias("orf")
+    found = open_frames(rows, "id", "seq", 90).join(rows.where("family is not null").select("id", "family").distinct(), "id").select("family", name, "protein")
+    seeds = hash_sample(found, ["family"], "orf", 20, 3).select("family", F.substring("protein", 1, 24).alias("seed"))
+    matrices = written(R.build(seeds, "family", "seed"), "profiles")
+    hits = R.search(found, "orf", "protein", matrices, R.seed_cutoffs(seeds, "family", "seed", matrices))
+    families = matrices.select("model").distinct().select("model", F.col("model").alias("family"), F.when(F.col("model") == "en", 2).otherwise(1).alias("priority"))
+    return R.resolve(hits, "orf", families).withColumn("score", F.round("score", 4))
+
+
 @query("SIM-04", "with w(family, model) as (values ('first', 'Brand#1'), ('first', 'Brand#2'), ('second', 'Brand#3')), k as (select p_brand as model, count(*)::bigint as leng, max(p_retailprice) as ga from part group by 1) select family, model, leng, ga from w join k using (model)")
 def _(spark, d):
     """The configured models out of a library of all; a missing one is an error."""
@@ -243,10 +261,8 @@ def _(spark, d):
 
 @query("SIM-16")
 def _(spark, d):
-    from ..operators.sampling import sample_groups
-
-    rows = sequences(spark, d).withColumn("pref", F.length("seq"))
-    return sample_groups(rows, "clade", "id", "seq", "pref", 3, 2, "diverse")
+    """Three representatives of each bag's proteins of 60 letters or more."""
+    return query_proteins(sequences(spark, d), "clade", "id", "seq", 60, 3, 2)
 
 
 @query("AGG-18")
