@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import verdicts as V
+from ..operators.proteins import open_frames
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources.adapters import IV, SEQS, sequences, table
+from ..sources.fasta import group_of, read_fasta, write_groups
 from .registry import query
 
 
@@ -181,22 +183,31 @@ def _(spark, d):
     return K.tsv_lines(table(spark, d, "nation").withColumn("n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))), ("n_nationkey", "n_name"))
 
 
-def _written(spark, d, rows, *by):
-    """Writes to a new folder and reads it back."""
+def _sequence_files(spark, rows, group, seq):
+    """Writes a FASTA and a JSONL file per group to a new folder and reads the FASTA files back."""
     path = _folder(spark, "sink")
-    K.write_partitioned(rows, path, *by)
-    return spark.read.parquet(path)
+    write_groups(rows, path, group, "id", seq)
+    return read_fasta(spark, path).withColumn(group, group_of(F.col("file")))
 
 
 @query("SNK-02", f"with {SEQS} select clade, count(*)::bigint as n, sum(length(seq))::bigint as bases from seqs group by 1")
 def _(spark, d):
-    back = _written(spark, d, sequences(spark, d).select("clade", "id", "seq"), "clade")
-    return back.groupBy("clade").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("bases"))
+    back = _sequence_files(spark, sequences(spark, d).select("clade", "id", "seq"), "clade", "seq")
+    return back.groupBy("clade").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sequence")).alias("bases"))
 
 
 @query("SNK-03", f"with {SEQS} select family, count(*)::bigint as n from seqs group by 1")
 def _(spark, d):
-    return _written(spark, d, sequences(spark, d).select("family", "id"), "family").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return _sequence_files(spark, sequences(spark, d).select("family", "id", "seq"), "family", "seq").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SNK-03-proteins")
+def _(spark, d):
+    """A file of proteins per family: how many there are, and their letters."""
+    rows = sequences(spark, d)
+    found = open_frames(rows, "id", "seq", 60).withColumnRenamed("id", "source").join(rows.select(F.col("id").alias("source"), "family").distinct(), "source")
+    back = _sequence_files(spark, found.withColumn("id", F.concat_ws(":", "source", "s", "e", "strand")), "family", "protein")
+    return back.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sequence")).alias("letters"))
 
 
 @query("SNK-04", f"with {SEQS} select '>' || clade || '|' || id::varchar || chr(10) || substr(seq, 11, 50) as value from seqs where length(substr(seq, 11, 50)) >= 10 and id % 4 <> 0")

@@ -82,7 +82,8 @@ def test_texts_are_taken_whole(spark, tmp_path):
     assert len(found) == 6 and (found[0], found[1], found[2]) == (0, 1, 0)
     every = {(i, *x) for i, t in seqs.items() for x in frames_of(t, 183)}
     kept = {(r["id"], r["s"], r["e"], r["strand"], r["protein"]) for r in run("SIM-16")}
-    assert kept <= every and len(kept) == 3 and max(len(x[-1]) for x in kept) == max(len(x[-1]) for x in every)
+    assert kept <= every and len(kept) <= 3 and max(len(x[-1]) for x in kept) == max(len(x[-1]) for x in every)
+    assert {x[-1][:6] for x in kept} == {x[-1][:6] for x in every}  # each kind has a representative
 
 
 def test_stop_free_is_the_longest_open_run():
