@@ -259,6 +259,16 @@ def _(spark, d):
     return K.merge_shards([rows.where(F.col("l_orderkey") % 4 == i) for i in range(4)])
 
 
+@query("SNK-10-audit", "with e as (select o_orderkey % 4 as shard, count(*) as expected from orders group by 1), k as (select l_orderkey % 4 as shard, count(distinct l_orderkey) as n from lineitem group by 1) select shard, n::varchar || ' rows, ' || expected::varchar || ' expected' as problem from (select e.shard, coalesce(n, 0) as n, expected from e left join k using (shard)) where n <> expected")
+def _(spark, d):
+    """Orders that have lines, in four shards, against the orders there are."""
+    from ..operators.audit import shard_problems
+
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 4).alias("shard"), "l_orderkey").distinct()
+    told = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 4).alias("shard")).agg(F.count(F.lit(1)).alias("expected"))
+    return shard_problems(rows, told.withColumn("complete", F.lit(True)).withColumn("parameters", F.create_map(F.lit("key"), F.lit("l_orderkey"))))
+
+
 @query("SNK-11", "select o_orderstatus as family, count(*)::bigint as n, count(distinct o_custkey)::bigint as genomes from orders group by 1")
 def _(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
