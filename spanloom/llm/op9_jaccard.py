@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ids_of, materialize, pieces, release
+from .common import ids_of, materialize, pieces, release, tidy
 from .components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -439,9 +439,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         if fresh:
             links = links.union(compare(found, opened, percent, part_tokens))
         if fresh or labels is None:
+            stars = components(links)
             if labels is not None:
                 release(labels)
-            labels = materialize(components(links), "jaccard-labels")
+            labels = materialize(stars, "jaccard-labels")
+            # the next level's links join stars, not all links again
+            links = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        tidy(spark)
 
     heads = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"))
     named = heads.join(labels, heads["class"] == labels["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "head")

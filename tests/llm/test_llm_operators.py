@@ -672,3 +672,23 @@ def test_long_texts_without_spaces_take_linear_time():
         began = time.perf_counter()
         assert op10_tokens.count_texts([text], own, 8_192, 256) == [want]
         assert time.perf_counter() - began < 3 * whole + 2
+
+
+def test_components_leave_no_broadcasts_and_end_without_a_round_to_spare(spark, monkeypatch):
+    from spanloom.llm import components as C
+
+    rounds = []
+    held = C.materialize
+
+    def noted(df, label):
+        rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return held(df, label)
+
+    monkeypatch.setattr(C, "materialize", noted)
+    stars = spark.createDataFrame([(5, 1), (7, 1), (9, 2), (2, 9)], "a long, b long")
+    assert {tuple(r) for r in C.components(stars).collect()} == {(5, 1), (7, 1), (9, 2)}
+    assert len(rounds) == 1  # stars are seen to be ones
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (60, 55)], "a long, b long")
+    assert {tuple(r) for r in C.components(path).collect()} == {(i, 0) for i in range(1, 41)} | {(60, 50), (55, 50)}
+    assert not any("Broadcast" in plan for plan in rounds)
+    assert C.components(stars.limit(0)).count() == 0
