@@ -319,3 +319,23 @@ def test_round_trip_of_a_window(spark):
     got = df.withColumn("g", place).select(I.round_trip(F.col("contig"), F.col("win"), F.col("g"), F.lit(1), F.lit(5), F.col("strand")).alias("p"))
     # a planted mismatch, and a contig that ends inside the window: on strand - the map is off by what is missing
     assert [r["p"] for r in got.collect()] == [True, True, False, True, False]
+
+
+def test_permutations_are_uniform_and_are_not_exploded(spark):
+    from math import comb
+
+    from spanloom.operators.statistics import permutation_p
+
+    rows = spark.createDataFrame([(i, float(i), int(i in (5, 6, 9))) for i in range(10)], "k long, v double, y int")
+    exact = sum(a + b + c >= 20 for a in range(10) for b in range(a) for c in range(b)) / comb(10, 3)
+    for block_rows in (3, 100):  # some blocks, and one
+        out = permutation_p(rows, "k", "v", "y", 4000, 7, block_rows, 500)
+        (got,) = out.collect()
+        assert got["observed"] == 20 / 3
+        assert abs(got["p"] - exact) < 0.03
+        assert permutation_p(rows.repartition(5), "k", "v", "y", 4000, 7, block_rows, 500).collect() == [got]
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # no sort of rows x replicates
+    assert permutation_p(rows.where("k < 0"), "k", "v", "y", 10, 1).collect() == []
+    assert permutation_p(rows.where("y = 0"), "k", "v", "y", 10, 1).collect() == []
+    (all_positive,) = permutation_p(rows.where("y = 1"), "k", "v", "y", 10, 1).collect()
+    assert all_positive["p"] == 1
