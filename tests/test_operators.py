@@ -339,3 +339,35 @@ def test_permutations_are_uniform_and_are_not_exploded(spark):
     assert permutation_p(rows.where("y = 0"), "k", "v", "y", 10, 1).collect() == []
     (all_positive,) = permutation_p(rows.where("y = 1"), "k", "v", "y", 10, 1).collect()
     assert all_positive["p"] == 1
+
+
+def test_stop_free_runs_of_many_shuffles_at_once():
+    import random
+    import time
+
+    import numpy as np
+
+    from spanloom.operators import similarity as S
+
+    def slow(seq):
+        turned, best = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1], 0
+        for s in (seq, turned):
+            for f in range(3):
+                run = 0
+                for i in range(f, len(s) - 2, 3):
+                    run = 0 if s[i : i + 3] in ("TAA", "TAG", "TGA") else run + 3
+                    best = max(best, run)
+        return best
+
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 4, 5, 6, 50, 400):
+        rows = ["".join(rng.choices("ACGTN", (4, 1, 1, 4, 0.2), k=n)) for _ in range(20)]
+        assert S.stop_free_rows(np.stack([S._letter_codes(x) for x in rows])).tolist() == [slow(x) for x in rows] == [S.stop_free(x) for x in rows]
+    seq = "A" * 30 + "T" * 30 + "G" * 40
+    runs = S.shuffled_stop_free(seq, 4000, 3)
+    plain = [slow("".join(rng.sample(seq, len(seq)))) for _ in range(4000)]
+    assert len(runs) == 4000 and abs(runs.mean() - np.mean(plain)) < 1 and abs(runs.std() - np.std(plain)) < 1
+    long, began = "".join(rng.choices("ACGT", k=200_000)), time.process_time()
+    assert len(S.shuffled_stop_free(long, 60, 1)) == 60
+    assert time.process_time() - began < 4  # 8 s by one shuffle at a time
+    assert S.shuffled_stop_free("", 60, 0).tolist() == [0] * 60
