@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import jaccard, kmers, tie_key
-from .scratch import release, written
+from .scratch import written
 
 
 def hash_rank(rows: DataFrame, groups: Sequence[str], key: str, seed: int | str) -> DataFrame:
@@ -68,42 +68,45 @@ def profiles(rows: DataFrame, group: str, key: str, seq: str, pref: str, seed: i
 def spread(placed: DataFrame, n: int) -> DataFrame:
     """grp, round, seed, bag: up to ``n`` rows of each group that are far from each other, in the order of their choice.
 
-    A round is one aggregation, the row with the greatest gap to all seeds before it, then ``pref``, then ``tie``; and one
-    join that narrows the gaps.  A group of any size is spread over all tasks, and only ids and gaps are written.
+    A round is one pass and one aggregation over the rows as they lie: the row with the greatest gap to all seeds before it,
+    then ``pref``, then ``tie``.  Gaps are worked out anew from the few seeds of a group, so neither rows nor gaps are joined,
+    shuffled or written between rounds, and a group of any size is spread over all tasks.
     """
-    gaps, out = None, None
+    out = None
+    best = F.max_by(F.struct("id", "bag"), F.struct("gap", "pref", "tie")).alias("s")
     for number in range(n):
-        state = placed.withColumn("gap", F.lit(1.0)) if gaps is None else placed.join(gaps, ["grp", "id"])
-        best = F.max_by(F.struct("id", "bag"), F.struct("gap", "pref", "tie")).alias("s")
+        if out is None:
+            state = placed.withColumn("gap", F.lit(1.0))
+        else:
+            held = out.groupBy(F.col("grp").alias("_grp")).agg(F.collect_list(F.struct("seed", "bag")).alias("_seeds"))
+            near = F.array_min(F.transform("_seeds", lambda s: 1 - jaccard(F.col("bag"), s["bag"])))  # noqa: B023
+            left = placed.join(held, F.col("grp").eqNullSafe(F.col("_grp"))).where(~F.exists("_seeds", lambda s: s["seed"] == F.col("id")))
+            state = left.withColumn("gap", F.least(F.lit(1.0), near))
         top = written(state.groupBy("grp").agg(best).select("grp", F.lit(number).alias("round"), F.col("s.id").alias("seed"), F.col("s.bag").alias("bag")), "seeds")
+        if out is not None and not top.take(1):
+            break
         out = top if out is None else out.unionByName(top)
-        if number + 1 < n:
-            last = top.select("grp", "seed", F.col("bag").alias("_bag"))
-            narrowed = state.join(last, "grp").where("id <> seed").select("grp", "id", F.least("gap", 1 - jaccard(F.col("bag"), F.col("_bag"))).alias("gap"))
-            following = written(narrowed, "gaps")
-            if gaps is not None:
-                release(gaps)
-            gaps = following
-            if not gaps.take(1):
-                break
     return out
 
 
-def by_typicality(placed: DataFrame, seeds: DataFrame, probes: int = 40) -> DataFrame:
-    """grp, id, seed, depth: rows under their most similar seed, from the most preferred and typical one on.
+def by_typicality(placed: DataFrame, seeds: DataFrame, most: int, probes: int = 40) -> DataFrame:
+    """grp, id, seed, depth up to ``most``: rows under their most similar seed, from the most preferred and typical one on.
 
     Equal similarities are told apart by a hash of row and seed together, so near-copies do not all fall to one seed.
-    Typical is who is similar to the ``probes`` rows of the group with the smallest hashes.
+    Typical is who is similar to the ``probes`` rows of the group with the smallest hashes.  That is worked out where it
+    can matter: for rows with fewer than ``most`` more preferred ones under their seed.
     """
     held = seeds.groupBy("grp").agg(F.collect_list(F.struct("seed", "bag")).alias("seeds"))
     likeness = lambda s: F.struct(jaccard(F.col("bag"), s["bag"]).alias("j"), F.sha1(F.concat("tie", F.lit("|"), s["seed"])).alias("h"), s["seed"].alias("seed"))
-    near = placed.join(held, "grp").withColumn("seed", F.array_max(F.transform("seeds", likeness))["seed"]).drop("seeds")
+    near = written(placed.join(held, "grp").withColumn("seed", F.array_max(F.transform("seeds", likeness))["seed"]).select("grp", "id", "seed", "pref", "tie"), "near-seeds")
+    bags = placed.select("grp", "id", "bag")
     few = near.withColumn("_rn", F.row_number().over(W.partitionBy("grp", "seed").orderBy("tie", "id"))).where(F.col("_rn") <= probes)
-    probe = few.groupBy("grp", "seed").agg(F.sort_array(F.collect_list(F.struct("_rn", "bag"))).alias("probe"))
+    probe = bags.join(few, ["grp", "id"]).groupBy("grp", "seed").agg(F.sort_array(F.collect_list(F.struct("_rn", "bag"))).alias("probe"))
     weight = F.aggregate(F.transform("probe", lambda p: jaccard(F.col("bag"), p["bag"])), F.lit(0.0), lambda x, y: x + y)
-    weighed = near.join(probe, ["grp", "seed"]).select("grp", "id", "seed", "pref", "tie", weight.alias("weight"))
+    first = near.withColumn("_rank", F.rank().over(W.partitionBy("grp", "seed").orderBy(F.desc("pref")))).where(F.col("_rank") <= most)
+    weighed = bags.join(first, ["grp", "id"]).join(probe, ["grp", "seed"]).select("grp", "id", "seed", "pref", "tie", weight.alias("weight"))
     order = W.partitionBy("grp", "seed").orderBy(F.desc("pref"), F.desc("weight"), F.desc("tie"))
-    return weighed.select("grp", "id", "seed", F.row_number().over(order).alias("depth"))
+    return weighed.select("grp", "id", "seed", F.row_number().over(order).alias("depth")).where(F.col("depth") <= most)
 
 
 def sample_groups(rows: DataFrame, group: str, key: str, seq: str, pref: str, cap: int, seed: int, mode: str = "stratified", dedup: bool = False) -> DataFrame:
@@ -131,7 +134,7 @@ def sample_groups(rows: DataFrame, group: str, key: str, seq: str, pref: str, ca
     if mode == "diverse":
         laid = seeds.select("grp", F.col("seed").alias("id"), F.lit(1).alias("depth"), F.lpad(F.col("round").cast("string"), 10, "0").alias("_turn"))
     else:
-        laid = by_typicality(placed, seeds).select("grp", "id", "depth", F.col("seed").alias("_turn"))
+        laid = by_typicality(placed, seeds, 1 if mode == "representatives" else cap).select("grp", "id", "depth", F.col("seed").alias("_turn"))
     if mode == "representatives":
         laid = laid.where("depth = 1")
     else:

@@ -371,3 +371,22 @@ def test_stop_free_runs_of_many_shuffles_at_once():
     assert len(S.shuffled_stop_free(long, 60, 1)) == 60
     assert time.process_time() - began < 4  # 8 s by one shuffle at a time
     assert S.shuffled_stop_free("", 60, 0).tolist() == [0] * 60
+
+
+def test_spread_joins_no_rows_between_rounds_and_weighs_only_rows_that_can_be_taken(spark, monkeypatch):
+    written, tables = sampling.written, []
+
+    def noted(df, label):
+        tables.append((label, df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, label)
+
+    monkeypatch.setattr(sampling, "written", noted)
+    rows = spark.createDataFrame([("c", str(i), "ACGT" * (i % 7) + "GATTACA" * (i % 5) + "C" * i, i // 4) for i in range(60)], _SAMPLED)
+    placed = sampling.profiles(rows, "clade", "id", "seq", "pref", 1)
+    seeds = sampling.spread(placed, 3)
+    assert {label for label, _, _ in tables} == {"seeds"}  # no table of all rows
+    whole = {(r["id"], r["seed"]): r["depth"] for r in sampling.by_typicality(placed, seeds, 10**6).collect()}
+    assert len(whole) == 60
+    some = {(r["id"], r["seed"]): r["depth"] for r in sampling.by_typicality(placed, seeds, 2).collect()}
+    assert some == {k: depth for k, depth in whole.items() if depth <= 2}
+    assert all("bag" not in columns for label, columns, _ in tables if label == "near-seeds")
