@@ -11,7 +11,8 @@ Jaccard distance is a metric; two documents link within the radius r = 1 - simil
   its exact distance to all of them.  Within 2r of a pivot it lies in the Voronoi region of its nearest one, else in the
   outer region; one within r of its pivot is linked to it.  By the triangle inequality a boundary document is replicated
   into each region where it can have a partner: those of pivots within 2r of its nearest distance and within r of the
-  region's radius, the greatest distance of its own documents; and the outer one unless a pivot is within r.
+  region's radius, the greatest distance of its own documents; and the outer one unless a pivot is within r.  A pair of two
+  own regions is in reach in both and meets in the lesser one, so regions greater than the own one hold no copies.
 * Next levels.  A region is divided by the shingles that a link makes necessary, and each such list has pivots of its own,
   its most central documents: the others are compared with those first, level by level with more of them, and what links
   becomes one component.  Pairs inside one component are never made, which settles large groups of copies.
@@ -404,25 +405,33 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     radius = {r[0]: r[1] for r in placed.where(F.col("own") >= 0).groupBy("own").agg(F.max(F.array_min("distance"))).collect()}
     reach = F.array(*[F.lit(float(radius.get(p, 0.0)) + 1 - percent / 100 + SLACK) for p in range(len(chosen.value))]) if radius else F.array().cast("array<double>")
     within = lambda e: (e["near"] == F.col("own")) | (e["distance"] <= F.get(reach, e["near"]))
-    windows = F.transform(F.filter(F.arrays_zip("near", "distance"), within), lambda e: e["near"])
+    # a pair meets in the lesser of its two own regions, where either is; so greater regions than its own hold no copy of a document
+    windows = F.transform(F.filter(F.arrays_zip("near", "distance"), lambda e: within(e) & (e["near"] <= F.col("own"))), lambda e: e["near"])
     outer = F.when(F.col("pivot").isNull(), F.array(F.lit(OUTER))).otherwise(F.array().cast("array<int>"))
-    level = materialize(placed.select("class", "n", "alone", "pivot", F.explode(F.concat(windows, outer)).alias("region"), "tokens"), "jaccard-regions")
+    level = materialize(placed.select("class", "n", "alone", "pivot", F.col("own").alias("home"), F.explode(F.concat(windows, outer)).alias("region"), "tokens"), "jaccard-regions")
 
-    def lists(labels: DataFrame | None) -> DataFrame:
-        """A row per region, necessary shingle and document; equal labels are one component."""
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        """Equal labels are one component.  Written, as the lists are read several times."""
         if labels is None:
-            labelled = level.withColumn("label", F.coalesce("pivot", "class"))
-        else:
-            labelled = level.join(labels, level["class"] == labels["node"], "left").withColumn("label", F.coalesce("root", "class"))
-        wide = labelled.select("class", "n", "alone", "label", "region", F.posexplode("tokens").alias("at", "token"))
-        return wide.select("region", "token", "class", "n", "label", (F.col("alone") / F.col("n")).alias("own"), (F.col("alone") + F.col("at")).alias("pos"))
+            return level.withColumn("label", F.coalesce("pivot", "class"))
+        met = level.join(labels, level["class"] == labels["node"], "left")
+        return materialize(met.select(*level.columns, F.coalesce("root", "class").alias("label")), "jaccard-labelled")
+
+    def lists(labelled: DataFrame) -> DataFrame:
+        """A row per region, necessary shingle and document."""
+        each = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.get("tokens", i - 1).alias("before")))
+        wide = labelled.select("class", "n", "alone", "label", "home", "region", F.posexplode(each).alias("at", "t"))
+        return wide.select("region", "t.token", "t.before", "class", "n", "label", "home", (F.col("alone") / F.col("n")).alias("own"), (F.col("alone") + F.col("at")).alias("pos"))
 
     side = lambda a, b: [F.least(f"{a}.class", f"{b}.class").alias("a"), F.greatest(f"{a}.class", f"{b}.class").alias("b"), F.when(F.col(f"{a}.class") < F.col(f"{b}.class"), F.col(f"{a}.n")).otherwise(F.col(f"{b}.n")).alias("n_a"), F.when(F.col(f"{a}.class") < F.col(f"{b}.class"), F.col(f"{b}.n")).otherwise(F.col(f"{a}.n")).alias("n_b")]
     same = (F.col("x.region") == F.col("y.region")) & (F.col("x.token") == F.col("y.token"))
-    differ = (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent)
+    # documents that share the shingle before this one too have met in its list
+    first = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & (F.col("x.region") == F.least("x.home", "y.home"))
+    differ = (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent) & first
     compared, labels, low = [], None, 0
     for high in (*centres, None):
-        held = lists(labels)
+        named = labelled(labels)
+        held = lists(named)
         if high is not None:  # the low-th to high-th most central documents of a list, those with fewest shingles of their own
             rank = F.row_number().over(W.partitionBy("region", "token").orderBy("own", "class"))
             some = held.withColumn("_rank", rank).where(F.col("_rank") <= high).where(F.col("_rank") > low)
@@ -434,6 +443,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         for c in compared:
             found = found.join(c.select("a", "b"), ["a", "b"], "left_anti")
         found = materialize(found, "jaccard-pairs")
+        release(named)
         compared.append(found)
         fresh = bool(found.take(1))
         if fresh:

@@ -615,6 +615,29 @@ def test_components_by_brute_force(spark, pivots, tokens, centres, frequent):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == slow_components(rows)
 
 
+def test_a_pair_meets_in_one_region_only(spark, monkeypatch):
+    """Near copies about each other's pivots: no document is copied into a region greater than its own."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{rng.randrange(9000)}" if rng.random() < 0.03 else w for w in base)) for i in range(60)]
+    written = {}
+
+    def kept(df, label, write=op9_jaccard.materialize):
+        out = write(df, label)
+        if label == "jaccard-regions":
+            written[label] = out.select("class", "region").collect()
+        elif label == "jaccard-placed":
+            written[label] = {r["class"]: r["own"] for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(op9_jaccard, "materialize", kept)
+    got = op9_jaccard.link(frame(spark, [(i, t, None, None) for i, t in rows]))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == slow_components(rows)
+    own = written["jaccard-placed"]
+    assert len(set(own.values())) > 2
+    assert all(r["region"] <= own[r["class"]] for r in written["jaccard-regions"])
+
+
 def test_one_of_each_component_stays(spark, odd, none):
     kept = op9_jaccard.keep_one(odd)
     assert kept.columns == odd.columns
