@@ -11,8 +11,8 @@ tokens of both end at the same byte the text is cut into *groups*; a *link* is a
 * One shuffle brings equal segments of all blocks together in order.  Distinct segments get numbers and are tokenised and
   aligned once; from there on rows name a segment by its number.  Links of all segments, times their counts, are summed per
   id pair; what a segment's links add to a document is summed per segment.
-* Alignments are joined back to the blocks by segment, once per block and segment, and each block's documents are composed.
-  So no row stands for a single occurrence, and the commonest segment has one row per block.
+* Alignments are joined back to the blocks by segment, once per block and segment, and travel to them as compressed messages,
+  from which each block's documents are composed.  So no row stands for a single occurrence, and the commonest segment has one row per block.
 
 Why the bytes of a text need not be compared token by token: all 256 bytes are entries of A and of B, so either joins to
 what its normalisation leaves of the text.  A file of A with a normaliser is refused; for B the normalised text is compared.
@@ -237,15 +237,44 @@ def align_segments(a_path: str, b_path: str):
     return run
 
 
+ANSWER = pa.schema([("no", pa.int32()), ("n_a", pa.int32()), ("n_best", pa.int32()), ("count_sum", pa.int64()), ("groups", pa.string())])
+
+
+def bundled(batches: Iterator[pa.RecordBatch], most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Answers as compressed messages, one per block and about ``most`` bytes of a task, so that rows are not shuffled one by one."""
+    squeeze, held = zstandard.ZstdCompressor(3).compress, []
+
+    def flush() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("no", "ascending")]).combine_chunks()
+        block, no = whole.column("block").to_numpy(), whole.column("no").to_numpy()
+        # numbers are kept as steps, which are small
+        answers = whole.select(ANSWER.names).set_column(0, "no", pa.array(np.diff(no, prepend=0).astype(np.int32))).cast(ANSWER)
+        edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        first = pa.array(no[edge[:-1]], pa.int32())
+        parts = [answers.slice(i, j - i).combine_chunks().to_batches()[0] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]], pa.int64()), first, pa.array([squeeze(p.serialize()) for p in parts], pa.binary())], names=["block", "first", "held"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield flush()
+            held.clear()
+    if held:
+        yield flush()
+
+
 def compose(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's documents from the alignments of its segments.
 
     Tokens are told from the text: a group of p and q has p + q - 2 commas, and p + q - 1 links.
     """
-    order = np.argsort(right.column("no").to_numpy(), kind="stable")
+    expand = zstandard.ZstdDecompressor().decompress
+    parts = [pa.ipc.read_record_batch(pa.py_buffer(expand(x)), ANSWER) for x in right.column("held").to_pylist()]
+    numbers = [first + np.r_[0, np.cumsum(p.column(0).to_numpy()[1:])] for first, p in zip(right.column("first").to_pylist(), parts, strict=True)]
+    order, right = np.argsort(np.concatenate([np.zeros(0, np.int64), *numbers]), kind="stable"), pa.Table.from_batches(parts, ANSWER)
     groups = pa.concat_arrays(right.column("groups").chunks).take(pa.array(order)) if len(order) else pa.array([], pa.string())
     values = [right.column(m).to_numpy()[order].astype(np.int64) for m in ("n_a", "n_best", "count_sum")]
-    expand = zstandard.ZstdDecompressor().decompress
     places = [np.frombuffer(expand(p) if p else b"", np.int32) for p in left.column("places").to_pylist()]
     offset = np.r_[0, np.cumsum([len(p) for p in places])].astype(np.int64)
     flat = np.concatenate([np.zeros(0, np.int32), *places])
@@ -277,6 +306,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     named = named.select("block", "no", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
     ordered = named.repartition("segment").sortWithinPartitions("segment")
     numbered = materialize(ordered.mapInArrow(align_segments(a_path, b_path), ALIGNED), "alignment-segments")
+    documents = materialize(blocks.where("places is not null").select(F.col("block").alias("own"), "doc_id", "places"), "alignment-documents")
+    release(blocks)
     places, aligned = numbered.where("block is not null").select("segment", "block", "no"), numbered.where("block is null")
     tidy(docs.sparkSession)
     pairs = materialize(pair_counts(aligned), "alignment-pairs")
@@ -286,6 +317,6 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_i
     answers = materialize(joined.select("block", "no", "n_a", "n_best", "count_sum", "groups"), "alignment-answers")
     release(numbered)
     tidy(docs.sparkSession)
-    documents = blocks.where("places is not null").select(F.col("block").alias("own"), "doc_id", "places")
     kind = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", groups string"
-    return documents.groupBy("own").cogroup(answers.groupBy("block")).applyInArrow(compose, kind), pairs
+    messages = answers.mapInArrow(bundled, "block long, first int, held binary")
+    return documents.groupBy("own").cogroup(messages.groupBy("block")).applyInArrow(compose, kind), pairs

@@ -8,9 +8,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 from spanloom.llm import op11_chosen_path, op12_whitening, op13_alignment
@@ -221,3 +223,26 @@ def test_splitting_is_verified_against_the_vocabularies():
     assert split(" a b x y") == [" a", " b", " x y"]  # an entry holds x and a space
     partial = op13_alignment.Splitter([b"\xa0 "], [b"b"]).split
     assert partial(" a b") == [" a b"]  # what begins inside a character may follow any
+
+
+def test_answers_travel_as_one_message_a_block():
+    """Documents come out as from single rows, and a message is far smaller than they are."""
+    n = 3000
+    rows = {"block": np.arange(n) % 2, "no": np.arange(n)[::-1] // 2, "n_a": np.ones(n), "n_best": np.zeros(n), "count_sum": np.arange(n), "groups": [f"{i}|{i + 1}" for i in range(n)]}
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(list(v)).cast(k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+    sent = list(op13_alignment.bundled(iter([batch.slice(0, 1000), batch.slice(1000)])))
+    assert [b.num_rows for b in sent] == [2]
+    assert sent[0].nbytes < batch.nbytes / 2
+    messages = pa.Table.from_batches(list(op13_alignment.bundled(iter([batch.slice(0, 1000), batch.slice(1000)]), most=1)))  # several a block
+    assert messages.num_rows == 4
+    places = zstandard.ZstdCompressor(1).compress(np.array([0, 1, n // 2 - 1, 0], np.int32).tobytes())
+    left = pa.table({"doc_id": pa.array([7, 8], pa.int64()), "places": pa.array([places, b""], pa.binary())})
+    own = messages.filter(pa.array(messages.column("block").to_numpy() == 0))
+    got = op13_alignment.compose(left, own).to_pylist()
+    held = {no: (c, g) for b, no, c, g in zip(rows["block"], rows["no"], rows["count_sum"], rows["groups"], strict=True) if b == 0}
+    asked = [held[i] for i in (0, 1, n // 2 - 1, 0)]
+    assert got[0]["groups"] == ";".join(g for _, g in asked)
+    assert got[0]["count_sum"] == sum(c for c, _ in asked)
+    assert (got[0]["n_a"], got[0]["n_b"], got[0]["n_groups"], got[0]["n_links"]) == (4, 4, 4, 4)
+    assert got[1]["groups"] == "" and got[1]["n_a"] == 0
