@@ -299,6 +299,31 @@ def test_pairs_and_clusters_of_common_kmers_are_whole(spark, bound):
     assert found == {i: root[i] for i, s in enumerate(seqs) if s is not None}
 
 
+def test_rungs_nest_and_compare_only_families_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    near = lambda s, p: "".join(rng.choice("ACGT") if rng.random() < p else c for c in s)
+    seqs = [word(60 + i) for i in range(90)]
+    for f in range(4):
+        root = word(400)
+        seqs += [near(root, p) for p in (0, 0.002, 0.002, 0.01, 0.03)] + [root]
+    rows = [(None if i % 31 == 5 else "g", i, s) for i, s in enumerate(seqs)]
+    sets = [{s[o : o + 11] for o in range(len(s) - 10)} for s in seqs]
+    values = {(a, b): v for g, a, _ in rows for h, b, _ in rows[a + 1 :] if g == h and (v := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.3}
+    df = spark.createDataFrame(rows, "grp string, id long, seq string")
+    compared, real = [], similarity._links
+    monkeypatch.setattr(similarity, "_links", lambda sized, *a: (compared.append(sized.count()), real(sized, *a))[1])
+    found = {(r["rung"], r["id"]): r["cluster"] for r in similarity.rungs(df, "grp", "id", "seq", (1.0, 0.9, 0.7), bound=3000).collect()}
+    assert max(compared) <= 4 * 6
+    for least in (1.0, 0.9, 0.7):
+        root = list(range(len(seqs)))
+        for (a, b), v in values.items():
+            if v >= least:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+        assert {i: c for (rung, i), c in found.items() if rung == least} == dict(enumerate(root))
+
+
 @pytest.mark.parametrize("mode", ["stratified", "diverse"])
 def test_greedy_samples_see_the_whole_group(spark, mode):
     rng = random.Random(9)
