@@ -324,6 +324,19 @@ def test_rungs_nest_and_compare_only_families_of_a_large_group(spark, monkeypatc
         assert {i: c for (rung, i), c in found.items() if rung == least} == dict(enumerate(root))
 
 
+def test_greatest_value_with_least_key_without_a_sort(spark):
+    from spanloom.operators.joins import greatest_of
+
+    rng = random.Random(3)
+    keys = [5, 6, (1 << 47) - 1, 1 << 47, (1 << 62) + 1, -4]
+    rows = [(i % 40, rng.choice([0, 3, 4, (1 << 15) - 1, 1 << 15, 1 << 40]) if i % 40 > 9 else i % 3, rng.choice(keys)) for i in range(400)]
+    got = greatest_of(spark.createDataFrame(rows, "g long, v long, k long"), ["g"], "v", "k")
+    want = {g: max(((v, -k) for h, v, k in rows if h == g)) for g in range(40)}
+    assert {r["g"]: (r["v"], -r["k"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Window" not in plan and "Sort " not in plan
+
+
 @pytest.mark.parametrize("mode", ["stratified", "diverse"])
 def test_greedy_samples_see_the_whole_group(spark, mode):
     rng = random.Random(9)
