@@ -71,7 +71,7 @@ def _(spark, d):
 @query("JON-08", f"with {IV}, b as (select grp, member, s, e from iv where piece = 1), o as (select grp, member, s, e from iv where piece <> 1), m as (select b.grp, b.member, o.member as r_member, least(b.e, o.e) - greatest(b.s, o.s) as overlap, row_number() over (partition by b.grp, b.member order by least(b.e, o.e) - greatest(b.s, o.s) desc, o.member) as rn from b join o on b.grp = o.grp and b.s < o.e and o.s < b.e) select grp, member, r_member, overlap from m where rn = 1")
 def _(spark, d):
     iv = intervals(spark, d)
-    met = J.overlapping(iv.where("piece = 1").select("grp", "member", "s", "e"), iv.where("piece <> 1").select("grp", "member", "s", "e"), "grp", 256)
+    met = J.overlapping(iv.where("piece = 1").select("grp", "member", "s", "e"), iv.where("piece <> 1").select("grp", "member", "s", "e"), "grp", 1024)
     return J.greatest_of(met, ["grp", "member"], "overlap", "r_member").select("grp", "member", "r_member", "overlap")
 
 
