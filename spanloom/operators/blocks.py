@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import trim_member
 from ..functions.verdicts import length_consistency, tightness
 from .joins import best_of, overlapping
+from .scratch import written
 from .sweep import coverage, runs
 
 
@@ -41,9 +42,9 @@ def call_blocks(segments: DataFrame, windows: DataFrame, least_recurrence: float
     need = F.greatest(F.lit(least_members), F.bround(F.lit(least_recurrence) * F.col("n"))).cast("long")
     clades = windows.where(F.col("n") >= least_members).select("clade", "n", need.alias("need"))
     on_axis = segments.select("clade", "member", F.col("rs").alias("s"), F.col("re").alias("e"))
-    depth = coverage(on_axis, "clade", "member", merged=True).join(clades, "clade")
+    depth = written(coverage(on_axis, "clade", "member", merged=True), "block-depth").join(clades, "clade")
     called = runs(depth, "clade", "need").where(F.col("e") - F.col("s") >= least_len)
-    called = called.withColumn("block", F.row_number().over(W.partitionBy("clade").orderBy("s")))
+    called = written(called.withColumn("block", F.row_number().over(W.partitionBy("clade").orderBy("s"))), "blocks")
     pieces = segments.select("clade", "member", F.col("rs").alias("s"), F.col("re").alias("e"), "ms", "me", "strand")
     met = overlapping(called, pieces, "clade", bin_size)
     cut = met.withColumn("t", trim_member(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e"), F.col("r_ms"), F.col("r_me"), F.col("r_strand"))).where("t is not null")

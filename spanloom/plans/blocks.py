@@ -20,10 +20,10 @@ def _segments(spark, d):
 def _(spark, d):
     """Segments to scored blocks, with a recurrence that the sparse order intervals can reach."""
     segments, windows = _segments(spark, d)
-    return B.call_blocks(segments, windows, least_recurrence=0.02, least_members=3, least_len=5)[0].withColumn("composite", F.round("composite", 4))
+    return B.call_blocks(segments, windows, least_recurrence=0.02, least_members=3, least_len=5, bin_size=1024)[0].withColumn("composite", F.round("composite", 4))
 
 
 @query("A1-block-members")
 def _(spark, d):
     segments, windows = _segments(spark, d)
-    return B.call_blocks(segments, windows, least_recurrence=0.02, least_members=3, least_len=5)[1]
+    return B.call_blocks(segments, windows, least_recurrence=0.02, least_members=3, least_len=5, bin_size=1024)[1]
