@@ -107,3 +107,13 @@ def test_rungs_and_shuffles_are_the_surveys(spark):
     assert {r["rung"] for r in catalog.queries()["AGG-18"](spark, DATA).collect()} == {1.0, 0.95, 0.9, 0.7}
     (row,) = catalog.queries()["STA-02"](spark, DATA).collect()
     assert row["p"] * 20001 == pytest.approx(round(row["p"] * 20001)) and row["p"] * 201 != pytest.approx(round(row["p"] * 201))
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    listed = "import __spark_entry__ as e; print('op11_near_duplicates' in e.queries(), len(e.oracle_sql()) > 200)"
+    done = subprocess.run([sys.executable, "-c", listed], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "True"], done.stderr
