@@ -8,17 +8,22 @@
 
 Before sequences are fetched a sketch, four bits of 128 minwise hashes, lets pairs go that differ by six standard deviations
 more than those at the threshold.  Sequences shorter than a k-mer link with none but their equals and take no part.
+
+Where all pairs are the result (``near_pairs``), rows of a group meet in blocks by 256 minwise hashes of 16 bits, without their
+sequences, and sequences are fetched for pairs that have enough of them in common.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +123,7 @@ def _plausible(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, bound: int) -> DataFrame:
-    """The links among ``pairs`` (a, b, n_b), as a, b; a part holds about ``bound`` letters of b's, each sequence once."""
+    """The links among ``pairs`` (a, b, n_b), as a, b, jaccard; a part holds about ``bound`` letters of b's, each sequence once."""
     from .similarity import _codes
 
     pairs = written(pairs, "minwise-pairs")
@@ -134,7 +139,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, bound: in
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return right.select(["a", "b"]).slice(0, 0)
+            return right.select(["a", "b"]).slice(0, 0).append_column("jaccard", pa.array([], pa.float64()))
         at, codes = _codes(left["seq"].to_pylist(), k)
         _, codes = np.unique(codes, return_inverse=True)
         order = np.argsort(at, kind="stable")
@@ -142,7 +147,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, bound: in
         start = np.concatenate([[0], np.cumsum(size)])
         place = {x: i for i, x in enumerate(left["id"].to_pylist())}
         right = right.sort_by("a")
-        mark, last, keep = np.zeros(int(codes.max(initial=0)) + 1, bool), None, []
+        mark, last, value = np.zeros(int(codes.max(initial=0)) + 1, bool), None, []
         for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True):
             x, y = place[a], place[b]
             if x != last:
@@ -150,10 +155,10 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, bound: in
                 mark[codes[start[x] : start[x + 1]]] = True
                 last = x
             shared = np.count_nonzero(mark[codes[start[y] : start[y + 1]]])
-            keep.append(shared / (size[x] + size[y] - shared) >= least)
-        return right.select(["a", "b"]).filter(pa.array(keep))
+            value.append(shared / (size[x] + size[y] - shared))
+        return right.select(["a", "b"]).append_column("jaccard", pa.array(value, pa.float64())).filter(pa.array([v >= least for v in value], pa.bool_()))
 
-    out = written(here.groupBy("here").cogroup(placed.groupBy("part")).applyInArrow(run, f"a {kind}, b {kind}"), "minwise-links")
+    out = written(here.groupBy("here").cogroup(placed.groupBy("part")).applyInArrow(run, f"a {kind}, b {kind}, jaccard double"), "minwise-links")
     release(placed)
     release(pairs)
     return out
@@ -181,4 +186,94 @@ def similar(rows: DataFrame, heads: DataFrame, k: int, least: float, bound: int)
     second = confirmed(_plausible(pairs.select(F.col("id").alias("a"), "b").distinct(), held, least), bodies, k, least, bound)
     for t in (held, together, left, bodies):
         release(t)
-    return first.union(second)
+    return first.union(second).select("a", "b")
+
+
+def signature(least: float) -> tuple[int, int]:
+    """Minwise hashes of a sequence, and how many of them a pair has in common at least to be looked at.
+
+    Of pairs at the threshold ``least`` a share under ``MISSED`` / 1000 has fewer.
+    """
+    missed = MISSED / 1000
+    hashes = max(256, math.ceil(math.log(missed) / math.log1p(-min(least, 0.99))))
+    log = lambda x: math.log(x) if x > 0 else -math.inf
+    chance = lambda m: math.exp(math.lgamma(hashes + 1) - math.lgamma(m + 1) - math.lgamma(hashes - m + 1) + (m and m * log(least)) + (hashes - m and (hashes - m) * log(1 - least)))
+    tail, most = 0.0, 0
+    while most < hashes and (tail := tail + chance(most)) <= missed:
+        most += 1
+    return hashes, max(1, most)
+
+
+def digested(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """g, id, n (letters), h (MD5 of the sequence) and marks (minwise hashes of 16 bits; null under ``k`` letters) of ``rows``: g, id, seq, none null."""
+    hashes, _ = signature(least)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("g", "id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(batch.schema.get_field_index("seq")).to_pylist()
+            whole = [i for i, s in enumerate(seqs) if len(s) >= k]
+            marks: list[bytes | None] = [None] * len(seqs)
+            ends = np.cumsum([len(seqs[i]) for i in whole])
+            for part in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
+                if len(part):
+                    found = minwise([seqs[whole[p]] for p in part], k, hashes)
+                    folded = ((found * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+                    for p, row in zip(part, folded, strict=True):
+                        marks[whole[p]] = row.tobytes()
+            held = [batch.column(batch.schema.get_field_index(c)) for c in ("g", "id")]
+            digests = [hashlib.md5(s.encode("utf-8", "surrogatepass")).digest() for s in seqs]
+            yield pa.RecordBatch.from_arrays([*held, pa.array([len(s) for s in seqs], pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary())], names=["g", "id", "n", "h", "marks"])
+
+    return rows.select("g", "id", "seq").mapInArrow(run, f"g {kinds['g']}, id {kinds['id']}, n long, h binary, marks binary")
+
+
+def meeting(a: np.ndarray, b: np.ndarray, most: int, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and ``b`` with ``most`` equal columns or more, from sorted columns; about ``cells`` pairs are counted at once."""
+    order = np.argsort(b, axis=0, kind="stable")
+    columns = [np.ascontiguousarray(b[order[:, t], t]) for t in range(b.shape[1])]
+    step = max(1, cells // max(1, len(b)))
+    for low in range(0, len(a), step):
+        some = a[low : low + step]
+        total, waiting, held = np.zeros(len(some) * len(b), np.int32), [], 0
+        for t, column in enumerate(columns):
+            first = np.searchsorted(column, some[:, t])
+            n = np.searchsorted(column, some[:, t], "right") - first
+            places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            waiting.append(np.repeat(np.arange(len(some)) * len(b), n) + order[places, t])
+            held += len(places)
+            if held > cells or t == len(columns) - 1:
+                total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.int32)
+                waiting, held = [], 0
+        found = np.flatnonzero(total >= most)
+        yield low + found // len(b), found % len(b)
+
+
+def near_pairs(heads: DataFrame, least: float, chunk: int = 1 << 13) -> DataFrame:
+    """a, b, n_b: pairs of a group whose marks let a Jaccard of ``least`` be, a < b.  ``heads``: g, id, n, marks, ids distinct.
+
+    All pairs of a group are looked at, in blocks of two chunks of about ``chunk`` rows, by marks alone.
+    """
+    hashes, most = signature(least)
+    sizes = written(heads.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_n")), "pair-chunks")
+    blocks = sizes.agg(F.sum(F.col("_n").cast("long") * (F.col("_n") + 1) / 2)).first()[0] or 0
+    placed = heads.join(sizes, heads["g"] == sizes["_g"]).withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    dealt = placed.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("g", F.least("_c", "_x").alias("i"), F.greatest("_c", "_x").alias("j"), (F.col("_c") > F.col("_x")).alias("side"), "id", "n", "marks")
+    kind = heads.schema["id"].dataType.simpleString()
+
+    def run(block: pa.Table) -> pa.Table:
+        marks = np.frombuffer(b"".join(block["marks"].to_pylist()), np.uint16).reshape(-1, hashes)
+        side, same = block["side"].to_numpy(), block["i"][0] == block["j"][0]
+        left = np.arange(len(marks)) if same else np.flatnonzero(~side)
+        right = left if same else np.flatnonzero(side)
+        parts = [(left[x], right[y]) for x, y in meeting(marks[left], marks[right], most)] if len(left) and len(right) else []
+        x, y = (np.concatenate([np.empty(0, np.int64), *p]) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2
+        ids, n = block["id"].combine_chunks(), block["n"].to_numpy()
+        a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
+        # either order may come from two chunks; in one chunk each pair comes twice and with itself
+        turned = pc.greater(a, b)
+        met = pa.table({"a": pc.if_else(turned, b, a), "b": pc.if_else(turned, a, b), "n_b": pa.array(np.where(turned.to_numpy(zero_copy_only=False), n[x], n[y]))})
+        return met.filter(pa.array(x < y) if same else pa.array(np.ones(len(x), bool)))
+
+    return dealt.repartition(int(max(64, min(blocks, 20_000))), "g", "i", "j").groupBy("g", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, n_b long")

@@ -428,3 +428,29 @@ def test_spread_joins_no_rows_between_rounds_and_weighs_only_rows_that_can_be_ta
     some = {(r["id"], r["seed"]): r["depth"] for r in sampling.by_typicality(placed, seeds, 2).collect()}
     assert some == {k: depth for k, depth in whole.items() if depth <= 2}
     assert all("bag" not in columns for label, columns, _ in tables if label == "near-seeds")
+
+
+def test_pairs_meet_without_their_sequences_and_copies_follow(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import minwise
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    near = lambda s, p: "".join(rng.choice("ACGT") if rng.random() < p else c for c in s)
+    root = word(400)
+    seqs = [near(root, p) for p in (0, 0.01, 0.02, 0.04, 0.06)] + [root] * 3 + [word(300) for _ in range(60)] + ["", "", "ACG", "ACG", "ACT", None, None]
+    rows = [("g", i, s) for i, s in enumerate(seqs)] + [("g", 1, seqs[1])] + [(None, 200, root), (None, 201, root), ("h", 300, None), ("h", 301, None)]
+    sets = {i: {s[o : o + 11] for o in range(len(s) - 10)} or {s} for _, i, s in rows if s is not None}
+    known = [(g, i) for g, i, s in rows if g is not None and s is not None]
+    want = sorted((a, b, v) for g, a in known for h, b in known if g == h and a < b and (v := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.3)
+    df = spark.createDataFrame(rows, "grp string, id long, seq string")
+    got = similarity.kmer_pairs(df, "grp", "id", "seq", 11, 0.3).collect()
+    assert sorted((r["a"], r["b"], r["jaccard"]) for r in got) == want
+    assert similarity.kmer_pairs(df.limit(0), "grp", "id", "seq", 11, 0.3).count() == 0
+    heads = df.where("grp = 'g' and length(seq) >= 11").dropDuplicates(["seq"]).select(F.col("grp").alias("g"), "id", "seq")
+    for chunk in (1 << 13, 7):
+        met = [(r["a"], r["b"]) for r in minwise.near_pairs(minwise.digested(heads, 11, 0.3), 0.3, chunk).collect()]
+        own = {r["id"] for r in heads.collect()}
+        assert len(met) == len(set(met)) and {(a, b) for a, b, _ in want if a in own and b in own} <= set(met)
+        assert all(a < b < 8 for a, b in met)  # unrelated sequences are never fetched
